@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.llm.mixing import mix
+from spanloom.llm.packing import pack
 from spanloom.llm.sentences import sentence_offsets
+from spanloom.llm.splitting import split_records
+from spanloom.llm.tokens import token_budget
 from spanloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +25,77 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_offsets(table(spark, folder, "documents"))
+
+
+@query
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = p1_pieces(spark, folder)
+    return pieces.where("piece_no = 0").select("id")
+
+
+@query
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split_records(table(spark, folder, "train"), table(spark, folder, "vocab"))
+
+
+@query
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return token_budget(table(spark, folder, "train"), table(spark, folder, "vocab"))
+
+
+@query
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_containers(spark, folder).where("piece_no = 1").select("doc_id")
+
+
+@query
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), table(spark, folder, "vocab"))
+
+
+@query
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_shares(spark, folder).where("short").select("source")
+
+
+@query
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), table(spark, folder, "vocab")).shares
+
+
+@query
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), table(spark, folder, "vocab")).rows
+
+
+#: Token counts in SQL: the distinct words of the lower-cased texts, each taken piece by piece from its start.
+_COUNTED = r"""
+    words AS (SELECT k, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+|[^\p{L}\p{N}\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')) AS w FROM texts),
+    pieces AS (SELECT DISTINCT regexp_replace(token, '^##', '') AS piece, token LIKE '##%' AS inner_piece, length(regexp_replace(token, '^##', '')) AS n FROM vocab WHERE token IS NOT NULL),
+    walk AS (
+        SELECT w, 0 AS pos, 0 AS cost FROM (SELECT DISTINCT w FROM words)
+        UNION ALL
+        SELECT r.w, r.pos + max(p.n), any_value(r.cost) + 1
+        FROM walk r JOIN pieces p ON p.inner_piece = (r.pos > 0) AND substr(r.w, r.pos + 1, p.n) = p.piece
+        WHERE r.pos < length(r.w) GROUP BY r.w, r.pos
+    ),
+    costs AS (SELECT w, coalesce(max(CASE WHEN pos = length(w) THEN cost END), 1) AS cost FROM walk GROUP BY w),
+    counted AS (SELECT t.k, coalesce(sum(c.cost), 0)::BIGINT AS n FROM texts t LEFT JOIN words USING (k) LEFT JOIN costs c USING (w) GROUP BY t.k)
+"""
+_TRAIN = "WITH RECURSIVE texts AS (SELECT id AS k, any_value(text) AS text FROM train GROUP BY id)," + _COUNTED
+_DOCS = "WITH RECURSIVE texts AS (SELECT doc_id AS k, text FROM documents)," + _COUNTED
+
+ORACLES["p1_found"] = _TRAIN + "SELECT k AS id FROM counted WHERE n > 256"
+ORACLES["p5_found"] = (
+    _TRAIN
+    + """, labels AS (SELECT DISTINCT id AS k, coalesce(lower(trim(source)), 'unknown') AS source,
+        regexp_replace(coalesce(lower(trim(lang)), 'unknown'), '[-_].*$', '') AS lang, coalesce(lower(trim(doctype)), 'unknown') AS doctype FROM train)
+    SELECT source, lang, doctype, sum(n)::BIGINT AS n_tokens FROM counted JOIN labels USING (k) GROUP BY ALL"""
+)
+ORACLES["p6_found"] = _DOCS + "SELECT k AS doc_id FROM counted WHERE n > 2048"
+ORACLES["p7_found"] = (
+    _DOCS
+    + """, sized AS (SELECT lower(trim(source)) AS source, sum(n)::BIGINT AS n FROM counted JOIN documents ON doc_id = k WHERE trim(source) <> '' GROUP BY ALL)
+    SELECT m.source FROM mix_targets m LEFT JOIN sized s ON s.source = lower(trim(m.source))
+    WHERE coalesce(s.n, 0) * m.max_repeats < m.target_share * (SELECT sum(n) FROM sized)"""
+)
