@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from spanloom.llm.groups import assign_splits, related_groups
 from spanloom.llm.mixing import mix
 from spanloom.llm.packing import pack
 from spanloom.llm.sentences import sentence_offsets
 from spanloom.llm.splitting import split_records
-from spanloom.llm.tokens import token_budget
-from spanloom.session import table
+from spanloom.llm.tokens import compared, compared_lang, token_budget
+from spanloom.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +101,16 @@ ORACLES["p7_found"] = (
     SELECT m.source FROM mix_targets m LEFT JOIN sized s ON s.source = lower(trim(m.source))
     WHERE coalesce(s.n, 0) * m.max_repeats < m.target_share * (SELECT sum(n) FROM sized)"""
 )
+
+
+@query
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return related_groups(table(spark, folder, "train"), table(spark, folder, "source_files"))
+
+
+@query
+def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
+    train = table(spark, folder, "train")
+    groups = related_groups(train, table(spark, folder, "source_files"))
+    label = F.concat_ws("/", compared_lang(), compared("doctype"))
+    return assign_splits(cut(groups), train.select("id", label.alias("label")), {"train": 0.8, "validation": 0.1, "test": 0.1})
