@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.groups import assign_splits, related_groups
+from spanloom.llm.leaks import leaks
 from spanloom.llm.mixing import mix
+from spanloom.llm.overlap import overlaps
 from spanloom.llm.packing import pack
 from spanloom.llm.sentences import sentence_offsets
 from spanloom.llm.splitting import split_records
@@ -114,3 +116,38 @@ def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
     groups = related_groups(train, table(spark, folder, "source_files"))
     label = F.concat_ws("/", compared_lang(), compared("doctype"))
     return assign_splits(cut(groups), train.select("id", label.alias("label")), {"train": 0.8, "validation": 0.1, "test": 0.1})
+
+
+@query
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "train"), table(spark, folder, "test_cases"))
+
+
+@query
+def p2_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How many items of each test set leaked, and into how many records."""
+    found = p2_found(spark, folder).join(table(spark, folder, "test_cases").select("case_id", "test_set"), "case_id")
+    return found.groupBy("test_set").agg(F.countDistinct("case_id").alias("n_items"), F.countDistinct("id").alias("n_records"), F.count("*").alias("n_pairs"))
+
+
+def _splits(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    train, dev, cases, shots = (table(spark, folder, n) for n in ("train", "dev", "intent_cases", "shots"))
+    evaluation = dev.select(F.lit("records").alias("scope"), F.concat(F.lit("dev|"), "id").alias("id"), "text")
+    evaluation = evaluation.union(shots.select(F.lit("instructions"), F.concat(F.coalesce("split", F.lit("unknown")), F.lit("|"), "id"), "instruction"))
+    training = train.select(F.lit("records").alias("scope"), "id", "text").union(cases.select(F.lit("instructions"), "id", "instruction"))
+    return evaluation, training
+
+
+@query
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = overlaps(*_splits(spark, folder))
+    return found.select(F.substring_index("eval_id", "|", 1).alias("split"), F.expr("substring(eval_id, instr(eval_id, '|') + 1)").alias("eval_id"), "train_id")
+
+
+@query
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlaps per split and source of the training record (its writer for instructions)."""
+    sources = table(spark, folder, "train").select("id", compared("source").alias("source")).union(table(spark, folder, "intent_cases").select("id", compared("writer")))
+    sources = sources.groupBy("id").agg(F.min("source").alias("source"))
+    found = p3_found(spark, folder).join(sources, F.col("id") == F.col("train_id"))
+    return found.groupBy("split", "source").agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_id").alias("n_eval"), F.countDistinct("train_id").alias("n_train"))
