@@ -60,7 +60,7 @@ def luhn_digit(body: Column, length: int) -> Column:
 
 def is_luhn(c: Column | str, least: int = 2, most: int = 40) -> Column:
     x = compact(c)
-    return shaped(x, rf"\d{{{least},{most}}}", F.luhn_check(x))
+    return shaped(x, rf"\d{{{least},{most}}}", F.call_function("luhn_check", x))
 
 
 def is_card(c: Column | str) -> Column:

@@ -81,10 +81,14 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingles(text: Column | str, size: int) -> Column:
-    """Distinct runs of ``size`` words."""
-    w = words(text)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1))), lambda i: F.when(F.size(w) >= size, F.array_join(F.slice(w, i, size), " "))))
+def shingles(words_: str, size: int) -> Column:
+    """Distinct runs of ``size`` words of a column of words, null where there are fewer.
+
+    It takes a column by name, not an expression: inside a lambda the words would be computed anew for every run (see ``session.once``).
+    """
+    w = F.col(words_)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, size), " "))
+    return F.when(F.size(w) >= size, F.array_distinct(runs))
 
 
 def quoted(term: Column | str) -> Column:
@@ -95,13 +99,13 @@ def quoted(term: Column | str) -> Column:
 def has_name(text: Column | str, name: Column | str) -> Column:
     """The name as whole words, in any case; an underscore is a boundary. The cheap test comes first."""
     t = col(text)
-    return F.contains(F.lower(t), F.lower(col(name))) & t.rlike(F.concat(F.lit("(?iu)" + NOT_BEFORE), quoted(name), F.lit(NOT_AFTER)))
+    return F.contains(F.lower(t), F.lower(col(name))) & F.regexp_like(t, F.concat(F.lit("(?iu)" + NOT_BEFORE), quoted(name), F.lit(NOT_AFTER)))
 
 
 def has_keyword(text: Column | str, keyword: Column | str) -> Column:
     """An ASCII keyword as a whole word, any other as a substring."""
     t, k = col(text), col(keyword)
-    whole = t.rlike(F.concat(F.lit("(?<![0-9A-Za-z])"), quoted(k), F.lit("(?![0-9A-Za-z])")))
+    whole = F.regexp_like(t, F.concat(F.lit("(?<![0-9A-Za-z])"), quoted(k), F.lit("(?![0-9A-Za-z])")))
     return F.when(k.rlike(r"^\p{ASCII}+$"), F.contains(t, k) & whole).otherwise(F.contains(t, k))
 
 

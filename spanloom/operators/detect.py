@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.text import byte_offset, title_cased, utf16_offset
 from spanloom.operators import decode, scoring, tokenize, windows
+from spanloom.session import spread
 from spanloom.spec import ModelSpec
 
 
@@ -18,7 +19,7 @@ def detect(docs: DataFrame, spec: ModelSpec, tokenizer_json: str, make_scorer: C
     Tokenizing and scoring are map-only; everything behind them works on one exchange by ``key``, which must be unique.
     """
     special = tokenize.special_ids(tokenize.load_tokenizer(tokenizer_json))
-    src = docs.select(key, F.col(text).alias("text"))
+    src = spread(docs.select(key, F.col(text).alias("text")))
     model_text = src.withColumn("text", title_cased("text")) if spec.title_case else src
     enc = tokenize.encode(model_text.where("text is not null and text <> ''"), tokenizer_json, spec.tokenizer_kind)
     enc = enc.where(F.size("encoding.ids") > 0)

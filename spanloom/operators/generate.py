@@ -110,7 +110,7 @@ def amount_text(value: Column, country: Column) -> Column:
 def render(templates: DataFrame, inventories: DataFrame, docs: DataFrame, seed: int = 0, key: str = "id") -> DataFrame:
     """Pieces ``(doc_id, i, text, label)`` of documents ``(doc_id, id, lang)`` rendered from templates ``(id, text)``.
 
-    Inventories: one row a country with arrays ``given_names, surnames, org_names, legal_forms, acronyms, streets, units, jobs, departments,
+    Inventories: one row a country with arrays ``given_names, surnames, titles, org_names, legal_forms, acronyms, streets, units, jobs, departments,
     public_bodies`` of strings and ``places`` of ``STRUCT<town, postcode, region>``. A template whose country has no inventory gives nothing.
     """
     parts = slot_rows(templates, key)
@@ -138,7 +138,7 @@ def render(templates: DataFrame, inventories: DataFrame, docs: DataFrame, seed:
         for country, gen in by.items():
             text = text.when((k == kind) & (F.col("country") == country), identifiers.generate(gen, ident, seed))
     text = text.when(k == "JOB", of("jobs", 13)).when(k == "DEPT", of("departments", 14)).when(k == "PUBLIC", F.replace(of("public_bodies", 15), F.lit("{town}"), place["town"]))
-    text = text.otherwise(identifiers.digits_of(ident, seed, 8, "num"))
+    text = text.when(k == "TITLE", of("titles", 16)).when(k.isNotNull(), identifiers.digits_of(ident, seed, 8, "num"))
     lab = F.when(k.isin("PER", "ORG", "LOC", "DATE"), k)
     two = F.array(F.struct(F.col("literal").alias("text"), F.lit(None).cast("string").alias("label")), F.struct(text.alias("text"), lab.alias("label")))
     p = j.select("doc_id", "i", F.posexplode(two).alias("k", "x")).where("x.text is not null and x.text <> ''")

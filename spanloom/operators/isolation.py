@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import col, has_name, is_plain_name, shingles, words
+from spanloom.session import once
 
 #: Words that alone make no name.
 GENERIC_WORDS = (
@@ -33,12 +34,13 @@ def shared_ids(items: DataFrame, tests: DataFrame, key: str = "id", test_key: st
 
 def run_table(df: DataFrame, key: str, text: str, size: int = 8) -> DataFrame:
     """Distinct ``(key, run)`` of word runs; rows with fewer words have none. Distinct in the row, so nothing is shuffled when keys are unique."""
-    return df.select(key, F.explode(shingles(text, size)).alias("run")).where("run is not null")
+    w = once(df.select(key, F.col(text).alias("_t")), _w=words("_t"))
+    return w.select(key, F.explode(shingles("_w", size)).alias("run"))
 
 
 def shared_runs(items: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "text", test_text: str = "text", size: int = 8, more_than: int = 3) -> DataFrame:
     """``(key, n_shared)`` of items that share more than so many distinct word runs with the test texts."""
-    t = tests.select(F.explode(shingles(test_text, size)).alias("run")).where("run is not null").distinct()
+    t = run_table(tests.withColumn("_k", F.lit(0)), "_k", test_text, size).select("run").distinct()
     hits = run_table(items, key, text, size).distinct().join(maybe_broadcast(t), "run")
     return hits.groupBy(key).agg(F.count("*").alias("n_shared")).where(F.col("n_shared") > more_than)
 

@@ -28,16 +28,17 @@ def histogram(texts: list[str]) -> np.ndarray:
     return out
 
 
-def common(masks: dict[str, int], n: int, b: str) -> int:
-    """Length of the longest common subsequence of a text given by its character masks and ``b``."""
+def reaches(masks: dict[str, int], n: int, b: str, least: float) -> bool:
+    """Whether the longest common subsequence of a text given by its character masks and ``b`` reaches ``least``; stops once it can't."""
     full = (1 << n) - 1
     s = full
-    for c in b:
-        m = masks.get(c, 0)
-        if m:
-            u = s & m
+    for at in range(0, len(b), 32):
+        if n - s.bit_count() + len(b) - at < least:
+            return False
+        for c in b[at : at + 32]:
+            u = s & masks.get(c, 0)
             s = ((s + u) | (s - u)) & full
-    return n - s.bit_count()
+    return n - s.bit_count() >= least
 
 
 def masks_of(a: str) -> dict[str, int]:
@@ -60,7 +61,7 @@ def close_pairs(texts: list[str], held: list[str], held_hist: np.ndarray, least:
             continue
         masks = masks_of(t)
         for k in at:
-            if 2 * common(masks, len(t), held[k]) >= least * total[k]:
+            if reaches(masks, len(t), held[k], least * float(total[k]) / 2):
                 r = SequenceMatcher(None, t, held[k]).ratio()
                 if r >= least:
                     yield i, int(k), r
@@ -73,6 +74,7 @@ def close_to(rows: DataFrame, held: DataFrame, key: str = "id", text: str = "ins
     h = held.select(F.col(held_key).cast("string").alias("k"), norm(held_text).alias("t")).where("t <> ''").distinct()
     blocks = max(1, -(-h.count() // BLOCK_ROWS))
     src = rows.select(key, norm(text).alias("t")).where("t <> ''").distinct()
+    src = src.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # the work is in the workers, not in the bytes
     kind = rows.schema[key].dataType.simpleString()
     found = None
     for k in range(blocks):

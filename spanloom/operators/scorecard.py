@@ -66,10 +66,9 @@ def index_percentiles(df: DataFrame, value: str, shares: dict[str, tuple[int, in
 
     Value counts are summed up in order, so no more than the distinct values meet in one task.
     """
-    c = df.where(F.col(value).isNotNull()).groupBy(value).count()
-    w = Window.orderBy(value)
-    c = c.withColumn("upto", F.sum("count").over(w)).withColumn("n", F.sum("count").over(Window.partitionBy()))
-    pick = [F.min(F.when(F.col("upto") > F.floor(F.col("n") * a / F.lit(b)), F.col(value))).alias(name) for name, (a, b) in shares.items()]
+    c = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    c = c.withColumn("_upto", F.sum("_c").over(Window.orderBy("_v"))).withColumn("_n", F.sum("_c").over(Window.partitionBy()))
+    pick = [F.min(F.when(F.col("_upto") > F.floor(F.col("_n") * a / F.lit(b)), F.col("_v"))).alias(name) for name, (a, b) in shares.items()]
     return c.agg(*pick)
 
 

@@ -6,7 +6,8 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", shuffle: int = 8, memory: str = "8g") -> SparkSession:
@@ -42,6 +43,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Adds columns that are computed exactly once a row: a Generate is a barrier to the optimizer, which would else inline them into lambdas."""
+    keep = [c for c in df.columns if c not in cols]
+    one = df.select(*keep, F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("_once"))
+    return one.select(*keep, *[F.col("_once")[n].alias(n) for n in cols])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan gives fewer tasks than there are cores, as with one small file; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
