@@ -99,7 +99,11 @@ def cut_text(costs: Costs, text: str, spans: list[tuple[int, int]], limit: int,
 def first_boundary(text: str, at: int, halo: int, spans: list[tuple[int, int]]) -> int:
     """The best place to cut in ``text[at:at + halo]``: a paragraph, line or sentence end, else a blank, else ``at``; outside of spans."""
     window = text[at : at + halo]
-    free = lambda k: not any(a < k < b for a, b in spans)
+
+    def free(k: int) -> bool:
+        """Neither the cut nor the end of the word before it lies in a span."""
+        return not any(a < k < b or a < len(text[:k].rstrip()) < b for a, b in spans)
+
     for pattern in (BLANK_LINE, LINE, SENTENCE, re.compile(r"\s+")):
         for m in pattern.finditer(window):
             if free(at + m.end()):
