@@ -308,14 +308,12 @@ def generate(kind: str, key: Column, seed: int = 0) -> Column:
     if kind == "nino":
         return F.concat(p(list("ABCEHJLMPRSWXY")), p(list("ABCEHJLMPRSWXY"), "2"), F.lit(" "), F.regexp_replace(d(6), r"(..)(?=.)", "$1 "), F.lit(" "), p(list("ABCD"), "s"))
     if kind == "nhs":
-        # a ninth digit that would ask for the check digit 10 is moved on by one, which changes the sum by its weight of 2
+        # a ninth digit that would ask for the check digit 10 is moved on by one, which changes the sum by no multiple of 11
         head, last = F.concat(F.lit("4"), d(7)), d(1, "l").cast("bigint")
         total = weighted(head, list(range(10, 2, -1)))
-        last = F.when(F.lit(11) - (total + last * 2) % 11 == 10, (last + 1) % 10).otherwise(last)
-        last = F.when(F.lit(11) - (total + last * 2) % 11 == 10, (last + 1) % 10).otherwise(last)
-        body = F.concat(head, last.cast("string"))
-        check = (F.lit(11) - weighted(body, list(range(10, 1, -1))) % 11) % 11
-        return F.regexp_replace(F.concat(body, check.cast("string")), r"^(...)(...)(....)$", "$1 $2 $3")
+        last = F.when((total + last * 2) % 11 == 1, (last + 1) % 10).otherwise(last)
+        check = (F.lit(11) - (total + last * 2) % 11) % 11
+        return F.regexp_replace(F.concat(head, last.cast("string"), check.cast("string")), r"^(...)(...)(....)$", "$1 $2 $3")
     if kind == "us_ssn":
         return F.concat_ws("-", r(100, 665).cast("string"), r(10, 99, "g").cast("string"), r(1000, 9999, "s").cast("string"))
     raise ValueError(f"no generator for {kind}")

@@ -573,9 +573,7 @@ def generated_identifiers(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "customer").select("c_custkey")
     made = F.array(*[F.struct(F.lit(k).alias("kind"), ids.generate(k, F.col("c_custkey"), 1).alias("value")) for k in ids.KINDS])
     r = c.select("c_custkey", F.explode(made).alias("x")).select("c_custkey", "x.kind", "x.value")
-    valid = F.lit(None).cast("boolean")
-    for k in ids.KINDS:
-        valid = F.when(F.col("kind") == k, ids.VALIDATORS[k]("value")).otherwise(valid)
+    valid = F.coalesce(*[F.when(F.col("kind") == k, ids.VALIDATORS[k]("value")) for k in ids.KINDS])
     return r.withColumn("valid", valid)
 
 
