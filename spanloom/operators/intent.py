@@ -72,10 +72,11 @@ def normalize(intent: Column) -> Column:
 
 
 def canonical(intent: Column) -> Column:
-    """Compact JSON in the schema's key order, types pruned and in the schema's order."""
+    """Compact JSON in the schema's key order, types pruned and in the schema's order; null for null."""
     types = starred(intent["types"])
     ordered = F.filter(F.transform(lits(["*", *TYPES]), lambda k: F.struct(k.alias("key"), F.element_at(types, k).alias("value"))), lambda e: e["value"].isNotNull())
-    return F.to_json(F.struct(F.when(F.size(types) > 0, F.map_from_entries(ordered)).alias("types"), *[F.when(F.size(intent[k]) > 0, intent[k]).alias(k) for k in LISTS], F.when(intent["unsupported"], F.lit(True)).alias("unsupported")))
+    whole = F.to_json(F.struct(F.when(F.size(types) > 0, F.map_from_entries(ordered)).alias("types"), *[F.when(F.size(intent[k]) > 0, intent[k]).alias(k) for k in LISTS], F.when(intent["unsupported"], F.lit(True)).alias("unsupported")))
+    return F.when(intent.isNotNull(), whole)
 
 
 def hidden(types: Column, entity: Column) -> Column:
