@@ -151,3 +151,20 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     sources = sources.groupBy("id").agg(F.min("source").alias("source"))
     found = p3_found(spark, folder).join(sources, F.col("id") == F.col("train_id"))
     return found.groupBy("split", "source").agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_id").alias("n_eval"), F.countDistinct("train_id").alias("n_train"))
+
+#: Groups by the transitive closure of records, files, authors, announcements and companies.
+ORACLES["p4_found"] = r"""WITH RECURSIVE p AS (
+    SELECT id, min(lower(trim(source))) AS s, min(lower(trim(country))) AS c, min(lower(trim(doctype))) AS d, min(regexp_replace(upper(origin), '[^\p{L}\p{N}]', '', 'g')) AS co,
+        regexp_extract(lower(trim(id)), '^(tpl-[a-z]{2}|doc-[a-z]{2}|x)-([a-z]{2})[-_](?:([a-z]+)[-_])?(\d+)(?:\.v\d+)?-\d+$', ['pre', 'cc', 'dt', 'no']) AS m,
+        regexp_extract(lower(trim(id)), '^reg-[a-z]+-([a-z]{2})-(\d{2,4})[-_/.](\d+)[-_/.]\d+$', ['cc', 'yr', 'no']) AS g
+    FROM train WHERE id IS NOT NULL GROUP BY id),
+links AS (
+    SELECT 'r' || id AS a, 'k' || CASE left(m.pre, 3) WHEN 'tpl' THEN 'template' WHEN 'doc' THEN 'document' ELSE s END || '|' || m.cc || '|' || CASE WHEN m.dt <> '' THEN m.dt ELSE d END || '|' || m.no::INT AS b FROM p WHERE m.pre <> ''
+    UNION SELECT 'r' || id, 'n' || g.cc || '|' || CASE WHEN length(g.yr) = 2 THEN '20' || g.yr ELSE g.yr END || '|' || g.no::BIGINT FROM p WHERE g.yr <> ''
+    UNION SELECT 'r' || id, 'c' || co FROM p WHERE co <> ''
+    UNION SELECT 'f' || file_id, 'k' || lower(trim(source)) || '|' || lower(trim(country)) || '|' || lower(trim(doctype)) || '|' || file_no FROM source_files
+    UNION SELECT 'f' || file_id, 'f' || adapted_from FROM source_files WHERE adapted_from IS NOT NULL
+    UNION SELECT 'f' || file_id, 'a' || array_to_string(list_sort(list_filter(regexp_split_to_array(lower(author), '[\s,.;]+'), lambda w: w <> '')), ' ') FROM source_files WHERE trim(author) <> ''),
+e AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT 'r' || id AS root, 'r' || id AS node FROM p UNION SELECT root, b FROM reach JOIN e ON node = a)
+SELECT coalesce(min(CASE WHEN node LIKE 'f%' THEN substr(node, 2) END), min(CASE WHEN node LIKE 'r%' THEN substr(node, 2) END)) AS group_id, substr(root, 2) AS id FROM reach GROUP BY root"""
