@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import identifiers as ids
 from spanloom.functions import text as tx
 from spanloom.operators import align, decode, detect, generate, intent, isolation, markup, neardup, registry, sampling, scorecard, scoring, tokenize, windows
-from spanloom.session import table
+from spanloom.session import spread, table
 from spanloom.spec import DecodeConfig, ModelSpec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,7 +74,7 @@ def case_tokens(docs: DataFrame) -> DataFrame:
     FROM sp JOIN documents d USING (doc_id)"""
 )
 def bio_detections(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text").where("text is not null")
+    docs = spread(table(spark, folder, "documents")).select("doc_id", "text").where("text is not null")
     return decode.detections(decode.bio_spans(case_tokens(docs), CASE_CONFIG), docs, CASE_CONFIG)
 
 
@@ -84,7 +84,7 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("WITH " + WORDS_SQL + "SELECT doc_id, i::INT AS i, s AS start, e AS \"end\", piece FROM toks")
 def word_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return tokenize.word_rows(table(spark, folder, "documents").where("text is not null"))
+    return tokenize.word_rows(spread(table(spark, folder, "documents")).where("text is not null"))
 
 
 @query(
@@ -93,7 +93,7 @@ def word_tokens(spark: SparkSession, folder: str) -> DataFrame:
     FROM (SELECT *, lag(sa) OVER (PARTITION BY doc_id ORDER BY i) AS psa, lag(e) OVER (PARTITION BY doc_id ORDER BY i) AS pe FROM k)"""
 )
 def word_ids(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = tokenize.word_rows(table(spark, folder, "documents").where("text is not null"))
+    pieces = tokenize.word_rows(spread(table(spark, folder, "documents")).where("text is not null"))
     return tokenize.word_ids_native(pieces).select("doc_id", "i", "word_id")
 
 
@@ -105,7 +105,7 @@ def word_ids(spark: SparkSession, folder: str) -> DataFrame:
         SELECT *, row_number() OVER (PARTITION BY doc_id, tok ORDER BY least(tok - ws, we - 1 - tok) DESC, ws) AS r FROM t) WHERE r = 1 GROUP BY ALL"""
 )
 def window_merge(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").where("text is not null").select("doc_id", F.size(tx.words("text")).alias("n_tokens"))
+    docs = spread(table(spark, folder, "documents")).where("text is not null").select("doc_id", F.size(tx.words("text")).alias("n_tokens"))
     w = windows.windows(docs, 256, 32, special=(100, 101)).withColumn("tok", F.explode(F.sequence(F.col("token_start"), F.col("token_end") - 1)))
     best = windows.best_window(w.withColumn("v", F.col("token_start")), "v")
     return best.groupBy("doc_id", "token_start").agg(F.count("*").alias("n_best"))
@@ -177,7 +177,7 @@ def detect_pipeline(spark: SparkSession, folder: str, tokenizers: str = "/opt/to
     """The whole pipeline with a byte-level tokenizer of 50,257 pieces."""
     with open(f"{tokenizers}/byte_bpe_50k.json", encoding="utf8") as f:
         source = f.read()
-    return detect.detect(table(spark, folder, "documents"), BYTE_SPEC, source, lambda: HashScorer(5), offset_unit="byte")
+    return detect.detect(spread(table(spark, folder, "documents")), BYTE_SPEC, source, lambda: HashScorer(5), offset_unit="byte")
 
 
 # -- text ---------------------------------------------------------------------------------------------------------------------------------
@@ -188,7 +188,7 @@ def detect_pipeline(spark: SparkSession, folder: str, tokenizers: str = "/opt/to
         lambda x: CASE WHEN regexp_matches(x, '^\p{L}{4,}$') AND NOT regexp_matches(x, '\p{Ll}') AND strlen(x[1] || lower(x[2:])) = strlen(x) THEN x[1] || lower(x[2:]) ELSE x END), '') AS t FROM documents WHERE text IS NOT NULL)"""
 )
 def title_case(spark: SparkSession, folder: str) -> DataFrame:
-    t = table(spark, folder, "documents").where("text is not null").select("doc_id", tx.title_cased("text").alias("t"))
+    t = spread(table(spark, folder, "documents")).where("text is not null").select("doc_id", tx.title_cased("text").alias("t"))
     return t.select("doc_id", F.md5("t").alias("digest"), F.octet_length("t").alias("n_bytes"))
 
 
@@ -221,7 +221,7 @@ PAGE = ("<html><style>p { margin: 0 }</style><h1>", "</h1><p>", "</p><script>var
 )
 def html_text(spark: SparkSession, folder: str) -> DataFrame:
     html = F.concat(F.lit(PAGE[0]), F.coalesce("doctype", F.lit("")), F.lit(PAGE[1]), F.replace("text", F.lit("\n"), F.lit("<br/>")), F.lit(PAGE[2]))
-    return table(spark, folder, "documents").where("text is not null").select("doc_id", F.md5(tx.strip_tags(html)).alias("digest"))
+    return spread(table(spark, folder, "documents")).where("text is not null").select("doc_id", F.md5(tx.strip_tags(html)).alias("digest"))
 
 
 @query(
@@ -381,7 +381,7 @@ def span_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT coalesce(lower(trim(doctype)), 'unknown') AS value, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, value LIMIT 25")
 def top_doctypes(spark: SparkSession, folder: str) -> DataFrame:
-    return sampling.top_counts(table(spark, folder, "documents"), clean("doctype"), 25)
+    return sampling.top_counts(spread(table(spark, folder, "documents")), clean("doctype"), 25)
 
 
 @query("SELECT list_sort(list(n))[count(*) // 2 + 1] AS p50, list_sort(list(n))[count(*) * 9 // 10 + 1] AS p90 FROM (SELECT length(instruction) AS n FROM intent_cases WHERE instruction IS NOT NULL)")
