@@ -265,6 +265,37 @@ def test_overlap_matches_brute_force(spark):
     assert overlap.overlaps(spark.createDataFrame([], schema), spark.createDataFrame(train, schema)).count() == 0
 
 
+def test_overlap_of_drops_and_adds_apart(spark):
+    rng = random.Random(9)
+    train, ev = [("s", "a", "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13")], [("s", "a", "w1 w2 w4 w5 w6 X w7 w8 w9 w10 Y w11 w12 w13")]
+    for n in [*range(6, 60), 80, 120, 150] * 2:
+        w = words_of(rng, n) if len(train) % 5 else [f"w{rng.randrange(4)}" for _ in range(n)]  # some texts repeat few words
+        edits = int(0.15 * n)
+        at = rng.sample(range(n), min(n, 2 * edits))
+        drops, adds = set(at[:edits]), set(at[edits:])
+        x = [y for k, v in enumerate(w) for y in ([] if k in drops else ["q", v] if k in adds else [v])]
+        train.append(("s", f"t{len(train)}", " ".join(w)))
+        ev.append(("s", f"e{len(ev)}", " ".join(x)))
+        # every fourth word or so is changed on one side by turns, evenly apart
+        step, x = max(1, n // max(1, 2 * edits)), []
+        for k, v in enumerate(w):
+            turn = k // step if k % step == step // 2 and k // step < 2 * edits else None
+            x += [v] if turn is None else [] if turn % 2 else ["q", v]
+        ev.append(("s", f"e{len(ev)}", " ".join(x)))
+    schema = "scope string, id string, text string"
+    for share in (0.85, 0.7):
+        exp = {("s", e, k) for _, e, t in ev for _, k, u in train if overlap.lcs(t.lower().split(), u.split()) >= share * max(len(t.split()), len(u.split()))}
+        got = {tuple(r) for r in overlap.overlaps(spark.createDataFrame(ev, schema), spark.createDataFrame(train, schema), share).collect()}
+        assert got == exp and len(exp) > 200
+    for _ in range(300):  # the runs in common are never fewer than said
+        a = [rng.randrange(rng.choice([3, 500])) for _ in range(rng.randrange(6, 80))]
+        b = [y for v in a for y in rng.choices([[v], [], [-1, v]], [18, 1, 1])[0]]
+        c = overlap.lcs(a, b)
+        if c >= 0.85 * max(len(a), len(b)):
+            ra, rb = (overlap.run_hashes(overlap.np.array(x).astype("uint64"))[0] for x in (a, b))
+            assert len(set(ra) & set(rb)) >= max(overlap.sure(len(x), 0.85, overlap.RUN) for x in (a, b))
+
+
 SENTENCES = [
     ("See Dr. Fox at 9.30 a.m. today. He left at 5 p.m. Then J. R. Bell came, i.e. late.", ["See Dr. Fox at 9.30 a.m. today.", "He left at 5 p.m.", "Then J. R. Bell came, i.e. late."]),
     ("Title\n\nDear Ann,\n\n1. First item;\n- second\n“Go!” said Ann. (All of it.) Why?!", ["Title", "Dear Ann,", "1. First item;", "- second", "“Go!” said Ann.", "(All of it.)", "Why?!"]),
