@@ -4,7 +4,7 @@ A passage is at least ``least`` words of an item in one or two stretches, of whi
 Such a passage allows ``budget = least // per_error`` edits and one break, so of ``budget + 2`` pieces one is exact: every run of
 ``least // (budget + 2)`` item words is a piece, found in the records by its hash and compared word for word. Runs of exact pieces pass on when the
 twelve words around them agree up to edits; they are then extended over edits to a passage, whose edit count Myers' bit-parallel algorithm
-verifies with words as symbols.
+verifies with words as symbols. As that walk is greedy it only accepts: what it doesn't is aligned as a whole.
 
 The test items are the broadcast side. They go in blocks of at most ``block_words`` words, one pass over the records a block, so their number
 isn't bounded by memory. Records never meet each other, and only pairs found are shuffled.
@@ -58,6 +58,9 @@ class Items:
     def __init__(self, items: list[tuple[str, str]], least: int, per_error: int):
         self.least, self.per_error = least, per_error
         self.piece = least // (least // per_error + 2)
+        # exact runs of two words and of a piece that any passage has, whatever its size: its words lie in at most edits + 2 exact stretches
+        sizes = [(n, int(n / per_error + 0.5)) for n in range(least, 4 * least)]
+        self.least_twos, self.least_pieces = (max(1, min(n - e - (k - 1) * (e + 2) for n, e in sizes)) for k in (2, self.piece))
         self.names = [n for n, _ in items]
         words = [FORMS.words(t) for _, t in items]
         self.ids = {w: i + 1 for i, w in enumerate(sorted({w for ws in words for w in ws}))}
@@ -138,7 +141,8 @@ class Items:
                 x = order[k]
                 anchors.append((int(p[x] - self.starts[o]), int(q[x] - begins[d]), int(length[x])))
                 k += 1
-            if self.holds(self.words[o], flat[begins[d] : ends[d]], anchors):
+            words = flat[begins[d] : ends[d]]
+            if self.holds(self.words[o], words, anchors) or self.within(self.words[o], words):
                 out.append((int(d), int(o)))
         return out
 
@@ -218,6 +222,47 @@ class Items:
                         return True
         return False
 
+    def within(self, item: list[int], rec: list[int]) -> bool:
+        """Whether the record holds a passage, by an alignment of all of both that leaves nothing out.
+
+        For each place of the record and each number of item words so far (``least`` stands for any more), the most that item words less
+        ``per_error`` an edit can be: in a first stretch, behind one, and in a second one. Stretches begin and end with an equal word.
+        """
+        twos = set(zip(rec, rec[1:]))
+        if sum(x in twos for x in zip(item, item[1:])) < self.least_twos:
+            return False
+        r, cost, low, top = np.array(rec), self.per_error, -(1 << 29), self.least
+        at = cost * np.arange(len(rec) + 1)
+        shape = (top + 1, len(rec) + 1)
+        first, second, behind = (np.full(shape, low) for _ in range(3))
+        for w in item:
+            equal = np.append(False, r == w)
+
+            def step(x: np.ndarray, begin: np.ndarray | None, equal: np.ndarray = equal) -> tuple[np.ndarray, np.ndarray]:
+                """Best values that end with this item word, and those where it is an equal word."""
+                match, other = np.full(shape, low), np.full(shape, low)
+                start = np.full((top + 1, len(rec)), low) if begin is None else begin[:, :-1]
+                if begin is None:
+                    start[0] = 0
+                diagonal = np.maximum(x[:, :-1], start)
+                match[1:, 1:] = diagonal[:-1] + 1
+                match[top, 1:] = np.maximum(match[top, 1:], diagonal[top] + 1)
+                match[:, ~equal] = low
+                other[1:] = x[:-1]
+                other[top] = np.maximum(other[top], x[top])
+                other[1:, 1:] = np.maximum(other[1:, 1:], x[:-1, :-1])
+                other[top, 1:] = np.maximum(other[top, 1:], x[top, :-1])
+                every = np.maximum(match, other + 1 - cost)
+                return np.maximum.accumulate(every + at, axis=1) - at, match
+
+            first, ended = step(first, None)
+            second, last = step(second, behind)
+            # about one in per_error, rounded: 2 * (words - per_error * edits) >= -per_error
+            if 2 * max(ended[top].max(), last[top].max()) >= -cost:
+                return True
+            behind = np.maximum.accumulate(np.maximum(behind, ended), axis=1)
+        return False
+
     def few(self, edits: int, size: int) -> bool:
         """About one in ``per_error``: the allowance is rounded to the nearest whole number."""
         return edits <= int(size / self.per_error + 0.5)

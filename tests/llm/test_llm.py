@@ -223,6 +223,23 @@ def test_leaks(spark):
     assert leaks.leaks(d.limit(0), t).count() == 0 and leaks.leaks(d, t.limit(0)).count() == 0
 
 
+def leaked(item, *records):
+    return {d for d, _ in leaks.Items([("c", " ".join(item))], 30, 6).pairs([" ".join(r) for r in records])}
+
+
+def test_leaks_with_near_edits():
+    rng = random.Random(12)
+    item = [f"w{k}" for k in range(80)]
+    noise = [f"w{k}" for k in range(1000, 1030)]
+    near = [w if k not in (3, 10, 12, 17, 24) else f"z{k}" for k, w in enumerate(item[20:50])]
+    long = [w if k not in (3, 10, 12, 17, 24, 33, 40, 42, 47, 54) else f"z{k}" for k, w in enumerate(item[10:70])]
+    assert leaked(item, noise + near + noise, long, item[20:45] + noise, item[20:49], [*item[20:49], "x", *noise]) == {0, 1}
+    for _ in range(60):  # any five edits in 30 words but for those at the ends
+        edits = set(rng.sample(range(1, 29), 5))
+        x = [y for k, w in enumerate(item[20:50]) for y in (rng.choice([[], ["x"], ["x", w]]) if k in edits else [w])]
+        assert leaked(item, noise + x + noise) == {0}
+
+
 def test_myers_is_the_edit_distance():
     rng = random.Random(3)
 
