@@ -2,9 +2,10 @@
 
 A passage is at least ``least`` words of an item in one or two stretches, of which at most one in ``per_error`` is altered, dropped or added.
 Such a passage allows ``budget = least // per_error`` edits and one break, so of ``budget + 2`` pieces one is exact: every run of
-``least // (budget + 2)`` item words is a piece, found in the records by its hash and compared word for word. Runs of exact pieces pass on when the
-twelve words around them agree up to edits; they are then extended over edits to a passage, whose edit count Myers' bit-parallel algorithm
-verifies with words as symbols. As that walk is greedy it only accepts: what it doesn't is aligned as a whole.
+``least // (budget + 2)`` item words is a piece, found in the records by its hash and compared word for word. A record and an item pass on when
+they share as many such pieces, and runs of two words, as any passage has. Runs of pieces whose twelve words around agree up to edits are extended
+over edits to a passage, whose edit count Myers' bit-parallel algorithm verifies with words as symbols. As that walk is greedy and sees only such
+runs, it only accepts: pairs that it doesn't are aligned as a whole.
 
 The test items are the broadcast side. They go in blocks of at most ``block_words`` words, one pass over the records a block, so their number
 isn't bounded by memory. Records never meet each other, and only pairs found are shuffled.
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.overlap import lcs
 from spanloom.llm.tokens import Shared
 from spanloom.llm.wordforms import FORMS
 
@@ -120,6 +122,11 @@ class Items:
         q, p, owner = q[same], p[same], owner[same]
         if not len(q):
             return []
+        # pairs with as many item places in exact pieces as any passage has
+        doc = np.searchsorted(begins, q, "right") - 1
+        seen = np.unique(doc * len(self.flat) + p)  # a place of all items tells the item
+        pair, n_places = np.unique(seen // len(self.flat) * len(self.starts) + np.searchsorted(self.starts, seen % len(self.flat), "right") - 1, return_counts=True)
+        pair = pair[n_places >= self.least_pieces]
         # a text and an item fix where their diagonals lie, so runs are neighbours in (diagonal, place)
         order = np.lexsort((q, q - p))
         q, p, owner = q[order], p[order], owner[order]
@@ -131,19 +138,28 @@ class Items:
         keep = self.agree(rec, q, p, length)
         q, p, owner, length = q[keep], p[keep], owner[keep], length[keep]
         doc = np.searchsorted(begins, q, "right") - 1
-        out, order = [], np.lexsort((q, owner, doc))
-        ends = np.append(begins[1:] - len(pad), len(rec) - len(pad))
-        k = 0
-        while k < len(order):
-            d, o = doc[order[k]], owner[order[k]]
-            anchors = []
-            while k < len(order) and doc[order[k]] == d and owner[order[k]] == o:
-                x = order[k]
-                anchors.append((int(p[x] - self.starts[o]), int(q[x] - begins[d]), int(length[x])))
-                k += 1
+        anchors: dict[int, list[tuple[int, int, int]]] = {}
+        for x in np.lexsort((q, owner, doc)):
+            d, o = doc[x], owner[x]
+            anchors.setdefault(int(d * len(self.starts) + o), []).append((int(p[x] - self.starts[o]), int(q[x] - begins[d]), int(length[x])))
+        ends, out = np.append(begins[1:] - len(pad), len(rec) - len(pad)), []
+        rest: list[tuple[int, int, int]] = []
+        twos: tuple[int, set] = (-1, set())
+        for x in pair.tolist():
+            d, o = divmod(x, len(self.starts))
             words = flat[begins[d] : ends[d]]
-            if self.holds(self.words[o], words, anchors) or self.within(self.words[o], words):
-                out.append((int(d), int(o)))
+            if twos[0] != d:
+                twos = d, set(zip(words, words[1:]))
+            if not self.enough(self.words[o], twos[1]) or lcs(self.words[o], words) < self.least - int(self.least / self.per_error + 0.5):
+                continue
+            if self.holds(self.words[o], words, anchors.get(x, [])):
+                out.append((d, o))
+            else:
+                rest.append((len(words), d, o))
+        rest.sort()
+        for k in range(0, len(rest), 64):  # of like length
+            some = [(self.words[o], flat[begins[d] : ends[d]]) for _, d, o in rest[k : k + 64]]
+            out += [(d, o) for (_, d, o), pair_, near in zip(rest[k : k + 64], some, self.may(some)) if near and self.within(*pair_)]
         return out
 
     def agree(self, rec: np.ndarray, q: np.ndarray, p: np.ndarray, length: np.ndarray, window: int = 12, slack: int = 3) -> np.ndarray:
@@ -222,15 +238,56 @@ class Items:
                         return True
         return False
 
+    def enough(self, item: list[int], twos: set) -> bool:
+        """Whether some two stretches of an item have as many of a record's runs of two words as a passage of their size, up to twice ``least``.
+
+        Of a longer passage one half is a passage, too.
+        """
+        hits = [t in twos for t in zip(item, item[1:])]
+        if sum(hits) < self.least_twos:
+            return False
+        sums = np.cumsum([0, *hits])
+        most = np.zeros(2 * self.least + 1, dtype=np.int64)
+        for n in range(1, len(most)):
+            most[n] = (sums[n - 1 :] - sums[: len(sums) - n + 1]).max() if n <= len(sums) else sums[-1]
+        return any((most[: n + 1] + most[n::-1]).max() >= n - 2 * int(n / self.per_error + 0.5) - 2 for n in range(self.least, len(most)))
+
+    def may(self, pairs: list[tuple[list[int], list[int]]], weight: int = 2) -> np.ndarray:
+        """Whether each pair can hold a passage: an upper bound of ``within`` without the number of words, for many pairs at once.
+
+        A passage has ``2 * (words - per_error * edits) >= -per_error`` and ``words >= least``, so the sum of the first and ``weight`` times the
+        second is reached by some alignment; stretches may begin and end anywhere.
+        """
+        c, gain, wide = 2 * self.per_error, 2 + 2 * weight, max(len(r) for _, r in pairs)
+        goal = 2 * weight * self.least - self.per_error
+        r = np.full((len(pairs), wide), -2, dtype=np.int32)
+        t = np.full((max(len(i) for i, _ in pairs), len(pairs), 1), -1, dtype=np.int32)
+        for k, (item, rec) in enumerate(pairs):
+            r[k, : len(rec)] = rec
+            t[: len(item), k, 0] = item
+        at = c * np.arange(wide + 1, dtype=np.int32)
+        first, second, behind = (np.zeros((len(pairs), wide + 1), dtype=np.int32) for _ in range(3))
+        best = np.zeros(len(pairs), dtype=np.int32)
+        for w in t:
+            change = np.where(r == w, gain, gain - c).astype(np.int32)
+
+            def step(x: np.ndarray, begin: np.ndarray, change: np.ndarray = change) -> np.ndarray:
+                x = np.maximum(x, begin)
+                y = x + np.int32(gain - c)
+                np.maximum(y[:, 1:], x[:, :-1] + change, out=y[:, 1:])
+                return np.maximum.accumulate(y + at, axis=1) - at
+
+            first, second = step(first, np.zeros_like(first)), step(second, behind)
+            behind = np.maximum.accumulate(np.maximum(behind, first), axis=1)
+            best = np.maximum(best, np.maximum(first, second).max(axis=1))
+        return best >= goal
+
     def within(self, item: list[int], rec: list[int]) -> bool:
         """Whether the record holds a passage, by an alignment of all of both that leaves nothing out.
 
         For each place of the record and each number of item words so far (``least`` stands for any more), the most that item words less
         ``per_error`` an edit can be: in a first stretch, behind one, and in a second one. Stretches begin and end with an equal word.
         """
-        twos = set(zip(rec, rec[1:]))
-        if sum(x in twos for x in zip(item, item[1:])) < self.least_twos:
-            return False
         r, cost, low, top = np.array(rec), self.per_error, -(1 << 29), self.least
         at = cost * np.arange(len(rec) + 1)
         shape = (top + 1, len(rec) + 1)

@@ -240,6 +240,14 @@ def test_leaks_with_near_edits():
         assert leaked(item, noise + x + noise) == {0}
 
 
+def test_leaks_with_a_short_stretch():
+    item = [f"w{k}" for k in range(80)]
+    noise = [f"w{k}" for k in range(1000, 1030)]
+    two = [w if k not in (3, 7) else f"z{k}" for k, w in enumerate(item[60:70])]
+    records = [item[:22] + noise + item[50:58], item[:20] + noise + two, item[50:58] + noise + item[:22], item[:22] + noise + item[50:57], item[30:35] + noise + item[40:65]]
+    assert leaked(item, *records) == {0, 1, 4}
+
+
 def test_myers_is_the_edit_distance():
     rng = random.Random(3)
 
