@@ -288,3 +288,11 @@ def test_catalog_runs_on_empty_tables(spark, data, tmp_path):
         spark.read.parquet(f"{data}/{name}").limit(0).write.parquet(str(tmp_path / name))
     for name in ("bio_detections", "window_merge", "viterbi_native", "shared_runs", "violations", "dev_split", "token_labels", "markup_records", "near_duplicates", "final_intents"):
         assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 0, name
+
+
+def test_span_labels_counts_every_label(spark, data, tmp_path):
+    from spanloom.plans import catalog
+
+    spans = F.expr("transform(sequence(1, 1200), i -> named_struct('start', 0, 'end', 1, 'label', concat('L', i)))")
+    spark.read.parquet(f"{data}/train.parquet").where("id is not null and text is not null").limit(1).withColumn("spans", spans).write.parquet(f"{tmp_path}/train.parquet")
+    assert catalog.span_labels(spark, str(tmp_path)).count() == 1200
