@@ -49,13 +49,17 @@ class Forms(dict):
         self[word] = w = plain(word)
         return w
 
-    def words(self, text: str | None, split_han: bool = False) -> list[str]:
+    def written(self, text: str | None, split_han: bool = False) -> list[str]:
+        """Words as they are written, cleaned."""
         if not text:
             return []
         text = clean(text)
         if split_han and not text.isascii():
             text = HAN.sub(r" \g<0> ", text)
-        return list(map(self.__getitem__, WORD.findall(text)))
+        return WORD.findall(text)
+
+    def words(self, text: str | None, split_han: bool = False) -> list[str]:
+        return list(map(self.__getitem__, self.written(text, split_han)))
 
 
 FORMS = Forms()

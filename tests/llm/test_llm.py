@@ -312,13 +312,51 @@ def test_overlap_of_drops_and_adds_apart(spark):
         exp = {("s", e, k) for _, e, t in ev for _, k, u in train if overlap.lcs(t.lower().split(), u.split()) >= share * max(len(t.split()), len(u.split()))}
         got = {tuple(r) for r in overlap.overlaps(spark.createDataFrame(ev, schema), spark.createDataFrame(train, schema), share).collect()}
         assert got == exp and len(exp) > 200
-    for _ in range(300):  # the runs in common are never fewer than said
-        a = [rng.randrange(rng.choice([3, 500])) for _ in range(rng.randrange(6, 80))]
-        b = [y for v in a for y in rng.choices([[v], [], [-1, v]], [18, 1, 1])[0]]
-        c = overlap.lcs(a, b)
-        if c >= 0.85 * max(len(a), len(b)):
-            ra, rb = (overlap.run_hashes(overlap.np.array(x).astype("uint64"))[0] for x in (a, b))
-            assert len(set(ra) & set(rb)) >= max(overlap.sure(len(x), 0.85, overlap.RUN) for x in (a, b))
+
+
+def test_pairs_in_common_are_never_fewer_than_said():
+    rng, np = random.Random(10), overlap.np
+    often = np.array([rng.randrange(9) for _ in range(1 << overlap.SLOTS)])
+    for share in (0.85, 0.7, 0.55):
+        shape = overlap.Shape(share)
+        for _ in range(300):
+            a = [rng.randrange(rng.choice([3, 50, 500])) for _ in range(rng.randrange(2, 120))]
+            b = [y for v in a for y in rng.choices([[v], [], [999, v]], [share * 20, 1, 1])[0]]
+            if a == b or not b or overlap.lcs(a, b) < share * max(len(a), len(b)):
+                continue
+            (ga, _, pa), (gb, _, pb) = (overlap.pairs(np.array(x, dtype=np.uint64), np.array([len(x)]), often, shape, every) for x, every in ((a, True), (b, False)))
+            need = min(int(p[0]) >> 2 * overlap.PLACE & 3 for p in (pa, pb))
+            kind = int(shape.kind(np.array([len(b)]))[0])
+            assert len(set(ga) & set(gb)) >= min(need, overlap.NEED) and kind < overlap.CLASSES
+
+
+def spoiled(rng, w, edits, how):
+    """A text with so many words substituted, dropped and added elsewhere, or moved."""
+    at = rng.sample(range(len(w)), 2 * edits)
+    drop, add = set(at[:edits]), set(at[edits:])
+    if how == "substituted":
+        return [f"q{k}" if k in drop else v for k, v in enumerate(w)]
+    out = [y for k, v in enumerate(w) for y in ([] if k in drop else [f"q{k}", v] if k in add else [v])]
+    if how == "moved":
+        moved = iter(rng.sample([w[k] for k in sorted(drop)], edits))
+        out = [next(moved) if v.startswith("q") else v for v in out]
+    return out
+
+
+def test_overlap_at_the_limit(spark):
+    rng = random.Random(11)
+    train, ev, exp = [], [], set()
+    for n, edits in ((20, 3), (40, 6), (100, 15)):
+        for how in ("substituted", "dropped and added", "moved"):
+            for i in range(200):
+                w = [f"w{rng.randrange(300)}" for _ in range(n)]
+                name = f"{n} {how} {i}"
+                train.append(("s", name, " ".join(w)))
+                ev.append(("s", name, " ".join(spoiled(rng, w, edits, how))))
+                exp.add(name)
+    schema = "scope string, id string, text string"
+    got = overlap.overlaps(spark.createDataFrame(ev, schema), spark.createDataFrame(train, schema)).collect()
+    assert {r.eval_id for r in got if r.eval_id == r.train_id} == exp and len(exp) == 1800
 
 
 SENTENCES = [
