@@ -314,20 +314,32 @@ def test_overlap_of_drops_and_adds_apart(spark):
         assert got == exp and len(exp) > 200
 
 
-def test_pairs_in_common_are_never_fewer_than_said():
+def test_kept_runs_in_common_are_never_fewer_than_said():
     rng, np = random.Random(10), overlap.np
     often = np.array([rng.randrange(9) for _ in range(1 << overlap.SLOTS)])
+    seen = 0
     for share in (0.85, 0.7, 0.55):
         shape = overlap.Shape(share)
-        for _ in range(300):
+        for _ in range(400):
             a = [rng.randrange(rng.choice([3, 50, 500])) for _ in range(rng.randrange(2, 120))]
             b = [y for v in a for y in rng.choices([[v], [], [999, v]], [share * 20, 1, 1])[0]]
             if a == b or not b or overlap.lcs(a, b) < share * max(len(a), len(b)):
                 continue
-            (ga, _, pa), (gb, _, pb) = (overlap.pairs(np.array(x, dtype=np.uint64), np.array([len(x)]), often, shape, every) for x, every in ((a, True), (b, False)))
-            need = min(int(p[0]) >> 2 * overlap.PLACE & 3 for p in (pa, pb))
-            kind = int(shape.kind(np.array([len(b)]))[0])
-            assert len(set(ga) & set(gb)) >= min(need, overlap.NEED) and kind < overlap.CLASSES
+            (ga, _, pa), (gb, _, pb) = (overlap.kept_runs(np.array(x, dtype=np.uint64), np.array([len(x)]), often, shape) for x in (a, b))
+            need = min(int(p[0]) >> overlap.PLACE & 0xFFF for p in (pa, pb))
+            assert len(set(ga) & set(gb)) >= need > 0
+            spots = set(overlap.eval_spots(ga, pa, shape))
+            there = [g for g, p in zip(gb, pb) if g in set(ga) and {int(overlap.spots(gb[:1] * 0 + g, k, c)[0]) for k, c in looked_up(overlap, shape, p)} & spots]
+            assert len(there) >= need
+            seen += 1
+    assert seen > 300
+
+
+def looked_up(o, shape, p):
+    """Classes and cells under which a training run is looked up."""
+    n, place = o.np.array([p >> o.PLACE + 12]), int(p) & (1 << o.PLACE) - 1
+    kind = shape.kind(n)
+    return [(kind, o.np.array([place // int(shape.step(kind)[0]) if place else -1])), (kind, o.np.array([-2]))]
 
 
 def spoiled(rng, w, edits, how):
