@@ -1,42 +1,52 @@
 """Passages of held-out test items inside training records, by pigeonhole edit matching.
 
-A passage is at least ``least`` words of an item in one or two stretches, of which at most one in ``per_error`` is altered, dropped or added.
+A passage is at least ``least`` words of an item in one or two stretches, of which at most one in ``per_error`` is altered, dropped or added;
+a stretch begins and ends with an equal word, and at most one in ``per_stretch`` of its own words is changed, as less can't be told from chance.
 Such a passage allows ``budget = least // per_error`` edits and one break, so of ``budget + 2`` pieces one is exact: every run of
-``least // (budget + 2)`` item words is a piece, found in the records by its hash and compared word for word. A record and an item pass on when
-they share as many such pieces, and runs of two words, as any passage has. Runs of pieces whose twelve words around agree up to edits are extended
-over edits to a passage, whose edit count Myers' bit-parallel algorithm verifies with words as symbols. As that walk is greedy and sees only such
-runs, it only accepts: pairs that it doesn't are aligned as a whole.
-
-The test items are the broadcast side. They go in blocks of at most ``block_words`` words, one pass over the records a block, so their number
-isn't bounded by memory. Records never meet each other, and only pairs found are shuffled.
+``least // (budget + 2)`` item words is a piece, found in the records by its hash and compared word for word. Pairs of a record and an item with
+as many piece places as any passage has go on. From each of their exact runs the item is aligned in both directions, for all runs of a batch at
+once, which tells how far a stretch reaches with how many edits; that bounds what one or two stretches can be. What may be a passage is verified
+by Myers' bit-parallel search for its stretches in the record, with words as symbols. A second stretch without an exact piece is looked for
+by runs one word shorter beside a first one that leaves few enough words to it.
+
+The test items are the broadcast side. They go in blocks of at most ``block_words`` words, each a broadcast of its own. A task meets block after
+block with a slab of records that it has read and split into words once, so the records are scanned once however many items there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.overlap import lcs
 from spanloom.llm.tokens import Shared
 from spanloom.llm.wordforms import FORMS
 
 P = np.uint64(0x9E3779B97F4A7C15)
+REACH = 34  # words that a stretch is followed to either side of an exact run
+BAND = 6  # words that it may shift by
+EDITS = 12
+PAD = REACH + BAND + 4
+FAR = 60  # more edits than can be
+CHUNK = 500  # records at once
+SLAB = 20_000  # records that meet one block of items after another
 
 
-def myers(pattern: list, text: list) -> int:
-    """Edit distance of two sequences of words, bit-parallel over the pattern."""
+def myers(pattern: list, text: list, anywhere: bool = False) -> int:
+    """Edit distance of two sequences of words, bit-parallel over the pattern; ``anywhere``: of the pattern and the part of the text nearest to it."""
     m = len(pattern)
     if not m:
-        return len(text)
+        return 0 if anywhere else len(text)
     peq: dict = {}
     for i, w in enumerate(pattern):
         peq[w] = peq.get(w, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score = full, 0, m
+    best, free = m, 0 if anywhere else 1
     for w in text:
         eq = peq.get(w, 0)
         xv = eq | mv
@@ -47,40 +57,76 @@ def myers(pattern: list, text: list) -> int:
             score += 1
         elif mh & top:
             score -= 1
-        ph = ph << 1 | 1
+        if score < best:
+            best = score
+        ph = ph << 1 | free
         mh <<= 1
         pv = (mh | ~(xv | ph)) & full
         mv = ph & xv & full
-    return score
+    return best if anywhere else score
+
+
+def reach(item: np.ndarray, rec: np.ndarray) -> np.ndarray:
+    """Column a run: how many item words of ``item`` at most can be aligned from its start on with ``0..EDITS`` edits, ending with an equal word.
+
+    ``rec`` has the record's words in the same direction, from ``BAND`` before the start on. Rows are words, so each step is a pass over whole rows.
+    """
+    n, width = item.shape[1], 2 * BAND + 1
+    d = np.full((width + 1, n), FAR, dtype=np.int8)  # edits by how many record words more than item words are used; the last row stays far
+    d[BAND:width] = np.arange(BAND + 1, dtype=np.int8)[:, None]
+    out = np.zeros((EDITS + 1, n), dtype=np.int16)
+    for k in range(item.shape[0]):
+        other = rec[k : k + width] != item[k]
+        ended = (d[:-1] + other * np.int8(FAR)).min(axis=0)
+        new = np.minimum(d[:-1] + other, d[1:] + np.int8(1))
+        for gap in (1, 2, 4, 8):  # record words that the item lacks
+            if gap < width:
+                np.minimum(new[gap:], new[:-gap] + np.int8(gap), out=new[gap:])
+        d[:-1] = np.minimum(new, FAR)
+        hit = np.flatnonzero(ended <= EDITS)
+        out[ended[hit], hit] = k + 1  # the farthest comes last
+    return np.maximum.accumulate(out, axis=0)
+
+
+def sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of two tables of words by edits, the most words of both by edits of both."""
+    out = np.zeros_like(a)
+    for e in range(len(a)):
+        np.maximum(out[e:], a[e] + b[: len(a) - e], out=out[e:])
+    return out
 
 
 class Items:
     """An index of the items' pieces, built once in each worker."""
 
-    def __init__(self, items: list[tuple[str, str]], least: int, per_error: int):
-        self.least, self.per_error = least, per_error
+    def __init__(self, items: list[tuple[str, str]], least: int, per_error: int, per_stretch: int = 3):
+        self.least, self.per_error, self.per_stretch = least, per_error, per_stretch
         self.piece = least // (least // per_error + 2)
-        # exact runs of two words and of a piece that any passage has, whatever its size: its words lie in at most edits + 2 exact stretches
-        sizes = [(n, int(n / per_error + 0.5)) for n in range(least, 4 * least)]
-        self.least_twos, self.least_pieces = (max(1, min(n - e - (k - 1) * (e + 2) for n, e in sizes)) for k in (2, self.piece))
+        # places of pieces that any passage has, whatever its size: its words lie in at most edits + 2 exact runs
+        self.least_pieces = max(1, min(n - self.few(n) - (self.piece - 1) * (self.few(n) + 2) for n in range(least, 4 * least)))
         self.names = [n for n, _ in items]
         words = [FORMS.words(t) for _, t in items]
         self.ids = {w: i + 1 for i, w in enumerate(sorted({w for ws in words for w in ws}))}
         self.words = [[self.ids[w] for w in ws] for ws in words]
-        pad = 16
-        flat, starts = [0] * pad, []
+        flat, starts = [-1] * PAD, []  # -1 equals no word of a record
         for ws in self.words:
             starts.append(len(flat))
-            flat += ws + [-1] * pad  # -1 equals no word of a record
+            flat += ws + [-1] * PAD
         self.flat, self.starts = np.array(flat, dtype=np.int32), np.array(starts, dtype=np.int64)
-        at = np.concatenate([np.arange(s, s + max(0, len(w) - self.piece + 1)) for s, w in zip(starts, self.words)] or [np.zeros(0, np.int64)]).astype(np.int64)
-        owner = np.repeat(np.arange(len(starts)), [max(0, len(w) - self.piece + 1) for w in self.words])
+        self.ends = self.starts + np.array([len(w) for w in self.words], dtype=np.int64)
+        places = [np.arange(s, max(s, e - self.piece + 1)) for s, e in zip(starts, self.ends.tolist())]
+        at = np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)
+        owner = np.repeat(np.arange(len(starts)), [len(x) for x in places])
         h = self.hash(self.flat)[at]
         order = np.argsort(h, kind="stable")
         self.at, self.owner, h = at[order], owner[order], h[order]
         self.keys, self.first = np.unique(h, return_index=True)
         self.last = np.append(self.first[1:], len(h))
 
+    def few(self, size: int) -> int:
+        """About one in ``per_error``: the allowance is rounded to the nearest whole number."""
+        return int(size / self.per_error + 0.5)
+
     def hash(self, x: np.ndarray) -> np.ndarray:
         """Hash of the piece that starts at each place (the last few are of no use)."""
         u = x.astype(np.uint64)
@@ -92,14 +138,16 @@ class Items:
 
     def pairs(self, texts: list[str | None]) -> list[tuple[int, int]]:
         """``(text number, item number)`` of every text that holds a passage of an item."""
-        get, pad = self.ids.get, [0] * 16
-        flat, begins = list(pad), []
-        for t in texts:
-            begins.append(len(flat))
-            flat += [get(w, 0) for w in FORMS.words(t)]
-            flat += pad
-        rec = np.array(flat, dtype=np.int32)
-        begins = np.array(begins, dtype=np.int64)
+        return self.held([FORMS.words(t) for t in texts])
+
+    def held(self, texts: list[list[str]]) -> list[tuple[int, int]]:
+        """The same of texts given in words."""
+        get = self.ids.get
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        begins = PAD + np.cumsum(sizes + PAD) - sizes - PAD
+        rec = np.zeros(int(sizes.sum()) + PAD * (len(texts) + 1), dtype=np.int32)  # 0 is a word of no item
+        numbers = np.fromiter((get(w, 0) for w in chain.from_iterable(texts)), dtype=np.int32, count=int(sizes.sum()))
+        rec[np.arange(len(numbers)) + np.repeat(begins - np.cumsum(sizes) + sizes, sizes)] = numbers
         known = rec > 0
         whole = known.copy()
         for k in range(1, self.piece):
@@ -120,210 +168,127 @@ class Items:
         for k in range(self.piece):
             same &= self.flat[p + k] == rec[q + k]
         q, p, owner = q[same], p[same], owner[same]
+        # pairs with as many item places in exact pieces as any passage has; a place of all items tells the item
+        pair = (np.searchsorted(begins, q, "right") - 1) * len(self.starts) + owner
+        order = np.lexsort((q, p, pair))
+        q, p, pair = q[order], p[order], pair[order]
+        fresh = np.ones(len(q), dtype=bool)
+        fresh[1:] = (p[1:] != p[:-1]) | (pair[1:] != pair[:-1])
+        head = np.flatnonzero(np.diff(pair, prepend=-1))
+        enough = np.add.reduceat(fresh, head) >= self.least_pieces if len(head) else np.zeros(0, bool)
+        keep = np.repeat(enough, np.diff(np.append(head, len(q))))
+        q, p, pair = q[keep], p[keep], pair[keep]
         if not len(q):
             return []
-        # pairs with as many item places in exact pieces as any passage has
-        doc = np.searchsorted(begins, q, "right") - 1
-        seen = np.unique(doc * len(self.flat) + p)  # a place of all items tells the item
-        pair, n_places = np.unique(seen // len(self.flat) * len(self.starts) + np.searchsorted(self.starts, seen % len(self.flat), "right") - 1, return_counts=True)
-        pair = pair[n_places >= self.least_pieces]
-        # a text and an item fix where their diagonals lie, so runs are neighbours in (diagonal, place)
-        order = np.lexsort((q, q - p))
-        q, p, owner = q[order], p[order], owner[order]
+        # neighbours in (diagonal, place) are one exact run
+        order = np.lexsort((q, q - p, pair))
+        q, p, pair = q[order], p[order], pair[order]
         new = np.ones(len(q), dtype=bool)
-        new[1:] = (q[1:] != q[:-1] + 1) | (p[1:] != p[:-1] + 1)
-        start = np.flatnonzero(new)
-        length = np.diff(np.append(start, len(q))) + self.piece - 1
-        q, p, owner = q[start], p[start], owner[start]
-        keep = self.agree(rec, q, p, length)
-        q, p, owner, length = q[keep], p[keep], owner[keep], length[keep]
-        doc = np.searchsorted(begins, q, "right") - 1
-        anchors: dict[int, list[tuple[int, int, int]]] = {}
-        for x in np.lexsort((q, owner, doc)):
-            d, o = doc[x], owner[x]
-            anchors.setdefault(int(d * len(self.starts) + o), []).append((int(p[x] - self.starts[o]), int(q[x] - begins[d]), int(length[x])))
-        ends, out = np.append(begins[1:] - len(pad), len(rec) - len(pad)), []
-        rest: list[tuple[int, int, int]] = []
-        twos: tuple[int, set] = (-1, set())
-        for x in pair.tolist():
+        new[1:] = (q[1:] != q[:-1] + 1) | (p[1:] != p[:-1] + 1) | (pair[1:] != pair[:-1])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(q))) + self.piece - 1
+        runs = self.followed(rec, q[first], p[first], size, pair[first])
+        found = self.single(runs) | self.double(runs)
+        short = self.lone(rec, begins, sizes, runs, found)
+        out = []
+        for x in sorted(found | short.keys()):
             d, o = divmod(x, len(self.starts))
-            words = flat[begins[d] : ends[d]]
-            if twos[0] != d:
-                twos = d, set(zip(words, words[1:]))
-            if not self.enough(self.words[o], twos[1]) or lcs(self.words[o], words) < self.least - int(self.least / self.per_error + 0.5):
-                continue
-            if self.holds(self.words[o], words, anchors.get(x, [])):
+            own = short[x] if x in short else {k: v[..., runs["pair"] == x] for k, v in runs.items()}
+            own |= {"p": own["p"] - self.starts[o], "q": own["q"] - begins[d]}
+            if self.verified(self.words[o], rec[begins[d] : begins[d] + sizes[d]].tolist(), own):
                 out.append((d, o))
-            else:
-                rest.append((len(words), d, o))
-        rest.sort()
-        for k in range(0, len(rest), 64):  # of like length
-            some = [(self.words[o], flat[begins[d] : ends[d]]) for _, d, o in rest[k : k + 64]]
-            out += [(d, o) for (_, d, o), pair_, near in zip(rest[k : k + 64], some, self.may(some)) if near and self.within(*pair_)]
         return out
 
-    def agree(self, rec: np.ndarray, q: np.ndarray, p: np.ndarray, length: np.ndarray, window: int = 12, slack: int = 3) -> np.ndarray:
-        """Whether some ``window`` item words around a run agree with the record but for ``slack``, on one of the near diagonals each."""
-        n, side = len(q), window - self.piece
-        left = np.zeros((side + 1, n), dtype=np.int8)
-        right = np.zeros((side + 1, n), dtype=np.int8)
-        top = len(rec) - 1
-        for k in range(1, side + 1):
-            a, b = self.flat[np.maximum(p - k, 0)], self.flat[np.minimum(p + length - 1 + k, len(self.flat) - 1)]
-            ok_a = np.zeros(n, dtype=bool)
-            ok_b = np.zeros(n, dtype=bool)
-            for s in (0, -1, 1, -2, 2):
-                ok_a |= rec[np.clip(q - k + s, 0, top)] == a
-                ok_b |= rec[np.clip(q + length - 1 + k + s, 0, top)] == b
-            left[k] = left[k - 1] + (ok_a & (a > 0))
-            right[k] = right[k - 1] + (ok_b & (b > 0))
-        ok = length >= window - slack
-        rest = np.clip(window - length, 0, side)
-        every = np.arange(n)
-        for k in range(side + 1):
-            ok |= (k <= rest) & (length + left[np.minimum(k, rest), every] + right[np.maximum(rest - k, 0), every] >= window - slack)
-        return ok
-
-    def extend(self, item: list[int], rec: list[int], i: int, j: int, step: int) -> list[tuple[int, int, int, int]]:
-        """Walk from ``(i, j)`` in direction ``step`` over matches and small edits: ``(i, j, matches so far, edits so far)`` after each stretch of matches."""
-        out, edits, matches = [], 0, 0
-        n, m = len(item), len(rec)
-
-        def same(a: int, b: int) -> bool:
-            return 0 <= a < n and 0 <= b < m and item[a] == rec[b] and item[a] > 0
-
-        while True:
-            k = 0
-            while same(i, j):
-                i, j, k = i + step, j + step, k + 1
-            if k:
-                matches += k
-                out.append((i, j, matches, edits))
-            jump = None
-            for cost in (1, 2, 3):
-                for di, dj in ((cost, cost), *((cost, x) for x in range(cost - 1, -1, -1)), *((x, cost) for x in range(cost - 1, -1, -1))):
-                    a, b = i + di * step, j + dj * step
-                    if same(a, b) and (same(a + step, b + step) or not 0 <= a + step < n):
-                        jump = (cost, a, b)
-                        break
-                if jump:
-                    break
-            if not jump or edits + jump[0] > (matches + 8) / 3:
-                return out
-            edits, i, j = edits + jump[0], jump[1], jump[2]
-
-    def holds(self, item: list[int], rec: list[int], anchors: list[tuple[int, int, int]]) -> bool:
-        stretches = []
-        for p, q, n in anchors:
-            if any(a <= p and p + n <= b and c <= q and q + n <= d for a, b, c, d, _ in stretches):
+    def followed(self, rec: np.ndarray, q: np.ndarray, p: np.ndarray, size: np.ndarray, pair: np.ndarray) -> dict[str, np.ndarray]:
+        """Exact runs by pair and item place, with how far they reach to the left and right by edits."""
+        order = np.lexsort((q, p, pair))
+        q, p, size, pair = q[order], p[order], size[order], pair[order]
+        k, wide = np.arange(REACH), np.arange(-BAND, REACH + BAND)
+        end = p + size
+        ahead = reach(self.flat[end + k[:, None]], rec[q + size + wide[:, None]])
+        behind = reach(self.flat[p - 1 - k[:, None]], rec[q - 1 - wide[:, None]])
+        return {"q": q, "p": p, "n": size, "pair": pair, "ahead": ahead, "behind": behind, "words": sums(ahead, behind) + size.astype(np.int16)}
+
+    def asked(self, less: int = 0) -> np.ndarray:
+        """Words of a passage by edits, but for ``less``."""
+        e = np.arange(EDITS + 1)
+        return np.maximum(self.least - less, self.per_error * e - self.per_error // 2 - less)[:, None]
+
+    def single(self, runs: dict[str, np.ndarray]) -> set[int]:
+        return set(runs["pair"][(runs["words"] >= self.asked()).any(axis=0)].tolist())
+
+    def double(self, runs: dict[str, np.ndarray]) -> set[int]:
+        """Pairs in which two runs of the same order in both may make a passage: between the runs no more words are used than there are."""
+        q, p, n, pair, words, out = runs["q"], runs["p"], runs["n"], runs["pair"], runs["words"], set()
+        e = np.arange(EDITS + 1)[:, None]
+        for step in range(1, len(q)):
+            a = np.flatnonzero(pair[step:] == pair[:-step])
+            if not len(a):
+                break
+            b = a + step
+            ok = (p[b] >= p[a] + n[a]) & (q[b] >= q[a] + n[a]) & (words[-1, a] + words[-1, b] >= self.least)
+            a, b = a[ok], b[ok]
+            ok = (sums(words[:, a], words[:, b]) >= self.asked()).any(axis=0)
+            a, b = a[ok], b[ok]
+            if not len(a):
                 continue
-            ahead = [(p + n, q + n, 0, 0), *self.extend(item, rec, p + n, q + n, 1)]
-            behind = [(p - 1, q - 1, 0, 0), *self.extend(item, rec, p - 1, q - 1, -1)]
-            best = None
-            for i1, j1, _, e1 in ahead:
-                for i0, j0, _, e0 in behind:
-                    size = i1 - i0 - 1
-                    if (best is None or size > best[1] - best[0]) and (e0 + e1) * self.per_error <= size + self.per_error / 2:
-                        best = (i0 + 1, i1, j0 + 1, j1, e0 + e1)
-            if best:
-                edits = myers(item[best[0] : best[1]], rec[best[2] : best[3]])
-                stretches.append((*best[:4], edits))
-                if best[1] - best[0] >= self.least and self.few(edits, best[1] - best[0]):
-                    return True
-        for x in stretches:
-            for y in stretches:
-                if x[1] <= y[0] and x[3] <= y[2]:
-                    size = x[1] - x[0] + y[1] - y[0]
-                    if size >= self.least and self.few(x[4] + y[4], size):
-                        return True
-        return False
+            room = np.minimum(p[b] - p[a] - n[a], q[b] - q[a] - n[a] + e).astype(np.int16)
+            between = np.minimum(sums(self.fair(runs, "ahead", a), self.fair(runs, "behind", b)), room)
+            whole = sums(sums(self.fair(runs, "behind", a), self.fair(runs, "ahead", b)), between) + (n[a] + n[b]).astype(np.int16)
+            out.update(pair[a[(whole >= self.asked()).any(axis=0)]].tolist())
+        return out
 
-    def enough(self, item: list[int], twos: set) -> bool:
-        """Whether some two stretches of an item have as many of a record's runs of two words as a passage of their size, up to twice ``least``.
-
-        Of a longer passage one half is a passage, too.
-        """
-        hits = [t in twos for t in zip(item, item[1:])]
-        if sum(hits) < self.least_twos:
-            return False
-        sums = np.cumsum([0, *hits])
-        most = np.zeros(2 * self.least + 1, dtype=np.int64)
-        for n in range(1, len(most)):
-            most[n] = (sums[n - 1 :] - sums[: len(sums) - n + 1]).max() if n <= len(sums) else sums[-1]
-        return any((most[: n + 1] + most[n::-1]).max() >= n - 2 * int(n / self.per_error + 0.5) - 2 for n in range(self.least, len(most)))
-
-    def may(self, pairs: list[tuple[list[int], list[int]]], weight: int = 2) -> np.ndarray:
-        """Whether each pair can hold a passage: an upper bound of ``within`` without the number of words, for many pairs at once.
-
-        A passage has ``2 * (words - per_error * edits) >= -per_error`` and ``words >= least``, so the sum of the first and ``weight`` times the
-        second is reached by some alignment; stretches may begin and end anywhere.
-        """
-        c, gain, wide = 2 * self.per_error, 2 + 2 * weight, max(len(r) for _, r in pairs)
-        goal = 2 * weight * self.least - self.per_error
-        r = np.full((len(pairs), wide), -2, dtype=np.int32)
-        t = np.full((max(len(i) for i, _ in pairs), len(pairs), 1), -1, dtype=np.int32)
-        for k, (item, rec) in enumerate(pairs):
-            r[k, : len(rec)] = rec
-            t[: len(item), k, 0] = item
-        at = c * np.arange(wide + 1, dtype=np.int32)
-        first, second, behind = (np.zeros((len(pairs), wide + 1), dtype=np.int32) for _ in range(3))
-        best = np.zeros(len(pairs), dtype=np.int32)
-        for w in t:
-            change = np.where(r == w, gain, gain - c).astype(np.int32)
-
-            def step(x: np.ndarray, begin: np.ndarray, change: np.ndarray = change) -> np.ndarray:
-                x = np.maximum(x, begin)
-                y = x + np.int32(gain - c)
-                np.maximum(y[:, 1:], x[:, :-1] + change, out=y[:, 1:])
-                return np.maximum.accumulate(y + at, axis=1) - at
-
-            first, second = step(first, np.zeros_like(first)), step(second, behind)
-            behind = np.maximum.accumulate(np.maximum(behind, first), axis=1)
-            best = np.maximum(best, np.maximum(first, second).max(axis=1))
-        return best >= goal
-
-    def within(self, item: list[int], rec: list[int]) -> bool:
-        """Whether the record holds a passage, by an alignment of all of both that leaves nothing out.
-
-        For each place of the record and each number of item words so far (``least`` stands for any more), the most that item words less
-        ``per_error`` an edit can be: in a first stretch, behind one, and in a second one. Stretches begin and end with an equal word.
-        """
-        r, cost, low, top = np.array(rec), self.per_error, -(1 << 29), self.least
-        at = cost * np.arange(len(rec) + 1)
-        shape = (top + 1, len(rec) + 1)
-        first, second, behind = (np.full(shape, low) for _ in range(3))
-        for w in item:
-            equal = np.append(False, r == w)
-
-            def step(x: np.ndarray, begin: np.ndarray | None, equal: np.ndarray = equal) -> tuple[np.ndarray, np.ndarray]:
-                """Best values that end with this item word, and those where it is an equal word."""
-                match, other = np.full(shape, low), np.full(shape, low)
-                start = np.full((top + 1, len(rec)), low) if begin is None else begin[:, :-1]
-                if begin is None:
-                    start[0] = 0
-                diagonal = np.maximum(x[:, :-1], start)
-                match[1:, 1:] = diagonal[:-1] + 1
-                match[top, 1:] = np.maximum(match[top, 1:], diagonal[top] + 1)
-                match[:, ~equal] = low
-                other[1:] = x[:-1]
-                other[top] = np.maximum(other[top], x[top])
-                other[1:, 1:] = np.maximum(other[1:, 1:], x[:-1, :-1])
-                other[top, 1:] = np.maximum(other[top, 1:], x[top, :-1])
-                every = np.maximum(match, other + 1 - cost)
-                return np.maximum.accumulate(every + at, axis=1) - at, match
-
-            first, ended = step(first, None)
-            second, last = step(second, behind)
-            # about one in per_error, rounded: 2 * (words - per_error * edits) >= -per_error
-            if 2 * max(ended[top].max(), last[top].max()) >= -cost:
+    def fair(self, runs: dict[str, np.ndarray], side: str, at: np.ndarray) -> np.ndarray:
+        """How far runs reach to a side with no more edits than one in ``per_stretch`` of the words, those of the run included."""
+        x = runs[side][:, at]
+        return np.maximum.accumulate(np.where(x + runs["n"][at] >= self.per_stretch * np.arange(EDITS + 1)[:, None], x, 0), axis=0).astype(np.int16)
+
+    def lone(self, rec: np.ndarray, begins: np.ndarray, sizes: np.ndarray, runs: dict[str, np.ndarray], found: set[int]) -> dict[int, dict[str, np.ndarray]]:
+        """The runs of pairs with a stretch that leaves at most ``3 * piece - 1`` words to a second one that has no exact piece: that has runs one word shorter."""
+        rest = 3 * self.piece - 1
+        strong = ((runs["words"] >= self.asked(rest)) & (np.arange(EDITS + 1) <= self.few(self.least))[:, None]).any(axis=0)
+        strong &= ~np.isin(runs["pair"], list(found))
+        short, at = self.piece - 1, []
+        for x in np.unique(runs["pair"][strong]).tolist():
+            d, o = divmod(x, len(self.starts))
+            item, text = self.flat[self.starts[o] : self.ends[o]], rec[begins[d] : begins[d] + sizes[d]]
+            equal = item[:, None] == text
+            run = equal[: len(item) - short + 1, : len(text) - short + 1]
+            for k in range(1, short):
+                run = run & equal[k : len(item) - short + 1 + k, k : len(text) - short + 1 + k]
+            i, j = np.nonzero(run)
+            at.append((i + self.starts[o], j + begins[d], np.full(len(i), x)))
+        if not at:
+            return {}
+        p, q, pair = (np.concatenate(c) for c in zip(*at))
+        other = self.followed(rec, q, p, np.full(len(p), short), pair)
+        both = {k: np.concatenate([v[..., strong], other[k]], axis=-1) for k, v in runs.items()}
+        order = np.lexsort((both["q"], both["p"], both["pair"]))
+        both = {k: v[..., order] for k, v in both.items()}
+        return {x: {k: v[..., both["pair"] == x] for k, v in both.items()} for x in self.double(both)}
+
+    def verified(self, item: list[int], text: list[int], own: dict[str, np.ndarray]) -> bool:
+        """Whether Myers' search finds in the text what the runs of a pair tell: one stretch, or two in order, with few enough edits."""
+        stretches = []
+        for p, q, n, back, on in zip(own["p"].tolist(), own["q"].tolist(), own["n"].tolist(), own["behind"].T.tolist(), own["ahead"].T.tolist()):
+            for x in sorted(set(back)):
+                for y in sorted(set(on)):
+                    stretches.append((p - x, p + n + y, q - x - back.index(x), q + n + y + on.index(y), back.index(x) + on.index(y)))
+        stretches.sort(key=lambda s: (s[4] * self.per_error - (s[1] - s[0]), s))
+        for a, b, c, d, e in stretches:
+            if b - a >= self.least and e <= self.few(b - a) and myers(item[a:b], text[max(c, 0) : d], True) <= self.few(b - a):
                 return True
-            behind = np.maximum.accumulate(np.maximum(behind, ended), axis=1)
+        by_end = [s for s in stretches if s[4] * self.per_stretch <= s[1] - s[0]]
+        for x in by_end:
+            for y in by_end:
+                size = x[1] - x[0] + y[1] - y[0]
+                if x[1] <= y[0] and x[3] - x[4] <= y[2] + y[4] and size >= self.least and x[4] + y[4] <= self.few(size):
+                    # they part in the record where the second begins
+                    middle = max(x[3] - x[4], min(x[3], y[2]))
+                    if myers(item[x[0] : x[1]], text[max(x[2], 0) : middle], True) + myers(item[y[0] : y[1]], text[middle : y[3]], True) <= self.few(size):
+                        return True
         return False
 
-    def few(self, edits: int, size: int) -> bool:
-        """About one in ``per_error``: the allowance is rounded to the nearest whole number."""
-        return edits <= int(size / self.per_error + 0.5)
-
 
 _ITEMS: dict[int, Items] = {}
 
@@ -334,25 +299,38 @@ def leaks(records: DataFrame, items: DataFrame, key: str = "id", item_key: str =
     it = items.select(F.col(item_key).cast("string"), text).where(F.col(item_key).isNotNull() & F.col(text).isNotNull())
     size = it.agg(F.sum(F.length(text))).first()[0] or 0
     blocks = max(1, -(-size // (6 * block_words)))
-    found = None
-    for k in range(blocks):
-        rows = [tuple(r) for r in it.where(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == k).collect()]  # about block_words words
-        shared = Shared(spark, rows)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            if shared.id not in _ITEMS:
-                _ITEMS.clear()
-                _ITEMS[shared.id] = Items(shared.value, least, per_error)
-            index = _ITEMS[shared.id]
-            for b in batches:
-                for at in range(0, b.num_rows, 500):
-                    part = b.slice(at, 500)
-                    pairs = index.pairs(part.column(1).to_pylist())
+    # the driver holds one block at a time, about block_words words
+    shared = [Shared(spark, [tuple(r) for r in it.where(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == k).collect()]) for k in range(blocks)]
+
+    def index_of(block: Shared) -> Items:
+        if block.id not in _ITEMS:
+            _ITEMS.clear()
+            _ITEMS[block.id] = Items(block.value, least, per_error)
+        return _ITEMS[block.id]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slab: list[tuple[pa.Array, list[list[str]]]] = []
+        held = 0
+
+        def met() -> Iterator[pa.RecordBatch]:
+            for block in shared:
+                index = index_of(block)
+                for ids, words in slab:
+                    pairs = index.held(words)
                     if pairs:
-                        ids = part.column(0).take(pa.array([d for d, _ in pairs]))
-                        yield pa.RecordBatch.from_arrays([pa.array([index.names[o] for _, o in pairs]), ids], names=[item_key, key])
-
-        kind = records.schema[key].dataType.simpleString()
-        part = records.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull()).mapInArrow(run, f"`{item_key}` string, `{key}` {kind}")
-        found = part if found is None else found.unionByName(part)
+                        yield pa.RecordBatch.from_arrays([pa.array([index.names[o] for _, o in pairs]), ids.take(pa.array([d for d, _ in pairs]))], names=[item_key, key])
+
+        for b in batches:
+            for at in range(0, b.num_rows, CHUNK):
+                part = b.slice(at, CHUNK)
+                slab.append((part.column(0), [FORMS.words(t) for t in part.column(1).to_pylist()]))
+                held += part.num_rows
+                if blocks == 1 or held >= SLAB:
+                    yield from met()
+                    slab.clear()
+                    held = 0
+        yield from met()
+
+    kind = records.schema[key].dataType.simpleString()
+    found = records.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull()).mapInArrow(run, f"`{item_key}` string, `{key}` {kind}")
     return found.distinct()

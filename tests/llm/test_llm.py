@@ -240,6 +240,37 @@ def test_leaks_with_near_edits():
         assert leaked(item, noise + x + noise) == {0}
 
 
+def passage(rng, item, size, edits, stretches):
+    """A record with so many words of the item in one or two stretches, edited at random but at their ends."""
+    noise = lambda n: [f"n{rng.randrange(400)}" for _ in range(n)]
+    first = rng.randrange(8, size - 7) if stretches == 2 else size
+    at = rng.randrange(0, len(item) - size - 25)
+    cuts = [item[at : at + first], item[at + first + 9 : at + 9 + size]]
+    free = [k for k in range(1, size - 1) if k not in (first - 1, first)]
+    chosen, out, k = set(rng.sample(free, edits)), noise(30), 0
+    for part in cuts:
+        for w in part:
+            out += rng.choice([[], ["x"], ["x", w]]) if k in chosen else [w]
+            k += 1
+        out += noise(rng.randrange(5, 40))
+    return out
+
+
+def test_leaks_at_the_limit():
+    rng = random.Random(13)
+    item = [f"w{k}" for k in range(120)]
+    index = leaks.Items([("c", " ".join(item))], 30, 6)
+    found, made = collections.Counter(), collections.Counter()
+    for stretches in (1, 2):
+        for size, edits in ((30, 1), (30, 2), (30, 3), (30, 4), (30, 5), (36, 4), (36, 6), (42, 5), (42, 7), (48, 8), (60, 10)):
+            for _ in range(60):
+                made[stretches] += 1
+                found[stretches] += bool(index.pairs([" ".join(passage(rng, item, size, edits, stretches))]))
+    assert found[1] == made[1] and found[2] >= 0.99 * made[2]
+    less = [" ".join(passage(rng, item, 24, 0, k)) for k in (1, 2) for _ in range(100)]
+    assert not index.pairs(less) and not index.pairs([" ".join(rng.sample(item[20:70], 50)) for _ in range(100)])
+
+
 def test_leaks_with_a_short_stretch():
     item = [f"w{k}" for k in range(80)]
     noise = [f"w{k}" for k in range(1000, 1030)]
