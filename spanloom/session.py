@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -43,6 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder: compressed, and read by column, where texts would make a checkpoint large."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def once(df: DataFrame, **cols: Column) -> DataFrame:
     """Adds columns that are computed exactly once a row: a Generate is a barrier to the optimizer, which would else inline them into lambdas."""
     keep = [c for c in df.columns if c not in cols]
