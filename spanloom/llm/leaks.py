@@ -127,6 +127,9 @@ class Items:
         """About one in ``per_error``: the allowance is rounded to the nearest whole number."""
         return int(size / self.per_error + 0.5)
 
+    def fits(self, size: int, edits: int) -> bool:
+        return edits * self.per_stretch <= size
+
     def hash(self, x: np.ndarray) -> np.ndarray:
         """Hash of the piece that starts at each place (the last few are of no use)."""
         u = x.astype(np.uint64)
@@ -278,7 +281,7 @@ class Items:
         for a, b, c, d, e in stretches:
             if b - a >= self.least and e <= self.few(b - a) and myers(item[a:b], text[max(c, 0) : d], True) <= self.few(b - a):
                 return True
-        by_end = [s for s in stretches if s[4] * self.per_stretch <= s[1] - s[0]]
+        by_end = [s for s in stretches if self.fits(s[1] - s[0], s[4])]
         for x in by_end:
             for y in by_end:
                 size = x[1] - x[0] + y[1] - y[0]
