@@ -1,7 +1,8 @@
 """Passages of held-out test items inside training records, by pigeonhole edit matching.
 
-A passage is at least ``least`` words of an item in one or two stretches, of which at most one in ``per_error`` is altered, dropped or added;
-a stretch begins and ends with an equal word, and at most one in ``per_stretch`` of its own words is changed, as less can't be told from chance.
+A passage is at least ``least`` words of an item in one or two stretches, of which at most one in ``per_error`` is altered, dropped or added.
+A stretch begins and ends with an equal word. Of two, each keeps to its own share of edits; up to one in ``per_stretch`` is let pass where
+as many words that few items have are equal, else chance matches of common words would complete any sentence that many texts share.
 Such a passage allows ``budget = least // per_error`` edits and one break, so of ``budget + 2`` pieces one is exact: every run of
 ``least // (budget + 2)`` item words is a piece, found in the records by its hash and compared word for word. Pairs of a record and an item with
 as many piece places as any passage has go on. From each of their exact runs the item is aligned in both directions, for all runs of a batch at
@@ -108,6 +109,8 @@ class Items:
         words = [FORMS.words(t) for _, t in items]
         self.ids = {w: i + 1 for i, w in enumerate(sorted({w for ws in words for w in ws}))}
         self.words = [[self.ids[w] for w in ws] for ws in words]
+        items_of = np.bincount([w for ws in self.words for w in set(ws)], minlength=len(self.ids) + 1)
+        self.rare = items_of <= max(3, len(items) // 100)
         flat, starts = [-1] * PAD, []  # -1 equals no word of a record
         for ws in self.words:
             starts.append(len(flat))
@@ -127,8 +130,10 @@ class Items:
         """About one in ``per_error``: the allowance is rounded to the nearest whole number."""
         return int(size / self.per_error + 0.5)
 
-    def fits(self, size: int, edits: int) -> bool:
-        return edits * self.per_stretch <= size
+    def fits(self, item: list[int], text: list[int], edits: int) -> bool:
+        """Whether one of two stretches, given as words of item and record, has few enough edits for itself, or is borne out by rare words."""
+        more = edits - self.few(len(item))
+        return more <= 0 or (edits * self.per_stretch <= len(item) and len({w for w in item if self.rare[w]}.intersection(text)) > more)
 
     def hash(self, x: np.ndarray) -> np.ndarray:
         """Hash of the piece that starts at each place (the last few are of no use)."""
@@ -281,7 +286,7 @@ class Items:
         for a, b, c, d, e in stretches:
             if b - a >= self.least and e <= self.few(b - a) and myers(item[a:b], text[max(c, 0) : d], True) <= self.few(b - a):
                 return True
-        by_end = [s for s in stretches if self.fits(s[1] - s[0], s[4])]
+        by_end = [s for s in stretches if self.fits(item[s[0] : s[1]], text[max(s[2], 0) : s[3]], s[4])]
         for x in by_end:
             for y in by_end:
                 size = x[1] - x[0] + y[1] - y[0]
