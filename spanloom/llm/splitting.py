@@ -1,10 +1,10 @@
 """Oversized texts into overlapping pieces, cut at natural boundaries and never inside a labelled span.
 
-Texts of up to ``range_chars`` characters are cut where they are read. Longer ones, and files of any size, are processed by ranges: a worker
-sees one range with halos and finds the first natural boundary at or after the range's start; the boundary table is stitched by a window
-over the ranges of a text, so that each segment runs from its range's boundary to the next range's; each segment is cut on its own, looking
-back into its left halo for the overlap; prefix sums over segments number the pieces (and, for files, turn bytes into characters). No task
-holds more than a range and its halos of a file.
+Texts and files of any size are processed by ranges, by one rule: at or after each multiple of the range's size lies a natural boundary, and what
+is between two of them is cut on its own, looking back for the overlap; prefix sums over ranges number the pieces (and, for files, turn bytes into
+characters). A text of one range is cut where it is read; of longer ones the ranges go to workers of their own, with a halo to the left. Of files,
+workers see one range with halos each, find the first boundary in it, stitch the boundary table by a window over the ranges of a file, and no task
+holds more than a range and its halos.
 
 Pieces have at most ``limit`` tokens and start up to ``overlap`` tokens before the end of the piece before. A cut is the last paragraph end
 in the second half of the room, else the last line end there, else the last sentence end, else the last word end; a span wider than the
@@ -20,9 +20,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from spanloom.llm.bitmaps import Bitmap
 from spanloom.llm.packing import word_table
-from spanloom.llm.tokens import Costs, Shared, costs_of, record_key, vocabulary
+from spanloom.llm.tokens import INDEPENDENT, Costs, Shared, costs_of, independent_chunks, record_key, vocabulary
 
 #: What may stand between two words at which a piece may end, best first: 3 a paragraph end, 2 a line end, 1 a sentence end.
 BLANK_LINE = re.compile(r"(?:\r\n|\r|\n)[^\S\r\n]*(?:\r|\n)")
@@ -96,96 +98,132 @@ def cut_text(costs: Costs, text: str, spans: list[tuple[int, int]], limit: int,
     return out
 
 
-def first_boundary(text: str, at: int, halo: int, spans: list[tuple[int, int]]) -> int:
-    """The best place to cut in ``text[at:at + halo]``: a paragraph, line or sentence end, else a blank, else ``at``; outside of spans."""
-    window = text[at : at + halo]
+def first_boundary(text: str, at: int, halo: int, spans: list[tuple[int, int]], whole: bool = False) -> int:
+    """The best place to cut in ``text[at:at + halo]``: a paragraph, line or sentence end, else a blank; outside of spans.
 
-    def free(k: int) -> bool:
+    Where there is none, ``at`` itself, or with ``whole`` the first place behind that no word or span spans, else the text's end.
+    """
+    near = [(a, b) for a, b in spans if a < b and b > at - halo and a < at + halo]
+
+    def free(k: int, spans: list[tuple[int, int]]) -> bool:
         """Neither the cut nor the end of the word before it lies in a span."""
-        return not any(a < k < b or a < len(text[:k].rstrip()) < b for a, b in spans)
+        end = k
+        while end and text[end - 1].isspace():
+            end -= 1
+        return not any(a < k < b or a < end < b for a, b in spans)
 
     for pattern in (BLANK_LINE, LINE, SENTENCE, re.compile(r"\s+")):
-        for m in pattern.finditer(window):
-            if free(at + m.end()):
-                return at + m.end()
-    return at
+        for m in pattern.finditer(text, at, at + halo):
+            if free(m.end(), near):
+                return m.end()
+    if not whole:
+        return at
+    return next((m.end() for m in INDEPENDENT.finditer(text, at) if free(m.end(), spans)), len(text))
+
+
+def over(costs: Costs, text: str | None, limit: int, size: int = 8192) -> bool:
+    """Whether a text has more tokens than the limit; a long one is counted only as far as it takes."""
+    n = 0
+    for part in independent_chunks(text or "", size):
+        n += costs.count(part)
+        if n > limit:
+            return True
+    return False
 
 
 PIECE = "start int, end int, n_tokens bigint, piece string, spans array<struct<start:int,end:int,label:string>>"
 
 
+def one_text_each(r: DataFrame) -> DataFrame:
+    """Rows ``(k, text, …)`` with one row a ``k``: of several texts the greatest by code points. Only rows whose ``k`` is repeated, and a few others, are shuffled."""
+    again = r.groupBy("k").count().where("count > 1").select(F.xxhash64("k").alias("h"))
+    repeated = Bitmap(again, "h", again.count())
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in r.schema)
+
+    def those(inside: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                there = repeated.has(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False))
+                yield b.filter(pa.array(there == inside)).select(range(b.num_columns - 1))
+
+        return r.withColumn("_h", F.xxhash64("k")).mapInArrow(run, fields)
+
+    best = F.max_by(F.struct(*r.columns), F.struct("text", F.xxhash64(*r.columns)))
+    return those(False).unionByName(those(True).groupBy(F.col("k").alias("_k")).agg(best.alias("_r")).select("_r.*"))
+
+
 def split_records(records: DataFrame, vocab: DataFrame, limit: int = 256, overlap: int = 32, range_chars: int = 8192, halo: int = 2048, key: str = "id") -> DataFrame:
     """Pieces of every record over ``limit`` tokens: ``(key, piece_no, n_pieces, start, end, n_tokens, piece, spans)``.
 
     Offsets are code points of the record's text; ``spans`` are those that lie wholly in the piece, with offsets in it (null when the record
-    has null spans). Repeated rows of one id count once; rows without an id are told apart by their text. Spans that are null, empty or out
-    of range don't restrain cuts.
+    has null spans). Repeated rows of one id count once, with the greatest of their texts; rows without an id are told apart by their text.
+    Spans that are null, empty or out of range don't restrain cuts.
     """
     spark = records.sparkSession
     shared = Shared(spark, vocabulary(vocab))
-    r = records.select(F.col(key).alias("id"), record_key(key, "text").alias("k"), "text", "spans").where("text is not null")
-    small = r.where(F.length("text") <= range_chars)
-
-    def cut_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        costs = costs_of(shared)
-        for b in batches:
-            counts = [costs.count(x) for x in b.column(2).to_pylist()]
-            rows = []
-            for row in b.filter(pa.array([n > limit for n in counts])).to_pylist():
-                spans = row["spans"]
-                cuts = cut_text(costs, row["text"], [(s["start"], s["end"]) for s in spans or [] if s and s["start"] is not None and s["end"] is not None], limit, overlap)
-                rows += [piece_row(row["id"], row["k"], i, len(cuts), row["text"], 0, p, spans) for i, p in enumerate(cuts)]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    schema = f"id {records.schema[key].dataType.simpleString()}, k string, piece_no int, n_pieces int, {PIECE}"
+    r = one_text_each(records.select(F.col(key).alias("id"), record_key(key, "text").alias("k"), "text", "spans").where("text is not null"))
+    kind = records.schema[key].dataType
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())])
-    arrow = pa.schema([("id", pa.string()), ("k", pa.string()), ("piece_no", pa.int32()), ("n_pieces", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("n_tokens", pa.int64()), ("piece", pa.string()), ("spans", pa.list_(span))])
-    direct = small.mapInArrow(cut_small, schema)
-
-    # ranges with halos; substring counts from 1
-    big = r.where(F.length("text") > range_chars).withColumn("copy", F.row_number().over(Window.partitionBy("k").orderBy(F.col("text").desc()))).where("copy = 1").drop("copy")
-    n = F.ceil(F.length("text") / range_chars).cast("int")
-    ranges = big.select("id", "k", "spans", n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("text"), F.greatest(i * range_chars - halo, F.lit(0)) + 1, F.lit(range_chars + 2 * halo) - F.when(i == 0, halo).otherwise(0)))).alias("r", "chunk"))
+    head = [("id", to_arrow_type(kind)), ("k", pa.string()), ("r", pa.int32()), ("n", pa.int32())]
+    piece_schema = pa.schema([*head, ("start", pa.int32()), ("end", pa.int32()), ("n_tokens", pa.int64()), ("piece", pa.string()), ("spans", pa.list_(span))])
+    range_schema = pa.schema([*head, ("base", pa.int32()), ("begin", pa.int32()), ("text", pa.string()), ("spans", pa.list_(span))])
+    names = f"id {kind.simpleString()}, k string, r int, n int"
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ranges of oversized texts, each from its boundary to the next one's, with a halo to the left."""
+        costs = costs_of(shared)
         for b in batches:
-            found = []
-            for row in b.to_pylist():
-                base = max(row["r"] * range_chars - halo, 0)
-                local = [(s["start"] - base, s["end"] - base) for s in row["spans"] or [] if s and s["start"] is not None and s["end"] is not None]
-                found.append(base + first_boundary(row["chunk"], row["r"] * range_chars - base, halo, local) if row["r"] else 0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int32())], names=[*b.schema.names, "b"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranges.schema)
-    ordered = Window.partitionBy("k").orderBy("r")
-    stitched = ranges.mapInArrow(find, kinds + ", b int").withColumn("stop", F.lead("b").over(ordered))
-
-    def cut_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            texts = b.column(2).to_pylist()
+            for row in b.filter(pa.array([over(costs, x, limit) for x in texts], pa.bool_())).to_pylist():
+                text, spans = row["text"], valid(row["spans"])
+                edges = [0]
+                for at in range(range_chars, len(text), range_chars):
+                    if at > edges[-1]:
+                        edges.append(first_boundary(text, at, halo, spans, True))
+                edges = sorted({*edges, len(text)})
+                rows = []
+                for no, (begin, stop) in enumerate(zip(edges, edges[1:])):
+                    base = max(0, begin - halo)
+                    own = [s for s in row["spans"] or [] if s and s["start"] is not None and s["end"] is not None and s["start"] < stop and s["end"] > base]
+                    rows.append({"id": row["id"], "k": row["k"], "r": no, "n": len(edges) - 1, "base": base, "begin": begin - base, "text": text[base:stop], "spans": None if row["spans"] is None else own})
+                yield pa.RecordBatch.from_pylist(rows, schema=range_schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         costs = costs_of(shared)
         for b in batches:
             rows = []
             for row in b.to_pylist():
-                base = max(row["r"] * range_chars - halo, 0)
-                spans = row["spans"]
-                local = [(s["start"] - base, s["end"] - base) for s in spans or [] if s and s["start"] is not None and s["end"] is not None]
-                stop = None if row["stop"] is None else row["stop"] - base
-                cuts = cut_text(costs, row["chunk"], local, limit, overlap, row["b"] - base, stop)
-                rows += [piece_row(row["id"], row["k"], row["r"], 0, row["chunk"], base, p, spans) for p in cuts]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
+                base, spans = row["base"], row["spans"]
+                local = [(s["start"] - base, s["end"] - base) for s in spans or []]
+                pieces = [piece_row(row, p) for p in cut_text(costs, row["text"], local, limit, overlap, row["begin"])]
+                if row["n"] == 1:
+                    for no, p in enumerate(pieces):
+                        p |= {"r": no, "n": len(pieces)}
+                rows += pieces
+            yield pa.RecordBatch.from_pylist(rows, schema=piece_schema)
+
+    spans_type = "array<struct<start:int,end:int,label:string>>"
+    ranges = r.mapInArrow(found, f"{names}, base int, begin int, text string, spans {spans_type}")
+    single = ranges.where("n = 1").mapInArrow(cut, f"{names}, {PIECE}")
+    several = ranges.where("n > 1").repartition("k", "r").mapInArrow(cut, f"{names}, {PIECE}")
     by_start = Window.partitionBy("k").orderBy("start")
-    ranged = stitched.mapInArrow(cut_ranges, schema).withColumn("piece_no", F.row_number().over(by_start) - 1).withColumn("n_pieces", F.count("*").over(Window.partitionBy("k")).cast("int"))
-    ranged = ranged.where("n_pieces > 1 or n_tokens > %d" % limit)
-    once = direct.unionByName(ranged).dropDuplicates(["k", "piece_no"])
-    return once.drop("k").withColumnRenamed("id", key)
+    whole = Window.partitionBy("k")
+    several = several.withColumn("no", (F.row_number().over(by_start) - 1).cast("int")).withColumn("n_pieces", F.count("*").over(whole).cast("int"))
+    # the pieces of a text of one range come from one task in one go
+    single = single.withColumn("no", F.col("r")).withColumn("n_pieces", F.col("n"))
+    out = single.unionByName(several)
+    return out.select(F.col("id").alias(key), F.col("no").alias("piece_no"), "n_pieces", "start", "end", "n_tokens", "piece", "spans")
+
+
+def valid(spans: list | None) -> list[tuple[int, int]]:
+    return [(s["start"], s["end"]) for s in spans or [] if s and s["start"] is not None and s["end"] is not None]
 
 
-def piece_row(id_: str, k: str, no: int, n: int, text: str, base: int, piece: tuple[int, int, int], spans: list | None) -> dict:
+def piece_row(row: dict, piece: tuple[int, int, int]) -> dict:
     a, b, tokens = piece
-    inner = None if spans is None else [{"start": s["start"] - base - a, "end": s["end"] - base - a, "label": s["label"]} for s in spans if s and s["start"] is not None and s["end"] is not None and a <= s["start"] - base and s["end"] - base <= b]
-    return {"id": id_, "k": k, "piece_no": no, "n_pieces": n, "start": base + a, "end": base + b, "n_tokens": tokens, "piece": text[a:b], "spans": inner}
+    base, spans = row["base"], row["spans"]
+    inner = None if spans is None else [{"start": s["start"] - base - a, "end": s["end"] - base - a, "label": s["label"]} for s in spans if a <= s["start"] - base and s["end"] - base <= b]
+    return {"id": row["id"], "k": row["k"], "r": row["r"], "n": row["n"], "start": base + a, "end": base + b, "n_tokens": tokens, "piece": row["text"][a:b], "spans": inner}
 
 
 def split_files(spark: SparkSession, paths: list[str], vocab: DataFrame, limit: int = 256, overlap: int = 32, range_bytes: int = 4 << 20, halo: int = 16384) -> DataFrame:
