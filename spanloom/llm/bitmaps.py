@@ -27,7 +27,7 @@ class Bitmap:
     """Which numbers of a column are there, but for some that aren't; a bitmap of at most ``MOST_BITS``, sized by the numbers expected."""
 
     def __init__(self, df: DataFrame, column: str, expected: int, numbers: Callable[[pa.RecordBatch], np.ndarray] | None = None):
-        self.bits = int(min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * max(expected, 1))))))
+        self.bits = int(min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(8 * max(expected, 1))))))
         bits = self.bits
 
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
