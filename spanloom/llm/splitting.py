@@ -197,19 +197,19 @@ def split_records(records: DataFrame, vocab: DataFrame, limit: int = 256, overla
                 local = [(s["start"] - base, s["end"] - base) for s in spans or []]
                 pieces = [piece_row(row, p) for p in cut_text(costs, row["text"], local, limit, overlap, row["begin"])]
                 if row["n"] == 1:
-                    for no, p in enumerate(pieces):
+                    for no, p in enumerate(pieces):  # all there are
                         p |= {"r": no, "n": len(pieces)}
                 rows += pieces
             yield pa.RecordBatch.from_pylist(rows, schema=piece_schema)
 
     spans_type = "array<struct<start:int,end:int,label:string>>"
-    ranges = r.mapInArrow(found, f"{names}, base int, begin int, text string, spans {spans_type}")
-    single = ranges.where("n = 1").mapInArrow(cut, f"{names}, {PIECE}")
-    several = ranges.where("n > 1").repartition("k", "r").mapInArrow(cut, f"{names}, {PIECE}")
+    long = F.length("text") > range_chars
+    single = r.where(~long).mapInArrow(lambda batches: cut(found(batches)), f"{names}, {PIECE}")  # a text of one range is numbered where it is cut
+    ranges = r.where(long).mapInArrow(found, f"{names}, base int, begin int, text string, spans {spans_type}")
+    several = ranges.repartition("k", "r").mapInArrow(cut, f"{names}, {PIECE}")
     by_start = Window.partitionBy("k").orderBy("start")
     whole = Window.partitionBy("k")
     several = several.withColumn("no", (F.row_number().over(by_start) - 1).cast("int")).withColumn("n_pieces", F.count("*").over(whole).cast("int"))
-    # the pieces of a text of one range come from one task in one go
     single = single.withColumn("no", F.col("r")).withColumn("n_pieces", F.col("n"))
     out = single.unionByName(several)
     return out.select(F.col("id").alias(key), F.col("no").alias("piece_no"), "n_pieces", "start", "end", "n_tokens", "piece", "spans")
