@@ -11,24 +11,27 @@ from pyspark.sql import functions as F
 from spanloom.session import ship
 
 
-def token_labels(tokens: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
+def token_labels(tokens: DataFrame, spans: DataFrame, key: str = "doc_id", cell: int = 256) -> DataFrame:
     """``(key, i, start, end, label)``: the first span that overlaps a token labels it.
 
     A token of no width gets ``-100``, one without a span ``O``; else ``I-`` when the token before has a width and overlaps the same span, and
-    ``B-`` otherwise. Spans: ``(key, start, end, label)`` in the order of ``start, end``. Spans meet only the tokens of their own document.
+    ``B-`` otherwise. Spans: ``(key, start, end, label)`` in the order of ``start, end, label``. Tokens meet only the spans in their own stretch of
+    ``cell`` characters, so a long document costs no more than several short ones.
     """
-    ordinal = F.row_number().over(Window.partitionBy(key).orderBy("start", "end", "label"))
-    s = spans.select(key, F.col("start").alias("s"), F.col("end").alias("e"), F.col("label").alias("l"), ordinal.alias("o"))
+    t = tokens.select(key, "i", "start", "end")
     order = Window.partitionBy(key).orderBy("i")
-    t = tokens.select(key, "i", "start", "end").withColumn("ps", F.coalesce(F.lag("start").over(order), F.lit(0))).withColumn("pe", F.coalesce(F.lag("end").over(order), F.lit(0)))
-    # a document's spans as one sorted array beside its tokens: each token reads the first that overlaps, without a join per pair
-    packed = s.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("o", "s", "e", "l"))).alias("spans"))
-    j = t.join(packed, key, "left")
-    hit = F.get(F.filter("spans", lambda x: (x["s"] < F.col("end")) & (x["e"] > F.col("start"))), F.lit(0))
-    j = j.withColumn("x", hit)
-    inside = (F.col("ps") < F.col("x.e")) & (F.col("pe") > F.col("x.s")) & (F.col("ps") != F.col("pe"))
-    label = F.when(F.col("start") == F.col("end"), "-100").when(F.col("x").isNull(), "O").otherwise(F.concat(F.when(inside, "I-").otherwise("B-"), F.col("x.l")))
-    return j.select(key, "i", "start", "end", label.alias("label"))
+    before = F.struct(F.coalesce(F.lag("start").over(order), F.lit(0)).alias("ps"), F.coalesce(F.lag("end").over(order), F.lit(0)).alias("pe"))
+    t = t.withColumn("_p", before)
+    cells = lambda a, b: F.sequence(F.floor(a / cell), F.floor(F.greatest(a, b - 1) / cell))
+    s = spans.where("start is not null and end is not null and end > start").select(F.col(key).alias("_k"), F.explode(cells(F.col("start"), F.col("end"))).alias("_c"), F.struct("start", "end", "label").alias("_s"))
+    s = s.groupBy("_k", "_c").agg(F.array_sort(F.collect_list("_s")).alias("_s"))  # at most what lies in a stretch
+    in_cell = t.where("end > start").withColumn("_c", F.explode(cells(F.col("start"), F.col("end"))))
+    hit = F.get(F.filter("_s", lambda x: (x["start"] < F.col("end")) & (x["end"] > F.col("start"))), F.lit(0))
+    j = in_cell.join(s, F.col(key).eqNullSafe(F.col("_k")) & (in_cell["_c"] == s["_c"]), "left").select(key, "i", "start", "end", "_p", hit.alias("x"))
+    j = j.groupBy(key, "i", "start", "end", "_p").agg(F.min("x").alias("x"))
+    inside = (F.col("_p.ps") < F.col("x.end")) & (F.col("_p.pe") > F.col("x.start")) & (F.col("_p.ps") != F.col("_p.pe"))
+    label = F.when(F.col("x").isNull(), "O").otherwise(F.concat(F.when(inside, "I-").otherwise("B-"), F.col("x.label")))
+    return j.select(key, "i", "start", "end", label.alias("label")).unionByName(t.where("end <= start").select(key, "i", "start", "end", F.lit("-100").alias("label")))
 
 
 def span_rows(records: DataFrame, key: str = "id", spans: str = "spans") -> DataFrame:

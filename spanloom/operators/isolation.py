@@ -1,6 +1,6 @@
 """Keeping test material out of training material: ids, names, word runs and blocked values.
 
-The test side is small against the corpus, but is broadcast only when its rows are counted and few (``maybe_broadcast``); else the same joins
+The test side is small against the corpus, but is broadcast only when its bytes are measured and few (``bounded_broadcast``); else the same joins
 shuffle.
 """
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import col, has_name, is_plain_name, shingles, words
-from spanloom.session import once
+from spanloom.session import bounded_broadcast, once
 
 #: Words that alone make no name.
 GENERIC_WORDS = (
@@ -19,12 +19,6 @@ GENERIC_WORDS = (
     "asociados limited ltd llp plc inc sa sl srl sarl sas company compagnie compañía société sociedad management gestion consulting energy "
     "energía énergie telecom mobile university college school hospital trust council"
 ).split()
-BROADCAST_ROWS = 500_000
-
-
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a side counted to be small; any other goes unhinted."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def shared_ids(items: DataFrame, tests: DataFrame, key: str = "id", test_key: str = "case_id") -> DataFrame:
@@ -41,7 +35,7 @@ def run_table(df: DataFrame, key: str, text: str, size: int = 8) -> DataFrame:
 def shared_runs(items: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "text", test_text: str = "text", size: int = 8, more_than: int = 3) -> DataFrame:
     """``(key, n_shared)`` of items that share more than so many distinct word runs with the test texts."""
     t = run_table(tests.withColumn("_k", F.lit(0)), "_k", test_text, size).select("run").distinct()
-    hits = run_table(items, key, text, size).distinct().join(maybe_broadcast(t), "run")
+    hits = run_table(items, key, text, size).distinct().join(bounded_broadcast(t), "run")
     return hits.groupBy(key).agg(F.count("*").alias("n_shared")).where(F.col("n_shared") > more_than)
 
 
@@ -57,11 +51,14 @@ def test_names(tests: DataFrame, real: DataFrame | None = None, expected: str =
 def names_in(items: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", name: str = "name") -> DataFrame:
     """``(key, name)`` of whole-word occurrences in any case: an equi-join on the name's first word, then the exact test on the text.
 
-    Texts are joined to the names of their own words only, so there is no cross join; a name without a word never occurs.
+    Words meet the names first and carry no text; only pairs found get it back, so there is no cross join and no text a word. A name without a
+    word never occurs.
     """
     n = names.select(F.col(name).alias("name"), F.element_at(words(name), 1).alias("w")).where("w is not null").distinct()
-    w = items.select(key, text, F.explode(F.array_distinct(words(text))).alias("w"))
-    return w.join(maybe_broadcast(n), "w").where(has_name(text, "name")).select(key, "name").distinct()
+    w = items.select(F.col(key).alias("_k"), F.explode(F.array_distinct(words(text))).alias("w"))
+    pairs = w.join(bounded_broadcast(n), "w").select("_k", "name").distinct()
+    found = items.select(key, F.col(text).alias("_t")).join(pairs, F.col(key).eqNullSafe(F.col("_k")))
+    return found.where(has_name("_t", "name")).select(key, "name").distinct()
 
 
 def generator_values(values: DataFrame, value: str = "value") -> DataFrame:

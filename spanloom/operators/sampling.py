@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.session import running
+
 
 def first_of(df: DataFrame, key: Column | str, order: list[Column | str]) -> DataFrame:
     """One row a key, the first by ``order``; an aggregation, so a hot key meets only its partial winners."""
@@ -43,11 +45,11 @@ def dev_split(ids: DataFrame, share: float = 0.1, key: str = "id", stratum: str
 
 
 def quota(df: DataFrame, size: Column | str, goal: Column | str, order: list[Column | str], by: list[str]) -> DataFrame:
-    """Rows of each group in order as long as those before them add up to less than the goal."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    """Rows of each group in order as long as those before them add up to less than the goal. Rows of equal order count in any order; null sizes are 0."""
     n = F.col(size) if isinstance(size, str) else size
     g = F.col(goal) if isinstance(goal, str) else goal
-    return df.withColumn("_before", F.coalesce(F.sum(n).over(w), F.lit(0))).where(F.col("_before") < g).drop("_before")
+    d = running(df.withColumn("_goal", g), F.coalesce(n, F.lit(0)), order, by)
+    return d.where(F.col("_before") < F.col("_goal")).drop("_before", "_goal")
 
 
 def mix_goals(available: DataFrame, chunks: int, registry: float = 0.25, document: float = 0.15, languages: int = 3) -> DataFrame:
@@ -64,8 +66,8 @@ def mix_goals(available: DataFrame, chunks: int, registry: float = 0.25, documen
 def round_robin(slots: DataFrame, pool: DataFrame, slot: str = "slot", order: str = "id") -> DataFrame:
     """Each slot with the row ``slot mod n`` of the pool in order; an empty pool gives nothing."""
     n = pool.count()
-    p = pool.withColumn("_k", F.row_number().over(Window.orderBy(order)) - 1)
-    return slots.withColumn("_k", F.pmod(F.col(slot), F.lit(max(n, 1))).cast("int")).join(p, "_k").drop("_k")
+    p = running(pool, F.lit(1), [order], name="_k")
+    return slots.withColumn("_k", F.pmod(F.col(slot), F.lit(max(n, 1))).cast("bigint")).join(p, "_k").drop("_k")
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:

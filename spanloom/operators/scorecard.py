@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.intent import LISTS, TYPES, hidden, lits, normalize
+from spanloom.session import running
 
 FIELDS = ["types", *LISTS, "unsupported"]
 
@@ -56,20 +57,26 @@ def breakdown(marked: DataFrame, lang: str = "lang", tags: str = "tags") -> Data
 
 
 def costs(marked: DataFrame, key: str = "id") -> DataFrame:
-    """``(severity, n, ids)`` of misses."""
-    x = marked.where(~F.col("ok")).select(key, F.explode("severity").alias("severity"))
-    return x.groupBy("severity").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(key)).alias("ids"))
+    """``(severity, id)``, a row for each miss and severity."""
+    return marked.where(~F.col("ok")).select(F.explode("severity").alias("severity"), F.col(key).alias("id"))
+
+
+def cost_counts(marked: DataFrame, key: str = "id") -> DataFrame:
+    """``(severity, n)`` of misses."""
+    return costs(marked, key).groupBy("severity").agg(F.count("*").alias("n"))
 
 
 def index_percentiles(df: DataFrame, value: str, shares: dict[str, tuple[int, int]]) -> DataFrame:
     """Values at the places ``n * a // b`` of the sorted column, which are not interpolated percentiles. Nulls are left out.
 
-    Value counts are summed up in order, so no more than the distinct values meet in one task.
+    Value counts are summed up in order by ranges of values.
     """
     c = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    c = c.withColumn("_upto", F.sum("_c").over(Window.orderBy("_v"))).withColumn("_n", F.sum("_c").over(Window.partitionBy()))
-    pick = [F.min(F.when(F.col("_upto") > F.floor(F.col("_n") * a / F.lit(b)), F.col("_v"))).alias(name) for name, (a, b) in shares.items()]
-    return c.agg(*pick)
+    c = running(c, F.col("_c"), ["_v"])
+    total = c.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_n"))
+    place = lambda a, b: F.floor(F.col("_n") * a / F.lit(b))
+    at = lambda a, b: (F.col("_before") <= place(a, b)) & (F.col("_before") + F.col("_c") > place(a, b))
+    return c.join(F.broadcast(total)).agg(*[F.min(F.when(at(a, b), F.col("_v"))).alias(name) for name, (a, b) in shares.items()])
 
 
 def entity_scores(gold: DataFrame, predicted: DataFrame, key: str = "doc_id") -> DataFrame:

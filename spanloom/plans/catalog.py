@@ -229,8 +229,7 @@ def html_text(spark: SparkSession, folder: str) -> DataFrame:
 )
 def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "intent_cases").where("instruction is not null").select("id", F.md5(tx.norm("instruction")).alias("k"))
-    first = sampling.first_of(c.groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("n")), "k", ["id"])
-    return first.select(F.col("k").alias("norm_digest"), "id", "n")
+    return sampling.first_of(c, "k", ["id"]).join(c.groupBy("k").agg(F.count("*").alias("n")), "k").select(F.col("k").alias("norm_digest"), "id", "n")
 
 
 @query()
@@ -511,7 +510,7 @@ def intent_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def intent_costs(spark: SparkSession, folder: str) -> DataFrame:
-    return scorecard.costs(scorecard.marks(scorecard.joined(*_predictions(spark, folder)))).select("severity", "n")
+    return scorecard.cost_counts(scorecard.marks(scorecard.joined(*_predictions(spark, folder))))
 
 
 @query(

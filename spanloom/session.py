@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,11 +30,14 @@ def local_session(cores: str = "8", shuffle: int = 8, memory: str = "8g") -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder (``spark.checkpoint.dir``); a temporary one only where none is set, as in tests."""
+    """The cluster's checkpoint folder (``spark.checkpoint.dir``). Where none is set, a temporary one on a single machine; a cluster without one is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if named is None and current.isEmpty():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = tempfile.mkdtemp(prefix="spanloom-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if current.isEmpty():
         spark.sparkContext.setCheckpointDir(named)
     return named or current.get()
@@ -58,6 +63,34 @@ def once(df: DataFrame, **cols: Column) -> DataFrame:
     return one.select(*keep, *[F.col("_once")[n].alias(n) for n in cols])
 
 
+def running(df: DataFrame, amount: Column, order: list[str | Column], by: list[str] | None = None, name: str = "_before") -> DataFrame:
+    """Adds the sum of ``amount`` over all rows before in the order, within ``by``.
+
+    Rows go to tasks by ranges of the order, so neither a large group nor the whole table meets in one; only sums of ranges are put in order.
+    """
+    by = by or []
+    names = [f"_o{i}" for i in range(len(order))]
+    d = df.select("*", *[(F.col(o) if isinstance(o, str) else o).alias(n) for o, n in zip(order, names)], amount.alias("_amount"))
+    d = cut(d.repartitionByRange(*by, *names).withColumn("_part", F.spark_partition_id()))
+    keys = [f"_k{i}" for i in range(len(by))]
+    sums = d.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col("_part").alias("_p")).agg(F.sum("_amount").alias("_s"))  # a row a range and group in it
+    earlier = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_s").over(earlier), F.lit(0))).drop("_s")
+    same = d["_part"] == sums["_p"]
+    for c, k in zip(by, keys):
+        same = same & d[c].eqNullSafe(sums[k])
+    inner = Window.partitionBy(*by, "_part").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    out = d.join(sums, same).withColumn(name, F.col("_base") + F.coalesce(F.sum("_amount").over(inner), F.lit(0)))
+    return out.select(*df.columns, name)
+
+
+def bounded_broadcast(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """A broadcast hint for a side whose bytes are measured to be few; any other goes unhinted. It is computed once."""
+    d = cut(df)
+    width = sum((F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) for f in d.schema), F.lit(16))
+    return F.broadcast(d) if (d.agg(F.sum(width)).first()[0] or 0) <= most else d
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when the scan gives fewer tasks than there are cores, as with one small file; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -59,10 +59,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str, split: str | None = None, drop: tuple[str, ...] = ("base",), seed: int = 0, key: str = "id") -> None:
-    """JSON lines, a folder a split, in a seeded order within each file; helper columns are dropped."""
+    """JSON lines, a folder a split, in a seeded order over its files; helper columns are dropped. Files are ranges of that order, so a split has many writers."""
     d = df.drop(*drop).withColumn("_o", F.xxhash64(key, F.lit(seed)))
-    d = d.repartition(split).sortWithinPartitions("_o") if split else d.sortWithinPartitions("_o")
-    w = d.drop("_o").write.mode("overwrite")
+    by = [split] if split else []
+    w = d.repartitionByRange(*by, "_o").sortWithinPartitions(*by, "_o").drop("_o").write.mode("overwrite")
     (w.partitionBy(split) if split else w).json(path)
 
 
