@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from spanloom.llm.bitmaps import Bitmap
+from spanloom.llm.bitmaps import Bitmap, chunks
 from spanloom.llm.packing import word_table
 from spanloom.llm.tokens import INDEPENDENT, Costs, Shared, costs_of, independent_chunks, record_key, vocabulary
 
@@ -134,24 +134,6 @@ def over(costs: Costs, text: str | None, limit: int, size: int = 8192) -> bool:
 PIECE = "start int, end int, n_tokens bigint, piece string, spans array<struct<start:int,end:int,label:string>>"
 
 
-def one_text_each(r: DataFrame) -> DataFrame:
-    """Rows ``(k, text, …)`` with one row a ``k``: of several texts the greatest by code points. Only rows whose ``k`` is repeated, and a few others, are shuffled."""
-    again = r.groupBy("k").count().where("count > 1").select(F.xxhash64("k").alias("h"))
-    repeated = Bitmap(again, "h", again.count())
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in r.schema)
-
-    def those(inside: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                there = repeated.has(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False))
-                yield b.filter(pa.array(there == inside)).select(range(b.num_columns - 1))
-
-        return r.withColumn("_h", F.xxhash64("k")).mapInArrow(run, fields)
-
-    best = F.max_by(F.struct(*r.columns), F.struct("text", F.xxhash64(*r.columns)))
-    return those(False).unionByName(those(True).groupBy(F.col("k").alias("_k")).agg(best.alias("_r")).select("_r.*"))
-
-
 def split_records(records: DataFrame, vocab: DataFrame, limit: int = 256, overlap: int = 32, range_chars: int = 8192, halo: int = 2048, key: str = "id") -> DataFrame:
     """Pieces of every record over ``limit`` tokens: ``(key, piece_no, n_pieces, start, end, n_tokens, piece, spans)``.
 
@@ -161,7 +143,10 @@ def split_records(records: DataFrame, vocab: DataFrame, limit: int = 256, overla
     """
     spark = records.sparkSession
     shared = Shared(spark, vocabulary(vocab))
-    r = one_text_each(records.select(F.col(key).alias("id"), record_key(key, "text").alias("k"), "text", "spans").where("text is not null"))
+    # one text an id: only rows whose id is repeated, and a few others, are shuffled, and the greatest text by code points stays
+    r = records.select(F.col(key).alias("id"), record_key(key, "text").alias("k"), "text", "spans").where("text is not null")
+    again = r.groupBy("k").count().where("count > 1").select(F.xxhash64("k").alias("h"))
+    repeated = Bitmap(again, "h", again.count())
     kind = records.schema[key].dataType
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())])
     head = [("id", to_arrow_type(kind)), ("k", pa.string()), ("r", pa.int32()), ("n", pa.int32())]
@@ -169,47 +154,61 @@ def split_records(records: DataFrame, vocab: DataFrame, limit: int = 256, overla
     range_schema = pa.schema([*head, ("base", pa.int32()), ("begin", pa.int32()), ("text", pa.string()), ("spans", pa.list_(span))])
     names = f"id {kind.simpleString()}, k string, r int, n int"
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ranges_of(b: pa.RecordBatch) -> list[dict]:
         """The ranges of oversized texts, each from its boundary to the next one's, with a halo to the left."""
-        costs = costs_of(shared)
+        costs, rows = costs_of(shared), []
+        for row in b.filter(pa.array([over(costs, x, limit) for x in b.column(2).to_pylist()], pa.bool_())).to_pylist():
+            text, spans = row["text"], valid(row["spans"])
+            edges = [0]
+            for at in range(range_chars, len(text), range_chars):
+                if at > edges[-1]:
+                    edges.append(first_boundary(text, at, halo, spans, True))
+            edges = sorted({*edges, len(text)})
+            for no, (begin, stop) in enumerate(zip(edges, edges[1:])):
+                base = max(0, begin - halo)
+                own = [s for s in row["spans"] or [] if s and s["start"] is not None and s["end"] is not None and s["start"] < stop and s["end"] > base]
+                rows.append({"id": row["id"], "k": row["k"], "r": no, "n": len(edges) - 1, "base": base, "begin": begin - base, "text": text[base:stop], "spans": None if row["spans"] is None else own})
+        return rows
+
+    def pieces_of(rows: list[dict]) -> list[dict]:
+        costs, out = costs_of(shared), []
+        for row in rows:
+            local = [(s["start"] - row["base"], s["end"] - row["base"]) for s in row["spans"] or []]
+            pieces = [piece_row(row, p) for p in cut_text(costs, row["text"], local, limit, overlap, row["begin"])]
+            if row["n"] == 1:
+                for no, p in enumerate(pieces):  # all there are
+                    p |= {"r": no, "n": len(pieces)}
+            out += pieces
+        return out
+
+    def fresh(batches: Iterator[pa.RecordBatch], inside: bool) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            yield b.filter(pa.array(repeated.has(b.column(4).to_numpy(zero_copy_only=False)) == inside)).select(range(4))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            for row in b.filter(pa.array([over(costs, x, limit) for x in texts], pa.bool_())).to_pylist():
-                text, spans = row["text"], valid(row["spans"])
-                edges = [0]
-                for at in range(range_chars, len(text), range_chars):
-                    if at > edges[-1]:
-                        edges.append(first_boundary(text, at, halo, spans, True))
-                edges = sorted({*edges, len(text)})
-                rows = []
-                for no, (begin, stop) in enumerate(zip(edges, edges[1:])):
-                    base = max(0, begin - halo)
-                    own = [s for s in row["spans"] or [] if s and s["start"] is not None and s["end"] is not None and s["start"] < stop and s["end"] > base]
-                    rows.append({"id": row["id"], "k": row["k"], "r": no, "n": len(edges) - 1, "base": base, "begin": begin - base, "text": text[base:stop], "spans": None if row["spans"] is None else own})
-                yield pa.RecordBatch.from_pylist(rows, schema=range_schema)
+            yield pa.RecordBatch.from_pylist(ranges_of(b), schema=range_schema)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        costs = costs_of(shared)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for row in b.to_pylist():
-                base, spans = row["base"], row["spans"]
-                local = [(s["start"] - base, s["end"] - base) for s in spans or []]
-                pieces = [piece_row(row, p) for p in cut_text(costs, row["text"], local, limit, overlap, row["begin"])]
-                if row["n"] == 1:
-                    for no, p in enumerate(pieces):  # all there are
-                        p |= {"r": no, "n": len(pieces)}
-                rows += pieces
-            yield pa.RecordBatch.from_pylist(rows, schema=piece_schema)
+            yield pa.RecordBatch.from_pylist(pieces_of(ranges_of(b)), schema=piece_schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            yield pa.RecordBatch.from_pylist(pieces_of(b.to_pylist()), schema=piece_schema)
 
     spans_type = "array<struct<start:int,end:int,label:string>>"
+    piece_fields, range_fields = f"{names}, {PIECE}", f"{names}, base int, begin int, text string, spans {spans_type}"
+    known = r.withColumn("h", F.xxhash64("k"))
+    twice = known.mapInArrow(lambda batches: fresh(batches, True), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in r.schema))
+    best = F.max_by(F.struct(*r.columns), F.struct("text", F.xxhash64("spans")))
+    twice = twice.groupBy(F.col("k").alias("_k")).agg(best.alias("_r")).select("_r.*")
     long = F.length("text") > range_chars
-    single = r.where(~long).mapInArrow(lambda batches: cut(found(batches)), f"{names}, {PIECE}")  # a text of one range is numbered where it is cut
-    ranges = r.where(long).mapInArrow(found, f"{names}, base int, begin int, text string, spans {spans_type}")
-    several = ranges.repartition("k", "r").mapInArrow(cut, f"{names}, {PIECE}")
+    single = known.where(~long).mapInArrow(lambda batches: whole(fresh(batches, False)), piece_fields).unionByName(twice.where(~long).mapInArrow(lambda batches: whole(chunks(batches)), piece_fields))
+    ranges = known.where(long).mapInArrow(lambda batches: found(fresh(batches, False)), range_fields).unionByName(twice.where(long).mapInArrow(lambda batches: found(chunks(batches)), range_fields))
+    several = ranges.repartition("k", "r").mapInArrow(cut, piece_fields)
     by_start = Window.partitionBy("k").orderBy("start")
-    whole = Window.partitionBy("k")
-    several = several.withColumn("no", (F.row_number().over(by_start) - 1).cast("int")).withColumn("n_pieces", F.count("*").over(whole).cast("int"))
+    several = several.withColumn("no", (F.row_number().over(by_start) - 1).cast("int")).withColumn("n_pieces", F.count("*").over(Window.partitionBy("k")).cast("int"))
     single = single.withColumn("no", F.col("r")).withColumn("n_pieces", F.col("n"))
     out = single.unionByName(several)
     return out.select(F.col("id").alias(key), F.col("no").alias("piece_no"), "n_pieces", "start", "end", "n_tokens", "piece", "spans")
