@@ -6,7 +6,7 @@ propagation over the edges in both directions, each round also taking the label
 rounds. Lineage is cut by a checkpoint every round and nothing of the graph reaches the driver but the count of changed labels.
 
 Groups are assigned whole: large ones one by one, all others in hash buckets, so the driver balances at most ``buckets`` plus
-``1 / large`` vectors of label counts, greedily lowering the squared deviation of each split's label counts from its proportion.
+``1 / large`` vectors of a bounded number of label counts, greedily lowering the squared deviation of each split's label counts from its proportion.
 """
 
 from __future__ import annotations
@@ -91,23 +91,27 @@ def related_groups(records: DataFrame, files: DataFrame) -> DataFrame:
     return out.select(F.when(F.col("label").startswith("f"), F.substring("label", 2, 1 << 30)).otherwise(F.col("least")).alias("group_id"), "id")
 
 
-def assign_splits(groups: DataFrame, labels: DataFrame, shares: dict[str, float], label: str = "label", buckets: int = 4096, large: float = 0.0005) -> DataFrame:
-    """``(id, group_id, split)``: whole groups to splits, label counts near to the shares. ``labels``: ``(id, label)``, at most 1,000 labels.
+def assign_splits(groups: DataFrame, labels: DataFrame, shares: dict[str, float], label: str = "label", buckets: int = 4096, large: float = 0.0005, told_apart: int = 1000) -> DataFrame:
+    """``(id, group_id, split)``: whole groups to splits, label counts near to the shares. ``labels``: ``(id, label)``; an id without one counts under null.
 
-    A group over ``large`` of all records is placed by itself, the others by the hash bucket of their ``group_id``.
+    A group over ``large`` of all records is placed by itself, the others by the hash bucket of their ``group_id``. The ``told_apart`` most
+    frequent labels are balanced each by itself, any others in 64 lots by their hash; every record counts under one of these.
     """
     spark = groups.sparkSession
-    top = [r[0] for r in labels.groupBy(label).count().orderBy(F.desc("count"), label).limit(1000).collect()]
     x = groups.join(labels.groupBy("id").agg(F.min(label).alias("label")), "id", "left")
     sizes = cut(x.groupBy("group_id", "label").count())
+    top = sizes.groupBy("label").agg(F.sum("count").alias("n")).where("label is not null").orderBy(F.desc("n"), "label").limit(told_apart).select("label", F.col("label").alias("own"))
+    lot = F.when(F.col("label").isNotNull(), F.coalesce("own", F.concat(F.lit("\0lot "), F.pmod(F.xxhash64("label"), F.lit(64)).cast("string"))))
+    sizes = cut(sizes.join(F.broadcast(top), "label", "left").groupBy("group_id", lot.alias("label")).agg(F.sum("count").alias("count")))
     total = sizes.agg(F.sum("count")).first()[0] or 0
     big = sizes.groupBy("group_id").agg(F.sum("count").alias("n")).where(F.col("n") > large * total).select("group_id", F.col("group_id").alias("big"))  # at most 1 / large rows
     unit = F.coalesce(F.concat(F.lit("g"), "big"), F.concat(F.lit("b"), F.pmod(F.xxhash64("group_id"), F.lit(buckets)).cast("string")))
-    units = sizes.join(F.broadcast(big), "group_id", "left").groupBy(unit.alias("unit"), "label").agg(F.sum("count").alias("n")).collect()
-    index = {v: i for i, v in enumerate(top)}
+    units = sizes.join(F.broadcast(big), "group_id", "left").groupBy(unit.alias("unit"), "label").agg(F.sum("count").alias("n")).collect()  # units times told_apart + 65 rows at most
+    index = {v: i for i, v in enumerate(sorted({r["label"] or "" for r in units}))}
     vectors: dict[str, dict[int, int]] = {}
     for u, v, n in units:
-        vectors.setdefault(u, {})[index.get(v, len(top))] = n
+        counts = vectors.setdefault(u, {})
+        counts[index[v or ""]] = counts.get(index[v or ""], 0) + n
     names = list(shares)
     totals: dict[int, int] = {}
     for vec in vectors.values():

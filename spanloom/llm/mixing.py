@@ -22,6 +22,7 @@ from spanloom.llm.tokens import count_tokens
 from spanloom.session import cut
 
 MAX_SOURCES = 256
+PLAN_ROW, PLAN_BYTES = 64, 64 << 20  # bytes of a row of the plan at most, and of a plan that is broadcast
 
 
 def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -87,7 +88,8 @@ def mix(docs: DataFrame, targets: DataFrame, vocab: DataFrame, shards: int = 64,
     parts = split_quotas(np.array([len(u) for u in uses] or [0]), shards, rng)
     ends = np.cumsum(parts, axis=0)
     plan = [(wanted[i][0], b, k, int(np.searchsorted(ends[:, i], at, "right"))) for i, u in enumerate(uses) for at, (b, k) in enumerate(u)]
+    longest = max([0, *(len(s.encode()) for s, _, _ in wanted)])
     p = spark.createDataFrame(plan, "source string, block int, pass_no int, shard int")  # at most MAX_SOURCES x blocks x repeats rows
-    rows = d.join(F.broadcast(p) if len(plan) <= 1_000_000 else p, ["source", "block"])
+    rows = d.join(F.broadcast(p) if len(plan) * (PLAN_ROW + longest) <= PLAN_BYTES else p, ["source", "block"])
     rows = rows.select("doc_id", "source", "pass_no", "shard", F.xxhash64("doc_id", "pass_no", F.lit(seed)).alias("shuffle_key"), "n_tokens")
     return Mixture(rows, out)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.groups import assign_splits, related_groups
@@ -13,9 +14,9 @@ from spanloom.llm.mixing import mix
 from spanloom.llm.overlap import overlaps
 from spanloom.llm.packing import pack
 from spanloom.llm.sentences import sentence_offsets
-from spanloom.llm.splitting import split_records
-from spanloom.llm.tokens import compared, compared_lang, token_budget
-from spanloom.session import cut, table
+from spanloom.llm.splitting import split_files, split_records
+from spanloom.llm.tokens import compared, compared_lang, count_tokens, token_budget
+from spanloom.session import cut, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,10 +148,99 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     """Overlaps per split and source of the training record (its writer for instructions)."""
-    sources = table(spark, folder, "train").select("id", compared("source").alias("source")).union(table(spark, folder, "intent_cases").select("id", compared("writer")))
-    sources = sources.groupBy("id").agg(F.min("source").alias("source"))
-    found = p3_found(spark, folder).join(sources, F.col("id") == F.col("train_id"))
-    return found.groupBy("split", "source").agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_id").alias("n_eval"), F.countDistinct("train_id").alias("n_train"))
+    scoped = lambda name, scope, source: table(spark, folder, name).select(F.lit(scope).alias("scope"), "id", compared(source).alias("source"))
+    sources = scoped("train", "records", "source").union(scoped("intent_cases", "instructions", "writer")).groupBy("scope", "id").agg(F.min("source").alias("source"))
+    found = p3_found(spark, folder).withColumn("scope", F.when(F.col("split") == "dev", "records").otherwise("instructions")).withColumnRenamed("train_id", "id")
+    found = found.join(sources, ["scope", "id"])
+    return found.groupBy("split", "source").agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_id").alias("n_eval"), F.countDistinct("id").alias("n_train"))
+
+
+@query
+def p1_covered(spark: SparkSession, folder: str) -> DataFrame:
+    """What the pieces of each oversized record must keep to: its tokens counted once, the limit, the overlap, order, and spans that are not cut."""
+    train, vocab = table(spark, folder, "train"), table(spark, folder, "vocab")
+    texts = train.where("id is not null and text is not null").groupBy("id").agg(F.max("text").alias("text"))
+    order = Window.partitionBy("id").orderBy("piece_no")
+    p = split_records(train, vocab).withColumn("before", F.lag("end").over(order)).join(texts, "id")
+    twice = F.when(F.col("before") > F.col("start"), F.expr("substring(text, start + 1, before - start)"))
+    between = F.when(F.col("before") < F.col("start"), F.expr("substring(text, before + 1, start - before)"))
+    # a word over the limit is cut inside, and its parts needn't cost as much as the word
+    p = p.withColumn("inside", F.expr("substring(text, end, 2)").rlike(r"^[\p{L}\p{N}]{2}$"))
+    p = p.withColumn("gap", F.coalesce(between.rlike(r"[^\p{IsWhite_Space}]"), F.lit(False))).select("id", "piece_no", "n_pieces", "n_tokens", "gap", "inside", (F.length("piece") == F.col("end") - F.col("start")).alias("whole"), twice.alias("twice"))
+    p = count_tokens(p, vocab, "twice", "n_twice")
+    return p.groupBy("id").agg(
+        F.when(F.bool_or("inside"), F.lit(-1)).otherwise(F.sum("n_tokens") - F.sum("n_twice")).alias("n_tokens"), (F.max("n_tokens") <= 256).alias("within"), (F.max("n_twice") <= 32).alias("overlaps"), (~F.bool_or("gap")).alias("covered"),
+        ((F.max("piece_no") + 1 == F.max("n_pieces")) & (F.count("*") == F.max("n_pieces")) & (F.min("piece_no") == 0) & F.bool_and("whole")).alias("numbered"))
+
+
+ORACLES["p1_covered"] = _TRAIN + "SELECT k AS id, CASE WHEN k NOT IN (SELECT k FROM words JOIN costs USING (w) WHERE cost > 256) THEN n ELSE -1 END AS n_tokens, true AS within, true AS overlaps, true AS covered, true AS numbered FROM counted WHERE n > 256 AND k IS NOT NULL"
+
+
+@query
+def p1_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of each language landed as one file and cut by byte ranges: pieces, and whether each stands in its file where it is said to."""
+    d = table(spark, folder, "documents").where("text is not null").select(compared_lang().alias("file"), "doc_id", F.regexp_replace("text", r"\s+", " ").alias("value"))
+    root = f"{shared_dir(spark).rstrip('/')}/landed/{uuid.uuid4().hex}"
+    d.repartition("file").sortWithinPartitions("file", "doc_id").select("file", "value").write.partitionBy("file").text(root)
+    paths = [r[0] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(root).select("path").collect()]
+    p = split_files(spark, [x.replace("file:", "", 1) if x.startswith("file:") else x for x in paths], table(spark, folder, "vocab"))
+    name = F.regexp_extract("path", r"/file=([^/]*)/", 1)
+    ok = (F.col("n_tokens") <= 256) & (F.octet_length("piece") == F.col("end_byte") - F.col("start_byte"))
+    return p.groupBy(name.alias("file")).agg(F.bool_and(ok).alias("kept"), (F.max("piece_no") + 1 == F.count("*")).alias("numbered"), F.min("start_char").alias("first_char"))
+
+
+ORACLES["p1_files"] = r"""SELECT regexp_replace(coalesce(lower(trim(lang)), 'unknown'), '[-_].*$', '') AS file, true AS kept, true AS numbered, 0::BIGINT AS first_char FROM documents WHERE text IS NOT NULL GROUP BY 1"""
+
+
+@query
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are: tokens and documents in all, and whether none is over the capacity and no fewer could hold them."""
+    p = p6_containers(spark, folder)
+    each = p.groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    c = each.agg(F.max("n").alias("fullest"), F.count(F.when(F.col("n") > 0, 1)).alias("used"), F.sum("n").alias("n_tokens"))
+    d = p.agg(F.countDistinct("doc_id").alias("n_docs"))
+    return c.join(F.broadcast(d)).select("n_docs", "n_tokens", (F.col("fullest") <= 2048).alias("within"), (F.col("used") == F.ceil(F.col("n_tokens") / 2048)).alias("fewest"))
+
+
+ORACLES["p6_fill"] = _DOCS + "SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_tokens, true AS within, true AS fewest FROM counted"
+
+
+@query
+def p7_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture's rows against its shares: tokens of each source, repeats, uses within a pass, and the goal met as nearly as one block allows."""
+    docs, targets, vocab = (table(spark, folder, n) for n in ("documents", "mix_targets", "vocab"))
+    m = mix(docs, targets, vocab)
+    uses = m.rows.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.countDistinct("pass_no", "shard").alias("places"), F.countDistinct("pass_no").alias("passes"), F.sum("n_tokens").alias("n"))
+    got = uses.groupBy("source").agg(F.sum("n").alias("n"), F.max("uses").alias("most"), F.bool_and((F.col("uses") == F.col("passes")) & (F.col("uses") == F.col("places"))).alias("once"))
+    j = m.shares.join(got, "source", "left")
+    near = F.abs(F.col("mixed_tokens") - F.col("goal_tokens")) <= F.greatest(F.col("goal_tokens") * 0.02, F.lit(20_000.0))
+    return j.select("source", "source_tokens", (F.coalesce("n", F.lit(0)) == F.col("mixed_tokens")).alias("agrees"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("repeats"), F.coalesce("once", F.lit(True)).alias("once"), near.alias("near"))
+
+
+ORACLES["p7_checked"] = (
+    _DOCS
+    + """, sized AS (SELECT lower(trim(source)) AS source, sum(n)::BIGINT AS n FROM counted JOIN documents ON doc_id = k WHERE trim(source) <> '' GROUP BY ALL)
+    SELECT lower(trim(m.source)) AS source, coalesce(s.n, 0)::BIGINT AS source_tokens, true AS agrees, true AS repeats, true AS once, true AS near FROM mix_targets m LEFT JOIN sized s ON s.source = lower(trim(m.source))"""
+)
+
+
+@query
+def p4_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """The splits of related records: ids, groups in more than one split, and whether sizes and label counts keep to the shares."""
+    s = cut(p4_splits(spark, folder))
+    train = table(spark, folder, "train")
+    label = train.where("id is not null").groupBy("id").agg(F.min(F.concat_ws("/", compared_lang(), compared("doctype"))).alias("label"))
+    apart = s.groupBy("group_id").agg(F.countDistinct("split").alias("n")).agg(F.count(F.when(F.col("n") > 1, 1)).alias("n_apart"))
+    goals = {"train": 0.8, "validation": 0.1, "test": 0.1}
+    counts = s.join(label, "id").groupBy("label").pivot("split", list(goals)).count().na.fill(0)
+    total = sum((F.col(k) for k in goals), F.lit(0))
+    off = F.greatest(*[F.abs(F.sum(k) / F.sum(total) - v) for k, v in goals.items()])
+    moved = F.sum(sum((F.abs(F.col(k) - v * total) for k, v in goals.items()), F.lit(0.0))) / F.sum(total)
+    b = counts.agg((off < 0.02).alias("sizes"), (moved < 0.5).alias("labels"))
+    return s.agg(F.count("*").alias("n_ids")).join(F.broadcast(apart)).join(F.broadcast(b)).select("n_ids", "n_apart", "sizes", "labels")
+
+
+ORACLES["p4_balance"] = "SELECT count(DISTINCT id) AS n_ids, 0::BIGINT AS n_apart, true AS sizes, true AS labels FROM train"
 
 #: Groups by the transitive closure of records, files, authors, announcements and companies.
 ORACLES["p4_found"] = r"""WITH RECURSIVE p AS (

@@ -1,7 +1,7 @@
 """Sentence units of documents in any script, as SQL expressions only.
 
 Everything that could be mistaken for a sentence end (decimals, URLs, initials, abbreviations, list marks, the insides of quotations and
-brackets) is masked by private-use characters, one for one, so offsets in the masked text are offsets in the text. Then one regex of
+brackets) is masked by private-use characters, one for one (those of the text itself are set aside), so offsets in the masked text are offsets in the text. Then one regex of
 script-specific terminators cuts the masked text at zero-width positions; the units' text is taken from the original by offset.
 
 Null and blank texts give no rows. A repeated ``doc_id`` gives its rows for each of its texts. Extra columns are ignored.
@@ -12,10 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.session import once
+
 DOT, CLOSED, GAP, STOP, BREAK, EDGE = "\ue001", "\ue002", "\ue003", "\ue00e", "\ue00f", "\ue000"
+#: Stands for those six where the text itself has them: no white space, letter or end mark either.
+TAKEN = "\ue010"
 
 #: Abbreviations after which a sentence never ends, and those that only bind a number.
-TITLES = "Ing|Dipl|Dr|Dra|Prof|Mr|Mrs|Ms|Mme|Mlle|MM|Sr|Sra|Srta|Sres|Dña|Hr|Fr|St|Ste|Vgl|vgl|bzw|cf|Cf|evtl|ggf|inkl"
+TITLES = "Sen|Gov|Gen|Rev|Hon|Capt|Sgt|Maj|Ing|Dipl|Dr|Dra|Prof|Mr|Mrs|Ms|Mme|Mlle|MM|Sr|Sra|Srta|Sres|Dña|Hr|Fr|St|Ste|Vgl|vgl|bzw|cf|Cf|evtl|ggf|inkl"
 NUMBERED = "No|Nr|nº|núm|Núm|pp|p|pág|págs|fig|Fig|figs|art|Art|S|Abb|ca|approx|aprox|env|vol|Vol|cap|chap|Tel|tel|ref|Ref|Rn|Kap"
 MONTHS = "Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jan|Feb|Apr|Jun|Jul|Aug|Sep|Sept|Okt|Nov|Dez"
 
@@ -33,7 +37,7 @@ MASK = r"\.(?:" + "|".join([
     r"(?<=(?:^|\n)[^\S\n]{0,8}\(?(?:\d{1,3}|\p{L})\.)(?=\s)",  # list marks
 ]) + ")"
 #: Scans start with a class of one range besides Latin characters, as a union of many is slow to test; the exact class follows in a lookbehind.
-ENDS = r"[.!?…।॥。！？｡．]"
+ENDS = r"[.!?…।॥。！？｡．؟۔։።፧។៕။།‼⁇⁈⁉]"
 SPACES = r"[\s\xa0  -   　]"
 #: Quotations and brackets within a line; the first opener decides which way « and » point.
 PAIRS = (
@@ -45,7 +49,7 @@ CJK = "[぀-鿿가-힯]"
 THAI = "[฀-๿]"
 #: A terminator, its closers, and a white space that becomes BREAK, unless the sentence goes on behind it.
 SPACED = (
-    r"([.!?।-．](?<=[.!?…।॥。！？｡．\x{E002}])[\"”’»«)\]]{0,2})" + SPACES
+    r"([.!?\x{589}-．](?<=[.!?…।॥。！？｡．؟۔։።፧។៕။།‼⁇⁈⁉\x{E002}])[\"”’»«)\]]{0,2})" + SPACES
     + "(?=" + SPACES + r"*+(?!\p{Ll}|[—–,;:]|[\"“‘«»„]\s?\p{Ll}|\([\p{Ll}\d£€$])[^\s\xa0])"
 )
 #: Scripts that write no space after the terminator: the terminator itself becomes STOP.
@@ -60,13 +64,6 @@ WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x
 LIST_MARK = r"^\s*(?:[•▪·*–-]|\(?\d{1,3}[.)])\s"
 
 
-def _once(df: DataFrame, **cols: Column) -> DataFrame:
-    """Columns computed exactly once: a Generate is a barrier to the optimizer, which would else inline them into lambdas."""
-    keep = [c for c in df.columns if c not in cols]
-    one = df.select(*keep, F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("_o"))
-    return one.select(*keep, *[F.col("_o")[n].alias(n) for n in cols])
-
-
 def _unwrap(text: Column, lines: Column, width: Column) -> Column:
     """Line breaks inside a sentence become blanks: the next line goes on in lower case, or its first word comes near the width of the longest line."""
     after = F.concat(F.slice(lines, 2, F.size(lines)), F.array(F.lit("")))
@@ -95,14 +92,15 @@ def sentence_offsets(docs: DataFrame, key: str = "doc_id", text: str = "text", b
     """``(key, start_char, end_char)`` of every unit, code points, half open. Prefix sums run in blocks, so cost is linear in a document's units up to ``block`` squared."""
     t = F.replace(F.col(text), F.lit("\r\n"), F.lit(" \n"))
     t = F.when(t.rlike(r"[\r\x0b\x0c\x85 - ]"), F.translate(t, "\r\x0b\x0c\x85  ", "\n" * 6)).otherwise(t)
+    t = F.when(t.rlike("[\\x{E000}-\\x{E003}\\x{E00E}\\x{E00F}]"), F.translate(t, EDGE + DOT + CLOSED + GAP + STOP + BREAK, TAKEN * 6)).otherwise(t)
     d = docs.select(F.col(key), t.alias("t")).where(F.col(text).rlike(r"[^\p{IsWhite_Space}\x{FEFF}]"))
     wrapped = F.col("t").rlike(r"\n(?<!\n\n)[^\S\n]*\p{Ll}")
-    d = _once(d, lines=F.when(wrapped, F.split("t", "\n", -1)))
-    d = _once(d, width=F.array_max(F.transform("lines", lambda x: F.length(F.rtrim(x)))))
-    d = _once(d, t=F.when(F.col("lines").isNull(), F.col("t")).otherwise(_unwrap(F.col("t"), F.col("lines"), F.col("width")))).drop("lines", "width")
-    d = _once(d, t=F.regexp_replace("t", MASK, DOT))
-    d = _once(d, t=F.regexp_replace(_enclose(F.col("t")), SPACED, "$1" + BREAK))
-    d = _once(d, t=F.when(F.col("t").rlike(CJK), F.regexp_replace("t", UNSPACED, STOP)).when(F.col("t").rlike(THAI), F.regexp_replace("t", BLANK, BREAK)).otherwise(F.col("t")))
+    d = once(d, lines=F.when(wrapped, F.split("t", "\n", -1)))
+    d = once(d, width=F.array_max(F.transform("lines", lambda x: F.length(F.rtrim(x)))))
+    d = once(d, t=F.when(F.col("lines").isNull(), F.col("t")).otherwise(_unwrap(F.col("t"), F.col("lines"), F.col("width")))).drop("lines", "width")
+    d = once(d, t=F.regexp_replace("t", MASK, DOT))
+    d = once(d, t=F.regexp_replace(_enclose(F.col("t")), SPACED, "$1" + BREAK))
+    d = once(d, t=F.when(F.col("t").rlike(CJK), F.regexp_replace("t", UNSPACED, STOP)).when(F.col("t").rlike(THAI), F.regexp_replace("t", BLANK, BREAK)).otherwise(F.col("t")))
     white = F.lit(WHITE)
 
     def measure(s: Column) -> Column:
@@ -112,17 +110,17 @@ def sentence_offsets(docs: DataFrame, key: str = "doc_id", text: str = "text", b
         core = F.when(ragged, F.length(F.trim(s, white))).otherwise(whole)
         return F.struct((whole + F.when(s.endswith(STOP), 0).otherwise(1)).alias("n"), lead.alias("a"), core.alias("c"))
 
-    d = _once(d, u=F.transform(F.split("t", f"[\n{BREAK}]|(?<={STOP})", -1), measure)).drop("t")
+    d = once(d, u=F.transform(F.split("t", f"[\n{BREAK}]|(?<={STOP})", -1), measure)).drop("t")
     empty = F.expr("cast(array() as array<struct<s:int,e:int>>)")
     run = lambda units: F.aggregate(
         units,
         F.struct(F.lit(0).alias("p"), empty.alias("o")),
         lambda acc, x: F.struct((acc["p"] + x["n"]).alias("p"), F.array_append(acc["o"], F.struct((acc["p"] + x["a"]).alias("s"), (acc["p"] + x["a"] + x["c"]).alias("e"))).alias("o")),
     )
-    d = _once(d, b=F.transform(F.sequence(F.lit(0), ((F.size("u") - 1) / block).cast("int")), lambda i: F.slice(F.col("u"), i * block + 1, block))).drop("u")
-    d = _once(d, b=F.transform("b", run))
+    d = once(d, b=F.transform(F.sequence(F.lit(0), ((F.size("u") - 1) / block).cast("int")), lambda i: F.slice(F.col("u"), i * block + 1, block))).drop("u")
+    d = once(d, b=F.transform("b", run))
     base = F.aggregate("b", F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x["p"]))
-    d = _once(d, base=base)
+    d = once(d, base=base)
     spans = F.flatten(F.zip_with("b", F.slice("base", 1, F.size("b")), lambda x, off: F.transform(x["o"], lambda o: F.struct((o["s"] + off).alias("s"), (o["e"] + off).alias("e")))))
     d = d.select(key, F.explode(spans).alias("x"))
     return d.where("x.e > x.s").select(key, F.col("x.s").cast("int").alias("start_char"), F.col("x.e").cast("int").alias("end_char"))

@@ -138,7 +138,7 @@ def record_key(key: str, text: str) -> Column:
     return F.coalesce(F.concat(F.lit("i"), F.col(key)), F.concat(F.lit("t"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
 
 
-def token_budget(records: DataFrame, vocab: DataFrame, oversize: int = 8192, salts: int = 64) -> DataFrame:
+def token_budget(records: DataFrame, vocab: DataFrame, oversize: int = 8192) -> DataFrame:
     """``(source, lang, doctype, n_tokens)`` over records that count once an id.
 
     Texts over ``oversize`` characters are cut at independent places and their chunks salted over the workers; all others are counted where
@@ -166,7 +166,7 @@ def token_budget(records: DataFrame, vocab: DataFrame, oversize: int = 8192, sal
         return df.mapInArrow(run, "k string, s string, l string, d string, chunk int, n bigint")
 
     small = r.where(~F.coalesce(large, F.lit(False))).select("k", "s", "l", "d", F.lit(0).alias("chunk"), "text")
-    chunks = r.where(large).mapInArrow(chop, schema).withColumn("salt", F.pmod(F.xxhash64("k", "chunk"), F.lit(salts))).repartition("salt").drop("salt")
+    chunks = r.where(large).mapInArrow(chop, schema).repartition("k", "chunk")  # chunks of one text are salted by their number over all tasks there are
     each = counted(small).unionByName(counted(chunks))
     once = each.groupBy("k", "chunk").agg(F.min(F.struct("s", "l", "d")).alias("x"), F.max("n").alias("n"))
     whole = once.groupBy("k").agg(F.min("x").alias("x"), F.sum("n").alias("n"))

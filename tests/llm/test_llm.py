@@ -94,6 +94,23 @@ def test_split(spark, vocab):
     assert splitting.split_records(d.limit(0), vocab).count() == 0
 
 
+def test_split_of_sparse_and_differing_texts(spark, vocab):
+    sparse, long = ("ab" + " " * 400) * 60, "The ab. " * 3000
+    rows = [("sparse", sparse, None), ("word", "a" + "b" * 9000 + " ab", None), ("two", "ab " * 30, None), ("two", "zeta " + "ab " * 40, None), ("long", long, [(8190, 8260, "X")]), ("long", long, [(8190, 8260, "X")])]
+    d = spark.createDataFrame(rows, "id string, text string, spans array<struct<start:int,end:int,label:string>>")
+    by = collections.defaultdict(list)
+    for r in splitting.split_records(d, vocab, 256, 32).collect():
+        by[r.id].append(r)
+    assert set(by) == {i for i, t, _ in rows if count(t) > 256} == {"long", "word"}
+    check_pieces(long, [(8190, 8260)], by["long"], 256, 32)
+    by = collections.defaultdict(list)
+    for r in splitting.split_records(d, vocab, 20, 4).collect():
+        by[r.id].append(r)
+    assert set(by) == {"sparse", "word", "two", "long"} and all(r.piece in rows[3][1] for r in by["two"])
+    check_pieces(rows[3][1], [], by["two"], 20, 4)
+    check_pieces(sparse, [], by["sparse"], 20, 4)
+
+
 def test_split_files(spark, vocab, tmp_path):
     text = "".join(f"The é😀 ab abc {i}. " + ("\n\n" if i % 7 == 0 else "") for i in range(3000))
     (tmp_path / "big.txt").write_text(text, encoding="utf8")
@@ -200,6 +217,15 @@ def test_groups(spark):
     assert abs(n["train"] - 4000) < 60 and abs(n["test"] - 500) < 40
 
 
+def test_splits_with_more_labels_than_are_told_apart(spark):
+    g = spark.range(3000).select(F.concat(F.lit("g"), (F.col("id") % 1500).cast("string")).alias("group_id"), F.col("id").cast("string").alias("id"))
+    labels = g.select("id", F.when(F.col("id").cast("int") % 5 > 0, (F.col("id").cast("int") % 300).cast("string")).alias("label"))
+    s = groups.assign_splits(g, labels, {"train": 0.8, "validation": 0.1, "test": 0.1}, told_apart=20).collect()
+    n = collections.Counter(x.split for x in s)
+    assert len(s) == 3000 and len({(x.group_id, x.split) for x in s}) == 1500 and abs(n["train"] - 2400) < 40
+    assert groups.assign_splits(g.limit(0), labels, {"train": 1.0}).count() == 0
+
+
 def words_of(rng, n):
     return [f"w{rng.randrange(4000)}" for _ in range(n)]
 
@@ -403,6 +429,11 @@ def test_overlap_at_the_limit(spark):
 
 
 SENTENCES = [
+    ("A\ue000b c. D\ue00fe f\ue001. G\ue003h\ue00e i. J\ue002k.", ["A\ue000b c.", "D\ue00fe f\ue001.", "G\ue003h\ue00e i.", "J\ue002k."]),
+    ("كيف الحال؟ أنا بخير. نعم", ["كيف الحال؟", "أنا بخير.", "نعم"]),
+    ("یہ ہے۔ وہ ہے۔", ["یہ ہے۔", "وہ ہے۔"]),
+    ("Ես եմ։ Դու ես։ ሰላም ነው። ደህና።", ["Ես եմ։", "Դու ես։", "ሰላም ነው።", "ደህና።"]),
+    ("We met Sen. Smith today. Fine.", ["We met Sen. Smith today.", "Fine."]),
     ("See Dr. Fox at 9.30 a.m. today. He left at 5 p.m. Then J. R. Bell came, i.e. late.", ["See Dr. Fox at 9.30 a.m. today.", "He left at 5 p.m.", "Then J. R. Bell came, i.e. late."]),
     ("Title\n\nDear Ann,\n\n1. First item;\n- second\n“Go!” said Ann. (All of it.) Why?!", ["Title", "Dear Ann,", "1. First item;", "- second", "“Go!” said Ann.", "(All of it.)", "Why?!"]),
     ("A line that goes\non below (see fig. 5) and ends.\n\nNext", ["A line that goes\non below (see fig. 5) and ends.", "Next"]),
