@@ -6,6 +6,8 @@ shape is false. A generator takes a column and a seed and gives a valid identifi
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -268,55 +270,205 @@ def ranged(key: Column, seed: int, low: int, high: int, salt: str = "") -> Colum
     return F.pmod(F.xxhash64(key, F.lit(f"{salt}{seed}range")), F.lit(high - low + 1)) + low
 
 
+#: Own picks: banks, issuers and marks that stand for any; years, places and series are drawn from their whole range.
+BANKS = ["ALBN", "CRSD", "HVNB", "TWRB", "ORLN", "SBLK"]
+CARD_ISSUERS = ["40", "41", "47", "53", "54"]
+MARKS = ["INV", "REF", "ORD", "CT", "PO", "TKT"]
+SWISS_PLATES = ["VD", "GE", "FR", "NE", "VS"]
+IRISH_PLATES = ["D", "C", "G", "KY", "L"]
+
+
+class Draw:
+    """Values that depend on a key, a seed and a name only."""
+
+    def __init__(self, kind: str, key: Column, seed: int):
+        self.kind, self.key, self.seed = kind, key, seed
+
+    def digits(self, n: int, name: str = "") -> Column:
+        return digits_of(self.key, self.seed, n, self.kind + name)
+
+    def number(self, n: int, name: str = "") -> Column:
+        return self.digits(n, name).cast("bigint")
+
+    def pick(self, values: list[str], name: str = "") -> Column:
+        return pick(self.key, self.seed, values, self.kind + name)
+
+    def letters(self, n: int, name: str = "", alphabet: str = "ABCDEFGHJKLMNPRSTVWXYZ") -> Column:
+        return F.concat(*[self.pick(list(alphabet), f"{name}{i}") for i in range(n)])
+
+    def between(self, low: int, high: int, name: str = "") -> Column:
+        return ranged(self.key, self.seed, low, high, self.kind + name)
+
+    def padded(self, low: int, high: int, width: int, name: str = "") -> Column:
+        return F.lpad(self.between(low, high, name).cast("string"), width, "0")
+
+
+def two(n: Column) -> Column:
+    return F.lpad(n.cast("string"), 2, "0")
+
+
+def in_groups(c: Column, sizes: list[int], sep: str) -> Column:
+    """Text in groups of the given sizes."""
+    at, out = 1, []
+    for n in sizes:
+        out.append(F.substring(c, at, n))
+        at += n
+    return F.concat_ws(sep, *out)
+
+
+def _siren(d: Draw) -> Column:
+    return F.concat(d.digits(8), luhn_digit(d.digits(8), 8))
+
+
+def _siret(d: Draw) -> Column:
+    body = F.concat(_siren(d), d.padded(1, 99, 4, "site"))
+    return F.concat(body, luhn_digit(body, 13))
+
+
+def _card(d: Draw) -> Column:
+    body = F.concat(d.pick(CARD_ISSUERS), d.digits(13))
+    return grouped(F.concat(body, luhn_digit(body, 15)))
+
+
+def _nir(d: Draw) -> Column:
+    body = F.concat(d.pick(["1", "2"]), d.padded(30, 99, 2), d.padded(1, 12, 2, "month"), d.padded(21, 95, 2, "place"), d.padded(1, 990, 3, "town"), d.padded(1, 990, 3, "order"))
+    return in_groups(F.concat(body, two(F.lit(97) - body.cast("bigint") % 97)), [1, 2, 2, 2, 3, 3, 2], " ")
+
+
+def _fr_iban(d: Draw) -> Column:
+    key = rib_key(d.number(5, "bank"), d.number(5, "branch"), d.number(11))
+    return grouped(with_iban_check("FR", F.concat(d.digits(5, "bank"), d.digits(5, "branch"), d.digits(11), two(key))))
+
+
+def _es_iban(d: Draw) -> Column:
+    office = F.concat(d.digits(4, "bank"), d.digits(4, "branch"))
+    control = F.concat(bank_control(F.concat(F.lit("00"), office)).cast("string"), bank_control(d.digits(10)).cast("string"))
+    return grouped(with_iban_check("ES", F.concat(office, control, d.digits(10))))
+
+
+def _be_iban(d: Draw) -> Column:
+    rest = d.number(10) % 97
+    return grouped(with_iban_check("BE", F.concat(d.digits(10), two(F.when(rest == 0, 97).otherwise(rest)))))
+
+
+def _dni(d: Draw) -> Column:
+    n = d.between(10_000_000, 99_999_999)
+    return F.concat(n.cast("string"), letter(DNI_LETTERS, n % 23))
+
+
+def _nie(d: Draw) -> Column:
+    lead, n = d.pick(["X", "Y", "Z"]), d.between(1_000_000, 9_999_999).cast("string")
+    return F.concat(lead, n, letter(DNI_LETTERS, F.concat(F.translate(lead, "XYZ", "012"), n).cast("bigint") % 23))
+
+
+def _es_nss(d: Draw) -> Column:
+    province, n = d.between(1, 52), d.number(8)
+    base = F.when(n >= 10_000_000, province * 100_000_000 + n).otherwise(province * 10_000_000 + n)
+    return F.concat_ws("/", two(province), d.digits(8), two(base % 97))
+
+
+def _nino(d: Draw) -> Column:
+    return F.concat_ws(" ", d.letters(2, "lead", "ABCEHJLMPRSWXY"), in_groups(d.digits(6), [2, 2, 2], " "), d.pick(list("ABCD"), "end"))
+
+
+def _checked_digit(head: Column, last: Column, total: Column, weight: int) -> tuple[Column, Column]:
+    """The last free digit and the check digit mod 11. Where the check would be 10, the digit moves on, which changes the sum by no multiple of 11."""
+    last = F.when((total + last * weight) % 11 == 1, (last + 1) % 10).otherwise(last)
+    return last, (F.lit(11) - (total + last * weight) % 11) % 11
+
+
+def _nhs(d: Draw) -> Column:
+    head = F.concat(F.lit("4"), d.digits(7))
+    last, check = _checked_digit(head, d.number(1, "last"), weighted(head, list(range(10, 2, -1))), 2)
+    return in_groups(F.concat(head, last.cast("string"), check.cast("string")), [3, 3, 4], " ")
+
+
+def _ch_uid(d: Draw) -> Column:
+    head = d.digits(7)
+    last, check = _checked_digit(head, d.number(1, "last"), weighted(head, UID_WEIGHTS[:7]), UID_WEIGHTS[7])
+    return F.concat(F.lit("CHE-"), in_groups(F.concat(head, last.cast("string"), check.cast("string")), [3, 3, 3], "."))
+
+
+def _us_ssn(d: Draw) -> Column:
+    return F.concat_ws("-", d.between(100, 665).cast("string"), d.between(10, 99, "group").cast("string"), d.between(1000, 9999, "serial").cast("string"))
+
+
+def _ie_pps(d: Draw) -> Column:
+    return F.concat(d.digits(7), letter(PPS_LETTERS, weighted(d.digits(7), list(range(8, 1, -1))) % 23))
+
+
+def _be_national(d: Draw) -> Column:
+    body = F.concat(d.padded(40, 99, 2), d.padded(1, 12, 2, "month"), d.padded(1, 28, 2, "day"), d.padded(1, 997, 3, "serial"))
+    return F.concat(in_groups(body, [2, 2, 2], "."), F.lit("-"), F.substring(body, 7, 3), F.lit("."), two(F.lit(97) - body.cast("bigint") % 97))
+
+
+def _ch_avs(d: Draw) -> Column:
+    body = F.concat(F.lit("756"), d.digits(9))
+    check = (F.lit(10) - weighted(body, [1, 3] * 6) % 10) % 10
+    return in_groups(F.concat(body, check.cast("string")), [3, 4, 4, 2], ".")
+
+
+def _be_enterprise(d: Draw) -> Column:
+    body = F.concat(F.lit("0"), d.digits(7))
+    return in_groups(F.concat(body, two(F.lit(97) - body.cast("bigint") % 97)), [4, 3, 3], ".")
+
+
+def _es_cif(d: Draw) -> Column:
+    body, total = d.digits(7), F.lit(0).cast("bigint")
+    for i in range(7):
+        digit = number(body, i + 1, 1)
+        total = total + (doubled(digit) if i % 2 == 0 else digit)
+    return F.concat(d.pick(list(SPANISH_COMPANY)), body, ((F.lit(10) - total % 10) % 10).cast("string"))
+
+
+def _fr_vat(d: Draw) -> Column:
+    return F.concat(F.lit("FR"), two((F.lit(12) + _siren(d).cast("bigint") % 97 * 3) % 97), _siren(d))
+
+
+def _phone(*forms: str):
+    """A phone of one of the forms: ``#`` stands for a digit, ``[789]`` for one of those."""
+
+    def make(d: Draw) -> Column:
+        out = []
+        for k, form in enumerate(forms):
+            parts = []
+            for i, bit in enumerate(re.findall(r"#+|\[\d+\]|[^#\[]+", form)):
+                parts.append(d.digits(len(bit), f"{k}.{i}") if bit[0] == "#" else d.pick(list(bit[1:-1]), f"{k}.{i}") if bit[0] == "[" else F.lit(bit))
+            out.append(F.concat(*parts))
+        return F.element_at(F.array(*out), (d.between(0, len(out) - 1, "form") + 1).cast("int"))
+
+    return make
+
+
+GENERATORS = {
+    "nir": _nir, "siren": _siren, "siret": _siret, "fr_iban": _fr_iban, "es_iban": _es_iban, "be_iban": _be_iban, "dni": _dni, "nie": _nie, "es_nss": _es_nss, "nino": _nino, "nhs": _nhs,
+    "gb_iban": lambda d: grouped(with_iban_check("GB", F.concat(d.pick(BANKS), d.digits(14)))), "ie_iban": lambda d: grouped(with_iban_check("IE", F.concat(d.pick(BANKS), d.digits(14)))),
+    "ch_iban": lambda d: grouped(with_iban_check("CH", d.digits(17))), "us_ssn": _us_ssn, "card": _card, "ie_pps": _ie_pps, "be_national": _be_national, "ch_avs": _ch_avs, "be_enterprise": _be_enterprise,
+    "ch_uid": _ch_uid, "es_cif": _es_cif, "gb_company": lambda d: F.concat(F.lit("0"), d.digits(7)), "ie_company": lambda d: d.between(100_000, 999_999).cast("string"), "us_company": lambda d: F.concat_ws("-", d.digits(2), d.digits(7, "b")),
+    "fr_vat": _fr_vat, "gb_vat": lambda d: F.concat(F.lit("GB"), d.digits(9)), "ie_vat": lambda d: F.concat(F.lit("IE"), _ie_pps(d)), "be_vat": lambda d: F.concat(F.lit("BE"), F.replace(_be_enterprise(d), F.lit("."))),
+    "ch_vat": lambda d: F.concat(_ch_uid(d), F.lit(" MWST")), "es_vat": lambda d: F.concat(F.lit("ES"), _es_cif(d)),
+    "gb_mobile": _phone("07### ### ###", "+44 7### ######"), "fr_mobile": _phone("0[67] ## ## ## ##", "+33[67]########"), "es_mobile": _phone("[67]## ## ## ##", "+34 [67]## ### ###"), "be_mobile": _phone("04## ## ## ##", "+32 4## ## ## ##"),
+    "ch_mobile": _phone("07[6789] ### ## ##", "+41 7[6789] ### ## ##"), "ie_mobile": _phone("08[3456789] ### ####", "+353 8[3456789] ### ####"), "us_mobile": _phone("([23456789]##) ###-####", "+1 [23456789]##-###-####"),
+    "gb_phone": _phone("01## ### ####", "02## ### ####"), "fr_phone": _phone("0[12345] ## ## ## ##", "+33 [12345] ## ## ## ##"), "es_phone": _phone("9## ### ###", "+34 9## ### ###"), "be_phone": _phone("0[5678]# ### ###"), "ch_phone": _phone("0[2345]# ### ####"),
+    "ie_phone": _phone("0[245679]# ### ####"), "us_phone": _phone("([23456789]##) ###-####"),
+    "gb_plate": lambda d: F.concat(d.letters(2), d.digits(2), F.lit(" "), d.letters(3, "b")), "ie_plate": lambda d: F.concat_ws("-", F.concat(d.padded(13, 24, 2), d.pick(["1", "2"])), d.pick(IRISH_PLATES), d.between(1, 99_999, "n").cast("string")),
+    "us_plate": lambda d: F.concat(d.digits(1), d.letters(3), d.digits(3, "b")), "fr_plate": lambda d: F.concat_ws("-", d.letters(2), d.digits(3), d.letters(2, "b")), "be_plate": lambda d: F.concat_ws("-", F.lit("1"), d.letters(3), d.digits(3)),
+    "ch_plate": lambda d: F.concat_ws(" ", d.pick(SWISS_PLATES), d.between(1000, 999_999).cast("string")), "es_plate": lambda d: F.concat_ws(" ", d.digits(4), d.letters(3)),
+    "gb_taxid": lambda d: d.digits(10), "fr_taxid": lambda d: in_groups(F.concat(F.lit("3"), d.digits(12)), [2, 2, 3, 3, 3], " "), "us_taxid": lambda d: F.concat_ws("-", d.digits(2), d.digits(7, "b")),
+    "reference": lambda d: F.concat_ws("-", d.pick(MARKS), d.between(2015, 2026).cast("string"), d.digits(6)), "account": lambda d: d.digits(8), "sortcode": lambda d: in_groups(d.digits(6), [2, 2, 2], "-"), "card4": lambda d: d.digits(4),
+    "number": lambda d: d.between(1, 9_999).cast("string"),
+}
+for _c in ("GB", "IE", "US", "FR", "BE", "CH", "ES"):
+    GENERATORS[f"{_c.lower()}_bic"] = lambda d, c=_c: F.concat(d.pick(BANKS), F.lit(c), d.letters(1, "place"), d.pick(list("23456789")))
+
+VALIDATORS |= {f"{c}_vat": is_vat for c in ("fr", "gb", "ie", "be", "ch", "es")} | {f"{c}_company": lambda x, c=c: is_company(x, F.lit(c.upper())) for c in ("gb", "ie", "us")}
+VALIDATORS |= {k: lambda x, shape=shape: has_shape(x, shape) for k in GENERATORS for tail, shape in (("_bic", "bic"), ("_plate", "plate"), ("_mobile", "phone"), ("_phone", "phone"), ("reference", "reference"), ("account", "account")) if k.endswith(tail)}
+#: Kinds that have both.
+KINDS = [k for k in GENERATORS if k in VALIDATORS]
+
+
 def generate(kind: str, key: Column, seed: int = 0) -> Column:
-    """A valid identifier of one of ``KINDS``."""
-    d = lambda n, salt="": digits_of(key, seed, n, kind + salt)
-    p = lambda values, salt="": pick(key, seed, values, kind + salt)
-    r = lambda a, b, salt="": ranged(key, seed, a, b, kind + salt)
-    two = lambda n: F.lpad(n.cast("string"), 2, "0")
-    if kind == "siren":
-        return F.concat(d(8), luhn_digit(d(8), 8))
-    if kind == "siret":
-        siren = F.concat(d(8), luhn_digit(d(8), 8), F.lit("000"), p(["1", "2", "3", "4"]))
-        return F.concat(siren, luhn_digit(siren, 13))
-    if kind == "card":
-        body = F.substring(F.concat(p(["4", "51", "52", "55"]), d(14)), 1, 15)
-        return grouped(F.concat(body, luhn_digit(body, 15)))
-    if kind == "nir":
-        body = F.concat(p(["1", "2"]), two(r(50, 99)), two(r(1, 12, "m")), p(["13", "31", "33", "35", "44", "59", "67", "69", "75", "92"], "d"), F.lpad(r(1, 450, "c").cast("string"), 3, "0"), F.lpad(r(1, 900, "o").cast("string"), 3, "0"))
-        return F.regexp_replace(F.concat(body, two(F.lit(97) - body.cast("bigint") % 97)), r"^(.)(..)(..)(..)(...)(...)(..)$", "$1 $2 $3 $4 $5 $6 $7")
-    if kind == "fr_iban":
-        key_ = rib_key(d(5, "b").cast("bigint"), d(5, "g").cast("bigint"), d(11).cast("bigint"))
-        return grouped(with_iban_check("FR", F.concat(d(5, "b"), d(5, "g"), d(11), two(key_))))
-    if kind == "es_iban":
-        office = F.concat(d(4, "b"), d(4, "g"))
-        control = F.concat(bank_control(F.concat(F.lit("00"), office)).cast("string"), bank_control(d(10)).cast("string"))
-        return grouped(with_iban_check("ES", F.concat(office, control, d(10))))
-    if kind == "gb_iban":
-        return grouped(with_iban_check("GB", F.concat(p(["NWBK", "BARC", "LOYD", "HBUK", "MIDL"]), d(14))))
-    if kind == "dni":
-        n = r(10_000_000, 99_999_999)
-        return F.concat(n.cast("string"), letter(DNI_LETTERS, n % 23))
-    if kind == "nie":
-        n = r(1_000_000, 9_999_999)
-        whole = F.concat(F.translate(p(["X", "Y", "Z"]), "XYZ", "012"), n.cast("string")).cast("bigint")
-        return F.concat(p(["X", "Y", "Z"]), n.cast("string"), letter(DNI_LETTERS, whole % 23))
-    if kind == "es_nss":
-        province, n = r(1, 52), d(8).cast("bigint")
-        base = F.when(n >= 10_000_000, province * 100_000_000 + n).otherwise(province * 10_000_000 + n)
-        return F.concat_ws("/", two(province), d(8), two(base % 97))
-    if kind == "nino":
-        return F.concat(p(list("ABCEHJLMPRSWXY")), p(list("ABCEHJLMPRSWXY"), "2"), F.lit(" "), F.regexp_replace(d(6), r"(..)(?=.)", "$1 "), F.lit(" "), p(list("ABCD"), "s"))
-    if kind == "nhs":
-        # a ninth digit that would ask for the check digit 10 is moved on by one, which changes the sum by no multiple of 11
-        head, last = F.concat(F.lit("4"), d(7)), d(1, "l").cast("bigint")
-        total = weighted(head, list(range(10, 2, -1)))
-        last = F.when((total + last * 2) % 11 == 1, (last + 1) % 10).otherwise(last)
-        check = (F.lit(11) - (total + last * 2) % 11) % 11
-        return F.regexp_replace(F.concat(head, last.cast("string"), check.cast("string")), r"^(...)(...)(....)$", "$1 $2 $3")
-    if kind == "us_ssn":
-        return F.concat_ws("-", r(100, 665).cast("string"), r(10, 99, "g").cast("string"), r(1000, 9999, "s").cast("string"))
-    raise ValueError(f"no generator for {kind}")
-
-
-KINDS = ["nir", "siren", "siret", "fr_iban", "es_iban", "gb_iban", "dni", "nie", "es_nss", "nino", "nhs", "us_ssn", "card"]
+    """A valid identifier of one of ``GENERATORS``."""
+    if kind not in GENERATORS:
+        raise ValueError(f"no generator for {kind}")
+    return GENERATORS[kind](Draw(kind, key, seed))

@@ -18,6 +18,18 @@ MONTHS = {
     "en": "January February March April May June July August September October November December".split(),
     "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(), "es": ES_MONTHS,
 }
+#: Which identifier a slot is in each country; and slots that are the same everywhere.
+BY_COUNTRY = {
+    "IBAN": {"GB": "gb_iban", "IE": "ie_iban", "FR": "fr_iban", "BE": "be_iban", "CH": "ch_iban", "ES": "es_iban", "US": "account"},
+    "NATID": {"GB": "nino", "IE": "ie_pps", "US": "us_ssn", "FR": "nir", "BE": "be_national", "CH": "ch_avs", "ES": "dni"},
+    "COMPANYID": {"GB": "gb_company", "IE": "ie_company", "US": "us_company", "FR": "siren", "BE": "be_enterprise", "CH": "ch_uid", "ES": "es_cif"},
+    "VAT": {"GB": "gb_vat", "IE": "ie_vat", "US": "us_taxid", "FR": "fr_vat", "BE": "be_vat", "CH": "ch_vat", "ES": "es_vat"},
+    "TAXID": {"GB": "gb_taxid", "IE": "ie_pps", "US": "us_taxid", "FR": "fr_taxid", "BE": "be_national", "CH": "ch_avs", "ES": "dni"},
+    **{slot: {c: f"{c.lower()}_{kind}" for c in ("GB", "IE", "US", "FR", "BE", "CH", "ES")} for slot, kind in (("PHONE", "phone"), ("MOBILE", "mobile"), ("PLATE", "plate"), ("BIC", "bic"))},
+}
+ANYWHERE = {"CARD4": "card4", "ACCOUNT": "account", "SORTCODE": "sortcode", "REF": "reference", "NUM": "number"}
+#: Parts of persons and firms with a name of another form.
+TWO_SURNAMES_US, HYPHEN_SURNAME, TWO_GIVEN, ACRONYM_FIRM = 0.05, 0.06, 0.12, 0.12
 STYLES = [("normal", 60), ("caps_surname", 14), ("comma", 8), ("caps", 12), ("middle", 6)]
 
 
@@ -66,6 +78,14 @@ def person_name(form: Column, given_name: Column, surname: Column, style: Column
     )
 
 
+def whole_names(given: Column, given2: Column, surname: Column, surname2: Column, country: Column, lang: Column, u: Column, v: Column) -> tuple[Column, Column]:
+    """Given name and surname with a second one where the country has it or by chance: two surnames in Spanish, a hyphen now and then elsewhere."""
+    both = (country == "ES") | (lang == "es") | ((country == "US") & (u < TWO_SURNAMES_US))
+    last = F.when(both, F.concat_ws(" ", surname, surname2)).when(u >= 1 - HYPHEN_SURNAME, F.concat_ws("-", surname, surname2)).otherwise(surname)
+    first = F.when((v < TWO_GIVEN) & (country != "ES") & (given2 != given), F.when(lang == "fr", F.concat_ws("-", given, given2)).otherwise(F.concat_ws(" ", given, given2))).otherwise(given)
+    return first, last
+
+
 def org_name(form: Column, name: Column, legal: Column, acronym: Column, mention: Column, u: Column) -> Column:
     """A firm's mention: with legal form, by name or acronym; from the second mention on often by its initials, sometimes in capitals."""
     initials = F.upper(F.array_join(F.transform(F.filter(F.split(name, r"[\s&-]+"), lambda x: F.length(x) > 2), lambda x: F.substring(x, 1, 1)), ""))
@@ -111,7 +131,8 @@ def render(templates: DataFrame, inventories: DataFrame, docs: DataFrame, seed:
     """Pieces ``(doc_id, i, text, label)`` of documents ``(doc_id, id, lang)`` rendered from templates ``(id, text)``.
 
     Inventories: one row a country with arrays ``given_names, surnames, titles, org_names, legal_forms, acronyms, streets, units, jobs, departments,
-    public_bodies`` of strings and ``places`` of ``STRUCT<town, postcode, region>``. A template whose country has no inventory gives nothing.
+    public_bodies`` of strings and ``places`` of ``STRUCT<town, postcode, region>``; with ``genders`` (beside the given names) and ``titles_by``
+    (a map from gender to titles) a title follows the person's gender. A template whose country has no inventory gives nothing.
     """
     parts = slot_rows(templates, key)
     j = docs.select("doc_id", key, "lang").join(parts, key).join(inventories.withColumnRenamed("country", "_c"), F.col("country") == F.col("_c"))
@@ -124,29 +145,39 @@ def render(templates: DataFrame, inventories: DataFrame, docs: DataFrame, seed:
     place = of("places", 5)
     number = (F.floor(draw(seed + 6, "doc_id", "ent") * 180) + 1).cast("string")
     day = F.date_add(F.lit("2015-01-01").cast("date"), F.floor(draw(seed + 7, "doc_id", "ent") * 4000).cast("int"))
-    person = person_name(F.col("slot.form"), of("given_names", 1), of("surnames", 2), weighted_choice(STYLES, draw(seed + 3, "doc_id", "ent")), chosen(F.array(*map(F.lit, "ABCDEFGHJKLMNPRSTW")), seed + 4, "doc_id", "ent"), F.col("lang"))
-    org = org_name(F.col("slot.form"), of("org_names", 8), of("legal_forms", 9), of("acronyms", 10), F.col("mention"), F.col("u"))
+    first, last = whole_names(of("given_names", 1), of("given_names", 17), of("surnames", 2), of("surnames", 18), F.col("country"), F.col("lang"), draw(seed + 19, "doc_id", "ent"), draw(seed + 20, "doc_id", "ent"))
+    person = person_name(F.col("slot.form"), first, last, weighted_choice(STYLES, draw(seed + 3, "doc_id", "ent")), chosen(F.array(*map(F.lit, "ABCDEFGHJKLMNPRSTW")), seed + 4, "doc_id", "ent"), F.col("lang"))
+    short_firm = draw(seed + 21, "doc_id", "ent") < ACRONYM_FIRM  # a firm that nobody spells out
+    org = org_name(F.col("slot.form"), F.when(short_firm, of("acronyms", 10)).otherwise(of("org_names", 8)), of("legal_forms", 9), of("acronyms", 10), F.col("mention"), F.col("u"))
     loc = loc_name(F.col("slot.form"), number, of("streets", 11), place["town"], place["postcode"], place["region"], F.col("country"), F.replace(of("units", 12), F.lit("{n}"), number), F.col("u"))
     k = F.col("slot.kind")
     who = F.concat_ws(".", slug(of("given_names", 1, "ref")), slug(of("surnames", 2, "ref")))
     ident = F.concat_ws("|", "doc_id", "ent")
-    number_kinds = {"IBAN": {"GB": "gb_iban", "FR": "fr_iban", "ES": "es_iban"}, "NATID": {"GB": "nino", "FR": "nir", "ES": "dni", "US": "us_ssn"}, "COMPANYID": {"FR": "siren"}}
     text = F.when(k == "PER", person).when(k == "ORG", org).when(k == "LOC", loc).when(k == "DATE", date_text(F.col("slot.form"), day, F.col("lang"), F.col("country"), F.col("u")))
     text = text.when(k == "AMOUNT", amount_text(F.round(5 + F.col("u") * F.when(F.col("slot.form") == "big", 250000).otherwise(3000), 2), F.col("country")))
     text = text.when(k == "EMAIL", F.concat(who, F.lit("@example.org"))).when(k == "URL", F.concat(F.lit("www."), who, F.lit(".example")))
-    for kind, by in number_kinds.items():
+    for slot, by in BY_COUNTRY.items():
         for country, gen in by.items():
-            text = text.when((k == kind) & (F.col("country") == country), identifiers.generate(gen, ident, seed))
+            text = text.when((k == slot) & (F.col("country") == country), identifiers.generate(gen, ident, seed))
+    for slot, gen in ANYWHERE.items():
+        text = text.when(k == slot, identifiers.generate(gen, ident, seed))
     text = text.when(k == "JOB", of("jobs", 13)).when(k == "DEPT", of("departments", 14)).when(k == "PUBLIC", F.replace(of("public_bodies", 15), F.lit("{town}"), place["town"]))
-    text = text.when(k == "TITLE", of("titles", 16)).when(k.isNotNull(), identifiers.digits_of(ident, seed, 8, "num"))
+    title = of("titles", 16, "ref")
+    if {"genders", "titles_by"} <= set(inventories.columns):
+        gender = F.get(F.col("genders"), F.floor(draw(seed + 1, "doc_id", "ref") * F.size("given_names")).cast("int"))
+        title = F.coalesce(chosen(F.element_at("titles_by", gender), seed + 16, "doc_id", "ref"), title)
+    text = text.when(k == "TITLE", title)
     lab = F.when(k.isin("PER", "ORG", "LOC", "DATE"), k)
     two = F.array(F.struct(F.col("literal").alias("text"), F.lit(None).cast("string").alias("label")), F.struct(text.alias("text"), lab.alias("label")))
     p = j.select("doc_id", "i", F.posexplode(two).alias("k", "x")).where("x.text is not null and x.text <> ''")
     return p.select("doc_id", (F.col("i") * 2 + F.col("k")).alias("i"), "x.text", "x.label")
 
 
-def substitute_names(pieces: DataFrame, pool: list[str], seed: int = 0, key: str = "doc_id") -> DataFrame:
-    """Person names replaced word by word, the same word by the same one within a document, in its case; the order of words stays."""
+def substitute_names(pieces: DataFrame, pool: list[str], seed: int = 0, key: str = "doc_id", firms: list[str] | None = None) -> DataFrame:
+    """Person names replaced word by word, the same word by the same one within a document, in its case; the order of words stays.
+
+    With ``firms``, a firm's name of over four characters that is not in capitals becomes one of them, the same name the same one within a document.
+    """
     values = F.array(*map(F.lit, pool))
 
     def other(w: Column) -> Column:
@@ -154,15 +185,26 @@ def substitute_names(pieces: DataFrame, pool: list[str], seed: int = 0, key: str
         return F.when(~w.rlike(r"\p{L}"), w).when((w == F.upper(w)) & (F.length(w) > 1), F.upper(new)).when(w == F.lower(w), F.lower(new)).otherwise(new)
 
     words = F.split("text", r"(?<=\p{L})(?=[^\p{L}])|(?<=[^\p{L}])(?=\p{L})", -1)
-    return pieces.withColumn("text", F.when(F.col("label") == "PER", F.array_join(F.transform(words, other), "")).otherwise(F.col("text")))
+    text = F.when(F.col("label") == "PER", F.array_join(F.transform(words, other), ""))
+    if firms:
+        text = text.when((F.col("label") == "ORG") & (F.length("text") > 4) & (F.col("text") != F.upper("text")), chosen(F.array(*map(F.lit, firms)), seed + 1, F.col(key), F.col("text")))
+    return pieces.withColumn("text", text.otherwise(F.col("text")))
 
 
 def augment(pieces: DataFrame, seed: int = 0, key: str = "doc_id", chat: Column | None = None) -> DataFrame:
-    """Noise: lower-case persons in half of chats, 4 % of documents in capitals, 10 % with misread characters, long labelled places wrapped now and then."""
+    """Noise: lower-case persons in half of chats, 4 % of documents in capitals, 10 % with misread characters, long labelled places wrapped
+    now and then, and one in five places with two commas or more put on a line a part, each part labelled."""
     doc, here = draw(seed + 1, key), draw(seed + 2, key, "i")
     t = F.col("text")
     t = F.when((chat if chat is not None else F.lit(False)) & (F.col("label") == "PER") & (draw(seed + 3, key) < 0.5), F.lower(t)).otherwise(t)
     t = F.when(F.col("label").isin("LOC", "ORG") & (F.size(F.split(t, " ")) >= 3) & (here > 0.95), F.regexp_replace(t, r"^(\S+ \S+) ", "$1\n")).otherwise(t)
     misread = F.translate(F.regexp_replace(t, "@", " @ "), "lO", "10")
     t = F.when((doc >= 0.04) & (doc < 0.14) & (here < 0.15), misread).otherwise(t)
-    return pieces.withColumn("text", F.when(doc < 0.04, F.upper(t)).otherwise(t))
+    p = pieces.withColumn("text", F.when(doc < 0.04, F.upper(t)).otherwise(t))
+    parts = F.split("text", ", ")
+    apart = (F.col("label") == "LOC") & (F.size(parts) >= 3) & (draw(seed + 4, key, "i") < 0.2)
+    none = F.lit(None).cast("string")
+    lines = F.flatten(F.transform(parts, lambda x, i: F.when(i == 0, F.array(F.struct(x.alias("text"), F.col("label").alias("label")))).otherwise(F.array(F.struct(F.lit(",\n").alias("text"), none.alias("label")), F.struct(x.alias("text"), F.col("label").alias("label"))))))
+    each = F.when(apart, lines).otherwise(F.array(F.struct(F.col("text").alias("text"), F.col("label").alias("label"))))
+    rows = p.select(key, "i", F.posexplode(each).alias("k", "x"))
+    return rows.select(key, (F.col("i").cast("bigint") * 1000 + F.col("k")).alias("i"), "x.text", "x.label")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -422,9 +423,14 @@ def markup_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return markup.markup_spans(_marked(spark, folder))
 
 
-@query()
+@query(
+    "WITH m AS (" + MARKABLE_SQL + r"""), ok AS (SELECT * FROM m WHERE NOT regexp_matches(value, '[\[\]|\n]') AND value = trim(value)),
+    n AS (SELECT id, count(*)::INT AS n FROM (SELECT *, max("end") OVER (PARTITION BY id ORDER BY start, "end", label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ok) WHERE before IS NULL OR start >= before GROUP BY id),
+    t AS (SELECT id, any_value(text) AS text FROM train WHERE text IS NOT NULL GROUP BY id)
+    SELECT id, md5(regexp_replace(regexp_replace(text, '^\n+', ''), '\n+$', '')) AS digest, coalesce(n, 0)::INT AS n_spans FROM t LEFT JOIN n USING (id) WHERE text <> ''"""
+)
 def markup_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Markup to pieces to records; the tests hold text and spans against the input."""
+    """Markup to pieces to records."""
     r = markup.records_of_pieces(markup.pieces_of_markup(_marked(spark, folder)))
     return r.select("id", F.md5("text").alias("digest"), F.size("spans").alias("n_spans"))
 
@@ -486,7 +492,21 @@ def normalized_intents(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("id", entries.alias("types"), n.cast("bigint").alias("n_hidden"))
 
 
-@query()
+def canonical_sql(types: str, unsupported: str, **lists: str) -> str:
+    """SQL of an intent's canonical JSON from SQL of its parts: a map, a boolean and lists, any of them null."""
+    keys = "[" + ", ".join(f"'{k}'" for k in ("*", *intent.TYPES)) + "]"
+    pruned = f"list_filter({keys}, lambda k: ({types})[k] IS NOT NULL AND (k = '*' OR ({types})['*'] IS NULL OR ({types})[k] <> ({types})['*']))"
+    parts = [f"CASE WHEN len({pruned}) > 0 THEN '\"types\":{{' || array_to_string(list_transform({pruned}, lambda k: '\"' || k || '\":\"' || ({types})[k] || '\"'), ',') || '}}' END"]
+    parts += [f"CASE WHEN len({c}) > 0 THEN '\"{k}\":[' || array_to_string(list_transform({c}, lambda x: to_json(x)::VARCHAR), ',') || ']' END" for k, c in lists.items()]
+    parts.append(f"CASE WHEN {unsupported} THEN '\"unsupported\":true' END")
+    return "'{' || concat_ws(',', " + ", ".join(parts) + ") || '}'"
+
+
+CASES_SQL = "c AS (SELECT id, any_value(instruction) AS instruction, any_value(expect) AS x FROM intent_cases WHERE expect IS NOT NULL GROUP BY id)"
+CANON = canonical_sql("coalesce(x.types, MAP {}::MAP(VARCHAR, VARCHAR))", "x.unsupported", **{k: f"x.{k}" for k in intent.LISTS})
+
+
+@query(f"WITH {CASES_SQL} SELECT id, {CANON} AS raw, true AS same FROM c")
 def intents_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Canonical JSON of every intent, parsed again: equal ones are true."""
     c = table(spark, folder, "intent_cases").where("expect is not null").dropDuplicates(["id"]).select("id", "expect", intent.canonical(F.col("expect")).alias("raw"))
@@ -497,18 +517,34 @@ def intents_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 def _predictions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Shots, and made predictions: most are right, some lack types or are no JSON."""
     shots = table(spark, folder, "shots")
-    u = F.pmod(F.xxhash64("id"), F.lit(10))
+    u = F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("bigint") % 10
     raw = F.when(u == 0, "{not json").when(u == 1, F.lit('{"types":{"*":"off"}}')).otherwise(intent.canonical(F.col("expect")))
-    p = shots.select("id", intent.parse(raw).alias("got"), (F.pmod(F.xxhash64("id"), F.lit(300)) + 50).cast("int").alias("ms"))
+    p = shots.select("id", intent.parse(raw).alias("got"), (u * 30 + 50).cast("int").alias("ms"))
     return shots, p
 
 
-@query()
+#: What is wanted of each shot and how it was answered: 0 no JSON, 1 everything off, else right.
+MARKS_SQL = """m AS (SELECT *, CASE WHEN ('0x' || substr(md5(id), 1, 8))::BIGINT % 10 = 1 THEN 1 WHEN expect IS NULL THEN 0 ELSE ('0x' || substr(md5(id), 1, 8))::BIGINT % 10 END AS u, coalesce(expect.types, MAP {}::MAP(VARCHAR, VARCHAR)) AS t,
+        coalesce(len(expect.dictionary), 0) AS nd, coalesce(len(expect.never_hide), 0) AS nn, coalesce(len(expect.regions), 0) AS nr, coalesce(len(expect.verticals), 0) AS nv, coalesce(expect.unsupported, false) AS un FROM shots),
+    k AS (SELECT *, u > 1 OR (u = 1 AND coalesce(t['*'] = 'off', false) AND len(list_filter(map_values(t), lambda v: v <> 'off')) = 0) AS o_types, u > 1 OR (u = 1 AND nr = 0) AS o_regions, u > 1 OR (u = 1 AND nv = 0) AS o_verticals,
+        u > 1 OR (u = 1 AND nd = 0) AS o_dictionary, u > 1 OR (u = 1 AND nn = 0) AS o_never_hide, u > 1 OR (u = 1 AND NOT un) AS o_unsupported FROM m),
+    w AS (SELECT *, o_types AND o_regions AND o_verticals AND o_dictionary AND o_never_hide AND o_unsupported AS ok,
+        list_transform([""" + ", ".join(f"'{k}'" for k in intent.TYPES) + """], lambda e: {'e': e, 'h': CASE WHEN coalesce(t[e], t['*']) IS NULL THEN e NOT IN ('DATE', 'AMOUNT') ELSE coalesce(t[e], t['*']) = 'hide' END}) AS hid FROM k)"""
+
+
+@query(
+    "WITH " + MARKS_SQL + " SELECT count(*) AS n, sum(ok::INT)::BIGINT AS exact, sum((u = 0)::INT)::BIGINT AS invalid, "
+    + ", ".join(f"sum(o_{f}::INT)::BIGINT AS ok_{f}" for f in ("types", "regions", "verticals", "dictionary", "never_hide", "unsupported")) + " FROM w"
+)
 def intent_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scorecard.summary(scorecard.marks(scorecard.joined(*_predictions(spark, folder))))
 
 
-@query()
+@query(
+    "WITH " + MARKS_SQL + """, s AS (SELECT CASE WHEN u = 1 THEN len(list_filter(hid, lambda z: z.h)) > 0 ELSE len(list_filter(hid, lambda z: z.h AND z.e IN ('DATE', 'AMOUNT'))) > 0 END OR nd > 0 AS leak, un AS unwarned,
+        u = 0 AND len(list_filter(hid, lambda z: NOT z.h AND z.e NOT IN ('DATE', 'AMOUNT'))) > 0 AS over_ FROM w WHERE NOT ok)
+    SELECT severity, count(*) AS n FROM (SELECT unnest(CASE WHEN leak OR unwarned OR over_ THEN list_filter([CASE WHEN leak THEN 'leak' END, CASE WHEN unwarned THEN 'unwarned' END, CASE WHEN over_ THEN 'overhide' END], lambda x: x IS NOT NULL) ELSE ['minor'] END) AS severity FROM s) GROUP BY 1"""
+)
 def intent_costs(spark: SparkSession, folder: str) -> DataFrame:
     return scorecard.cost_counts(scorecard.marks(scorecard.joined(*_predictions(spark, folder))))
 
@@ -521,14 +557,40 @@ def tag_breakdown(spark: SparkSession, folder: str) -> DataFrame:
     return scorecard.breakdown(table(spark, folder, "shots").withColumn("ok", F.length("instruction") % 3 > 0))
 
 
-@query()
+def hits_sql(field: str) -> str:
+    """SQL of the values of a field whose keywords stand in ``low`` (folded, lower case), in the table's order."""
+    found = []
+    for value, words in KEYWORDS.table[field].items():
+        rest = "low"
+        for phrase in [*KEYWORDS.excepted.get(field, []), *KEYWORDS.excepted.get(value, [])]:
+            rest = f"replace({rest}, '{KEYWORDS.fold(phrase)}', ' ')"
+        found.append(f"CASE WHEN {' OR '.join(word_sql(rest, w) for w in words)} THEN '{value}' END")
+    return f"list_filter([{', '.join(found)}], lambda v: v IS NOT NULL)"
+
+
+def word_sql(text: str, word: str) -> str:
+    w = KEYWORDS.fold(word)
+    return f"regexp_matches({text}, '(^|[^0-9A-Za-z]){w}($|[^0-9A-Za-z])')" if w.isascii() else f"contains({text}, '{w}')"
+
+
+FOLD_SQL = "strip_accents(lower(replace(replace({0}, '’', chr(39)), 'ß', 'ss')))"
+
+
+@query(
+    "WITH c AS (SELECT id, coalesce(any_value(instruction), '') AS instruction, any_value(expect) AS x FROM intent_cases GROUP BY id), f AS (SELECT *, " + FOLD_SQL.format("instruction") + " AS low, coalesce(x.types, MAP {}::MAP(VARCHAR, VARCHAR)) AS t FROM c),"
+    + r""" g AS (SELECT *, CASE WHEN regexp_matches(instruction, '\{\s*["'']?(types|never_hide|dictionary)') THEN map_from_entries(list_filter(map_entries(t), lambda e: e.key <> '*' AND e.value = 'hide'))
+        WHEN t['*'] IN ('off', 'keep') AND NOT (""" + " OR ".join(word_sql("low", w) for w in KEYWORDS.table["star_cues"]) + """) THEN map_from_entries(list_filter(map_entries(t), lambda e: e.key <> '*')) ELSE t END AS kept,
+        """ + ", ".join(f"list_concat(coalesce(x.{k}, []), list_filter({hits_sql(k)}, lambda v: NOT list_contains(coalesce(x.{k}, []), v))) AS m_{k}" for k in ("regions", "verticals")) + ", "
+    + ", ".join(f"list_filter(coalesce(x.{k}, []), lambda v: contains(low, {FOLD_SQL.format('v')})) AS m_{k}" for k in ("dictionary", "never_hide")) + " FROM f)"
+    + " SELECT id, CASE WHEN x IS NOT NULL THEN " + canonical_sql("kept", "x.unsupported", **{k: f"m_{k}" for k in intent.LISTS}) + " END AS final FROM g"
+)
 def final_intents(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "intent_cases").dropDuplicates(["id"])
     p = intent.postprocess(c.select("id", "instruction", F.col("expect").alias("intent")), KEYWORDS)
     return p.select("id", intent.canonical(F.col("final")).alias("final"))
 
 
-@query()
+@query(f"WITH {CASES_SQL} SELECT id, unnest(['system', 'user', 'assistant']) AS role, unnest(['Answer with an intent as JSON.', instruction, {CANON}]) AS content FROM c")
 def chat_messages(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "intent_cases").where("expect is not null").dropDuplicates(["id"])
     return c.select("id", F.explode(intent.chat("instruction", F.col("expect"), "Answer with an intent as JSON.")).alias("m")).select("id", "m.role", "m.content")
@@ -566,14 +628,12 @@ def iban_checks(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").select("c_custkey", ids.is_iban(x).alias("iban"))
 
 
-@query()
+@query("SELECT c_custkey, unnest([" + ", ".join(f"'{k}'" for k in ids.KINDS) + "]) AS kind, true AS valid FROM customer")
 def generated_identifiers(spark: SparkSession, folder: str) -> DataFrame:
-    """For every customer one identifier of each kind, and whether its validator takes it."""
+    """For every customer one identifier of each kind, and whether its validator takes it. A projection a kind keeps each within generated code."""
     c = table(spark, folder, "customer").select("c_custkey")
-    made = F.array(*[F.struct(F.lit(k).alias("kind"), ids.generate(k, F.col("c_custkey"), 1).alias("value")) for k in ids.KINDS])
-    r = c.select("c_custkey", F.explode(made).alias("x")).select("c_custkey", "x.kind", "x.value")
-    valid = F.coalesce(*[F.when(F.col("kind") == k, ids.VALIDATORS[k]("value")) for k in ids.KINDS])
-    return r.withColumn("valid", valid)
+    each = [c.select("c_custkey", F.lit(k).alias("kind"), ids.generate(k, F.col("c_custkey"), 1).alias("value")).select("c_custkey", "kind", ids.VALIDATORS[k]("value").alias("valid")) for k in ids.KINDS]
+    return functools.reduce(DataFrame.union, each)
 
 
 # -- registers ------------------------------------------------------------------------------------------------------------------------------
@@ -606,7 +666,7 @@ def acts(spark: SparkSession, folder: str) -> DataFrame:
 def rendered_templates(spark: SparkSession, folder: str) -> DataFrame:
     """A small template rendered once for every source file of its country, as records."""
     files = table(spark, folder, "source_files")
-    template = "#country: GB\n#doctype: letter\nDear {{TITLE#1}} {{PER#1:surname}},\n{{ORG#1:legal}} wrote on {{DATE:long}} to {{PER#1:full}}, {{LOC#1:line}}, about {{AMOUNT}}.\nPay to {{IBAN}} or mail {{EMAIL:PER#1}}.\n{{ORG#1:name}}"
+    template = "#country: GB\n#doctype: letter\nDear {{TITLE#1}} {{PER#1:surname}},\n{{ORG#1:legal}} wrote on {{DATE:long}} to {{PER#1:full}}, {{LOC#1:line}}, about {{AMOUNT}}.\nPay to {{IBAN}} ({{BIC}}), ring {{PHONE}} or {{MOBILE}}, mail {{EMAIL:PER#1}}. VAT {{VAT}}, {{COMPANYID}}, {{NATID}}, {{TAXID}}, {{PLATE}}, {{REF}}, {{ACCOUNT}}, {{SORTCODE}}, {{CARD4}}, {{NUM}}.\n{{ORG#1:name}}"
     templates = spark.createDataFrame([("t1", template)], "id string, text string")
     inv = spark.createDataFrame(
         [("GB", ["Ada", "Ben"], ["Marsh", "Lowell"], ["Ms", "Mr"], ["Granite Supply", "Harbour Tools"], ["Ltd", "plc"], ["GS"], ["Mill Lane"], ["Unit {n}"], ["clerk"], ["Billing"], ["{town} Council"], [("Leeds", "LS1 4AP", "Yorkshire")])],

@@ -1,6 +1,7 @@
 """Text, identifiers, isolation, intents, scores, sampling, markup, registers, sources and streams on small fixtures."""
 
 import json
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -214,8 +215,31 @@ def test_render_is_consistent(spark):
     t = spark.createDataFrame([("t", "#country: GB\n#doctype: letter\nA {{PER#1:given}} B {{PER#1:given}} C {{DATE:iso}}.")], "id string, text string")
     docs = spark.range(20).select(F.concat(F.lit("d"), "id").alias("doc_id"), F.lit("t").alias("id"), F.lit("en").alias("lang"))
     rec = markup.records_of_pieces(generate.render(t, inv, docs), "doc_id").collect()
-    assert len(rec) == 20 and all(r.text.split(" ")[1] == r.text.split(" ")[3] for r in rec) and all(r.text.endswith(".") for r in rec)
-    assert all([r.text[s.start : s.end] for s in r.spans][0] in ("Ada", "Ben", "Cy") for r in rec)
+    given = [re.fullmatch(r"A (.+) B \1 C .+\.", r.text) for r in rec]  # now and then a second given name
+    assert len(rec) == 20 and all(given) and all(set(m[1].split(" ")) <= {"Ada", "Ben", "Cy"} for m in given)
+    assert all(r.text[r.spans[0].start : r.spans[0].end] == m[1] for r, m in zip(rec, given))
+
+
+def test_every_slot_is_filled(spark):
+    countries = ("GB", "IE", "US", "FR", "BE", "CH", "ES")
+    inv = spark.createDataFrame([(c, ["Ada", "Ben"], ["f", "m"], ["Marsh"], ["X"], {"f": ["Ms"], "m": ["Mr"]}, ["Granite"], ["Ltd"], ["GS"], ["Mill Lane"], ["Unit {n}"], ["clerk"], ["Billing"], ["{town} Council"], [("Leeds", "LS1", "York")]) for c in countries],
+        "country string, given_names array<string>, genders array<string>, surnames array<string>, titles array<string>, titles_by map<string,array<string>>, org_names array<string>, legal_forms array<string>, acronyms array<string>, streets array<string>, units array<string>, jobs array<string>, departments array<string>, public_bodies array<string>, places array<struct<town:string,postcode:string,region:string>>")
+    plain = [*generate.BY_COUNTRY, *generate.ANYWHERE]
+    t = spark.createDataFrame([(c, f"#country: {c}\n#doctype: letter\n" + "\n".join(f"{{{{{k}}}}}" for k in plain) + "\n{{TITLE}}") for c in countries], "id string, text string")
+    docs = t.select(F.concat(F.lit("d"), "id").alias("doc_id"), "id", F.lit("en").alias("lang"))
+    rendered = markup.records_of_pieces(generate.render(t, inv, docs), "doc_id").collect()
+    assert len(rendered) == 7
+    for r in rendered:
+        lines = r.text.split("\n")
+        assert len(lines) == len(plain) + 1 and all(lines) and lines[-1] in ("Ms", "Mr"), lines
+
+
+def test_generated_identifiers_are_valid(spark):
+    made = None
+    for k in ids.KINDS:
+        one_kind = spark.range(100).select(F.lit(k).alias("k"), ids.generate(k, F.col("id"), 3).alias("v")).select("k", "v", ids.VALIDATORS[k]("v").alias("ok"))
+        made = one_kind if made is None else made.union(one_kind)
+    assert not made.where("not coalesce(ok, false)").collect()
 
 
 def test_registers(spark):
