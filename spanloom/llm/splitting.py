@@ -225,7 +225,7 @@ def piece_row(row: dict, piece: tuple[int, int, int]) -> dict:
     return {"id": row["id"], "k": row["k"], "r": row["r"], "n": row["n"], "start": base + a, "end": base + b, "n_tokens": tokens, "piece": row["text"][a:b], "spans": inner}
 
 
-def split_files(spark: SparkSession, paths: list[str], vocab: DataFrame, limit: int = 256, overlap: int = 32, range_bytes: int = 4 << 20, halo: int = 16384) -> DataFrame:
+def split_files(spark: SparkSession, paths: list[str], vocab: DataFrame, limit: int = 256, overlap: int = 32, range_bytes: int = 1 << 20, halo: int = 16384) -> DataFrame:
     """Pieces of UTF-8 files of any size, read by byte ranges: ``(path, piece_no, start_byte, end_byte, start_char, n_tokens, piece)``.
 
     Paths must be readable by every executor. No task reads more than a range and two halos. An empty file has no pieces.
@@ -271,10 +271,15 @@ def split_files(spark: SparkSession, paths: list[str], vocab: DataFrame, limit:
                 left, skip = read(row["path"], base, row["b"])
                 body, _ = read(row["path"], row["b"], row["stop"])
                 text = left + body
+                rows, char, byte = [], 0, base + skip
                 for a, e, n in cut_text(costs, text, [], limit, overlap, len(left), len(text)):
-                    at = base + skip + len(text[:a].encode())
-                    yield pa.RecordBatch.from_pylist([{"path": row["path"], "r": row["r"], "n_chars": len(body), "start_byte": at, "end_byte": at + len(text[a:e].encode()), "rel": a - len(left), "n_tokens": n, "piece": text[a:e]}])
+                    byte += len(text[char:a].encode()) if a >= char else -len(text[a:char].encode())
+                    char = a
+                    piece = text[a:e]
+                    rows.append({"path": row["path"], "r": row["r"], "n_chars": len(body), "start_byte": byte, "end_byte": byte + len(piece.encode()), "rel": a - len(left), "n_tokens": n, "piece": piece})
+                yield pa.RecordBatch.from_pylist(rows, schema=piece_schema)
 
+    piece_schema = pa.schema([("path", pa.string()), ("r", pa.int64()), ("n_chars", pa.int64()), ("start_byte", pa.int64()), ("end_byte", pa.int64()), ("rel", pa.int64()), ("n_tokens", pa.int64()), ("piece", pa.string())])
     pieces = stitched.mapInArrow(cut_range, "path string, r bigint, n_chars bigint, start_byte bigint, end_byte bigint, rel bigint, n_tokens bigint, piece string")
     lengths = pieces.groupBy("path", "r").agg(F.max("n_chars").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     numbered = pieces.join(lengths.drop("n"), ["path", "r"]).withColumn("piece_no", F.row_number().over(Window.partitionBy("path").orderBy("start_byte")) - 1)
