@@ -662,6 +662,49 @@ def acts(spark: SparkSession, folder: str) -> DataFrame:
     return p.groupBy(F.col("file").cast("bigint").alias("s_suppkey")).agg(of("ORG"), of("PER"), of("LOC"), of("DATE"))
 
 
+def _record_columns(r: DataFrame) -> DataFrame:
+    return r.select("id", "lang", "country", "source", "doctype", F.md5("text").alias("digest"), F.size("spans").alias("n_spans"), "reason")
+
+
+def record_sql(text: str, lang: str, country: str, doctype: str, n_spans: int, rows: str, id_: str) -> str:
+    return f"""SELECT id, '{lang}' AS lang, '{country}' AS country, 'registry' AS source, '{doctype}' AS doctype, md5(text) AS digest, {n_spans}::INT AS n_spans, CASE WHEN length(text) < 250 THEN 'too short' END AS reason
+    FROM (SELECT {id_} AS id, {text} AS text FROM {rows})"""
+
+
+@query(record_sql(
+    "'BODACC A n° 12 du 05/03/2024 - Annonce n° ' || s_suppkey || '\nVentes - Avis\nTribunal de commerce de Reims\n\n' || s_name || ' SARL\nForme juridique : Société à responsabilité limitée\nCapital : 1000 EUR\nSiège social : 3 Rue A, 75001 Paris\n\nDate d''effet : 01/03/2024'".replace("\n", "' || chr(10) || '"),
+    "fr", "FR", "vente", 5, "supplier", "'reg-fr-bodacc-2024-03-05-' || s_suppkey"))
+def french_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers as French notices, delivered twice, and read to records."""
+    firm = '","formeJuridique":"Société à responsabilité limitée","capital":{"montantCapital":"1000","devise":"EUR"},"adresseSiegeSocial":{"france":{"numeroVoie":"3","nomVoie":"Rue A","codePostal":"75001","ville":"Paris"}}}}'
+    given = {"dateparution": "2024-03-05", "publicationavis": "A", "parution": "12", "familleavis": "vente", "familleavis_lib": "Ventes", "typeavis_lib": "Avis", "tribunal": "Tribunal de commerce de Reims", "acte": '{"dateEffet":"2024-03-01"}'}
+    n = table(spark, folder, "supplier").select(F.col("s_suppkey").cast("string").alias("numeroannonce"), *[F.lit(v).alias(k) for k, v in given.items()], F.concat(F.lit('{"personne":{"denomination":"'), F.col("s_name"), F.lit(" SARL" + firm)).alias("listepersonnes"),
+        *[F.lit(None).cast("string").alias(k) for k in ("listeetablissements", "jugement")])
+    return _record_columns(registry.french_records(n.union(n)))
+
+
+@query(record_sql(
+    "'BOLETÍN OFICIAL DEL REGISTRO MERCANTIL\nLunes 1 de abril de 2024\nActos inscritos\n\nMadrid\n' || acts".replace("\n", "' || chr(10) || '"), "es", "ES", "acts", 17,
+    "(SELECT s_suppkey // 5 AS file, string_agg(lpad(s_suppkey::VARCHAR, 5, '0') || ' - ' || upper(replace(s_name, '#', 'N')) || ' SL. Constitución. Domicilio: C/ MAYOR 1 (MADRID). Adm. Unico: PEREZ ANA.', chr(10) ORDER BY s_suppkey) AS acts FROM supplier GROUP BY 1 HAVING count(*) = 5)",
+    "'reg-es-borme-' || file || '-0'"))
+def spanish_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers as pages of five acts under one province, read to records."""
+    number, name = F.lpad(F.col("s_suppkey").cast("string"), 5, "0"), F.upper(F.regexp_replace("s_name", "#", "N"))
+    s = table(spark, folder, "supplier").select(F.floor(F.col("s_suppkey") / 5).cast("string").alias("file"), "s_suppkey", F.concat(number, F.lit(" - "), name, F.lit(" SL. Constitución. Domicilio: C/ MAYOR 1 (MADRID). Adm. Unico: PEREZ ANA.")).alias("act"))
+    files = s.select("file").distinct()
+    lines = s.select("file", F.col("s_suppkey").cast("bigint").alias("line_no"), F.col("act").alias("line")).union(files.select("file", F.lit(-1).cast("bigint"), F.lit("MADRID"))).union(files.select("file", F.lit(-2).cast("bigint"), F.lit("Núm. 64")))
+    return _record_columns(registry.spanish_records(lines, files.withColumn("date", F.lit("2024-04-01"))))
+
+
+@query(record_sql(
+    "s_name || ' of 3 Mill Lane, Leeds, LS1 4AP' || chr(10) || 'Granite & Sons Limited, contact Ada Marsh on 3 May 2024.'", "en", "GB", "notice", 5, "supplier", "'reg-gb-' || s_suppkey"))
+def british_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers as British notices: a page, and the values of its graph."""
+    page = F.concat(F.lit("<html><article id='n'><p>Notice category: Corporate</p><p>Notice code:</p><p>2410</p><p>"), F.col("s_name"), F.lit(" of 3 Mill Lane, Leeds, LS1 4AP</p><p>Granite &amp; Sons Limited, contact Ada Marsh on 3 May 2024.</p></article><p>x</p></html>"))
+    graph = F.concat(F.lit('[{"@id":"o","@type":"Company","name":"'), F.col("s_name"), F.lit('"},{"@id":"x/court/1","name":"Leeds"}]'))
+    return _record_columns(registry.british_records(table(spark, folder, "supplier").select(F.concat(F.lit("reg-gb-"), F.col("s_suppkey").cast("string")).alias("id"), page.alias("html"), graph.alias("graph"), F.lit("notice").alias("doctype"))))
+
+
 @query()
 def rendered_templates(spark: SparkSession, folder: str) -> DataFrame:
     """A small template rendered once for every source file of its country, as records."""
