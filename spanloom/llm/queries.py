@@ -16,7 +16,7 @@ from spanloom.llm.packing import pack
 from spanloom.llm.sentences import sentence_offsets
 from spanloom.llm.splitting import split_files, split_records
 from spanloom.llm.tokens import compared, compared_lang, count_tokens, token_budget
-from spanloom.session import cut, shared_dir, table
+from spanloom.session import cut, delete_at_exit, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -182,6 +182,7 @@ def p1_files(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents").where("text is not null").select(compared_lang().alias("file"), "doc_id", F.regexp_replace("text", r"\s+", " ").alias("value"))
     root = f"{shared_dir(spark).rstrip('/')}/landed/{uuid.uuid4().hex}"
     d.repartition("file").sortWithinPartitions("file", "doc_id").select("file", "value").write.partitionBy("file").text(root)
+    delete_at_exit(spark, root)
     paths = [r[0] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(root).select("path").collect()]
     p = split_files(spark, [x.replace("file:", "", 1) if x.startswith("file:") else x for x in paths], table(spark, folder, "vocab"))
     name = F.regexp_extract("path", r"/file=([^/]*)/", 1)
