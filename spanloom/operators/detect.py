@@ -18,10 +18,20 @@ def detect(docs: DataFrame, spec: ModelSpec, tokenizer_json: str, make_scorer: C
 
     Tokenizing and scoring are map-only; everything behind them works on one exchange by ``key``, which must be unique.
     """
-    special = tokenize.special_ids(tokenize.load_tokenizer(tokenizer_json))
     src = spread(docs.select(key, F.col(text).alias("text")))
-    model_text = src.withColumn("text", title_cased("text")) if spec.title_case else src
-    enc = tokenize.encode(model_text.where("text is not null and text <> ''"), tokenizer_json, spec.tokenizer_kind)
+    enc = tokenize.encode(model_text(src, spec).where("text is not null and text <> ''"), tokenizer_json, spec.tokenizer_kind)
+    bad = tokenize.encoding_errors(F.col("encoding"), F.col("text"))
+    enc = enc.withColumn("encoding", F.when(F.size(bad) == 0, F.col("encoding")).otherwise(F.raise_error(F.concat(F.lit("encoding: "), F.get(bad, F.lit(0)))).cast(enc.schema["encoding"].dataType)))
+    return detect_encoded(enc, src, spec, tokenize.special_ids(tokenize.load_tokenizer(tokenizer_json)), make_scorer, key, offset_unit)
+
+
+def model_text(docs: DataFrame, spec: ModelSpec) -> DataFrame:
+    """The text as the model sees it; of the same length."""
+    return docs.withColumn("text", title_cased("text")) if spec.title_case else docs
+
+
+def detect_encoded(enc: DataFrame, src: DataFrame, spec: ModelSpec, special: tuple[int, int] | None, make_scorer: Callable[[], scoring.TokenScorer], key: str = "doc_id", offset_unit: str = "char") -> DataFrame:
+    """Detections from encodings ``(key, encoding)``, whatever made them, with values from ``src`` ``(key, text)``. Empty encodings give none."""
     enc = enc.where(F.size("encoding.ids") > 0)
     w = windows.window_inputs(enc.select(key, F.col("encoding.ids").alias("ids")), spec.max_tokens, spec.stride, "ids", special)
     scored = scoring.score_windows(w.drop("ids"), make_scorer, len(spec.labels), spec.name)

@@ -1,6 +1,6 @@
 """Texts close to a held-out set by the ratio of matching characters (``2 M / (len a + len b)`` of the longest-block matcher).
 
-The held-out side is the stated query set: it is broadcast in blocks of bounded size, and every row meets it in the workers behind three upper
+The held-out side is the stated query set: it is broadcast in blocks of bounded size, and every row meets it in the workers, in one scan, behind three upper
 bounds, each cheaper than the next: lengths, character histograms (one matrix a batch), and the bit-parallel longest common subsequence.
 """
 
@@ -18,6 +18,7 @@ from spanloom.functions.text import norm
 from spanloom.session import ship
 
 BLOCK_ROWS = 5_000
+_HISTOGRAMS: dict[int, np.ndarray] = {}
 CELLS = 96  # characters are counted in so many cells by code, which keeps the bound an upper one
 
 
@@ -76,19 +77,23 @@ def close_to(rows: DataFrame, held: DataFrame, key: str = "id", text: str = "ins
     src = rows.select(key, norm(text).alias("t")).where("t <> ''").distinct()
     src = src.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # the work is in the workers, not in the bytes
     kind = rows.schema[key].dataType.simpleString()
-    found = None
-    for k in range(blocks):
+    held_blocks = []
+    for k in range(blocks):  # the driver holds one block at a time
         part = h.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == k).collect()
-        shared = spark.sparkContext.broadcast(([r[0] for r in part], [r[1] for r in part]))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            keys, texts = shared.value
-            hist = histogram(texts)
-            for b in batches:
-                own = list(b[key])
-                rows_ = [(own[i], keys[j], round(r, 6)) for i, j, r in close_pairs(list(b["t"]), texts, hist, least)]
+        held_blocks.append(spark.sparkContext.broadcast(([r[0] for r in part], [r[1] for r in part])))
+
+    names = [b._jbroadcast.id() for b in held_blocks]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One scan of the rows, however many blocks there are."""
+        for b in batches:
+            own, texts = list(b[key]), list(b["t"])
+            for k, block in enumerate(held_blocks):
+                keys, held_texts = block.value
+                if names[k] not in _HISTOGRAMS:
+                    _HISTOGRAMS[names[k]] = histogram(held_texts)
+                rows_ = [(own[i], keys[j], round(r, 6)) for i, j, r in close_pairs(texts, held_texts, _HISTOGRAMS[names[k]], least)]
                 yield pd.DataFrame(rows_, columns=["a", "b", "ratio"])
 
-        near = src.mapInPandas(run, f"a {kind}, b string, ratio double")
-        found = near if found is None else found.unionByName(near)
+    found = src.mapInPandas(run, f"a {kind}, b string, ratio double")
     return found.select(F.col("a").alias(key), F.col("b").alias(f"held_{held_key}"), "ratio")

@@ -133,9 +133,7 @@ def encoding_errors(encoding: Column, text: Column) -> Column:
     """Reasons why an encoding is not valid, empty when it is: unequal lengths, or offsets that are not ordered within the text."""
     n = F.size(encoding["ids"])
     same = (n == F.size(encoding["starts"])) & (n == F.size(encoding["ends"])) & (n == F.size(encoding["word_ids"]))
-    spans = F.arrays_zip(encoding["starts"].alias("s"), encoding["ends"].alias("e"))
     ordered = F.forall(F.zip_with(encoding["starts"], encoding["ends"], lambda s, e: (s >= 0) & (s <= e) & (e <= F.length(text))), lambda x: x)
-    del spans
     return F.filter(F.array(F.when(~same, F.lit("unequal lengths")), F.when(~ordered, F.lit("offsets out of order"))), lambda x: x.isNotNull())
 
 
@@ -161,6 +159,14 @@ def word_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return p.withColumn("i", (F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1).cast("int")).select(key, "i", "start", "end", "piece")
 
 
+def word_encoding(docs: DataFrame, token_id: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, encoding)`` of word tokens: ``token_id`` is an expression of ``piece``; each token is a word."""
+    t = word_rows(docs, key, text).select(key, F.struct("i", token_id.cast("bigint").alias("id"), "start", "end").alias("t"))
+    g = t.groupBy(key).agg(F.array_sort(F.collect_list("t")).alias("t"))
+    part = lambda c: F.transform("t", lambda x: x[c])
+    return g.select(key, F.struct(part("id").alias("ids"), part("start").alias("starts"), part("end").alias("ends"), part("i").alias("word_ids")).alias("encoding"))
+
+
 def word_ids_native(pieces: DataFrame, key: str = "doc_id") -> DataFrame:
     """``piece_word_ids`` as window functions over ``(key, i, start, end, piece)``."""
     order = Window.partitionBy(key).orderBy("i")

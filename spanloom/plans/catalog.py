@@ -12,6 +12,7 @@ from spanloom.functions import identifiers as ids
 from spanloom.functions import text as tx
 from spanloom.operators import align, decode, detect, generate, intent, isolation, markup, neardup, registry, sampling, scorecard, scoring, tokenize, windows
 from spanloom.session import spread, table
+from spanloom.sources.files import build_report
 from spanloom.spec import DecodeConfig, ModelSpec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,7 +81,7 @@ def bio_detections(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return bio_detections(spark, folder)
+    return detect_words(spark, folder)
 
 
 @query("WITH " + WORDS_SQL + "SELECT doc_id, i::INT AS i, s AS start, e AS \"end\", piece FROM toks")
@@ -181,6 +182,42 @@ def detect_pipeline(spark: SparkSession, folder: str, tokenizers: str = "/opt/to
     return detect.detect(spread(table(spark, folder, "documents")), BYTE_SPEC, source, lambda: HashScorer(5), offset_unit="byte")
 
 
+class PlacedScorer(HashScorer):
+    """Scores that depend on a token's place in its window, too, so that it matters which window's are kept."""
+
+    def score(self, ids_, mask):
+        import numpy as np
+
+        return (ids_[:, None] * 2654435761 + np.arange(self.n)[None, :] * 40503 + np.arange(len(ids_))[:, None] * 7919) % 1009 / 100.0
+
+
+WORD_SPEC = ModelSpec("words", "none", "bytelevel", "none", ("O", "B-PER", "I-PER", "B-LOC", "I-LOC"), {"PER": "PERSON", "LOC": "ADDRESS"}, 256, 32, 0.5, True)
+TITLED_SQL = r"""train_docs AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '\p{L}+|[^\p{L}]+'),
+    lambda x: CASE WHEN regexp_matches(x, '^\p{L}{4,}$') AND NOT regexp_matches(x, '\p{Ll}') AND strlen(x[1] || lower(x[2:])) = strlen(x) THEN x[1] || lower(x[2:]) ELSE x END), '') AS text FROM documents WHERE text <> '')"""
+
+
+@query(
+    "WITH " + TITLED_SQL + ", " + WORDS_SQL.replace("FROM documents", "FROM train_docs") + r""",
+    n AS (SELECT doc_id, max(i) + 1 AS n FROM toks GROUP BY doc_id),
+    win AS (SELECT doc_id, n, unnest(range(0, CASE WHEN n <= 254 THEN 1 ELSE ceil((n - 254) / 222.0)::INT + 1 END)) * 222 AS ws FROM n),
+    place AS (SELECT doc_id, i, i - ws + 1 AS pos FROM (SELECT w.doc_id, t.i, w.ws, row_number() OVER (PARTITION BY t.doc_id, t.i ORDER BY least(t.i - ws, least(ws + 254, n) - 1 - t.i) DESC, ws) AS r
+        FROM win w JOIN toks t ON t.doc_id = w.doc_id AND t.i >= ws AND t.i < least(ws + 254, n)) WHERE r = 1),
+    z AS (SELECT t.doc_id, t.i, t.s, t.e, list_transform([0, 1, 2, 3, 4], lambda j: (((length(piece) * 131 + unicode(piece)) * 2654435761 + j * 40503 + pos * 7919) % 1009) / 100.0::DOUBLE) AS z FROM toks t JOIN place USING (doc_id, i)),
+    lab AS (SELECT *, ['O', 'B-PER', 'I-PER', 'B-LOC', 'I-LOC'][list_position(z, list_max(z))] AS lab, 1 / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))) AS p FROM z),
+    nm AS (SELECT *, CASE WHEN lab <> 'O' THEN lab[3:] END AS name, lab[1] AS prefix FROM lab),
+    isl AS (SELECT *, sum(CASE WHEN name IS NULL THEN 0 WHEN name = before AND prefix = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT *, lag(name) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM nm)),
+    sp AS (SELECT doc_id, name, g, min(s) AS s, max(e) AS e, avg(p) AS conf FROM isl WHERE name IS NOT NULL GROUP BY ALL HAVING avg(p) >= 0.5)
+    SELECT doc_id, CASE name WHEN 'PER' THEN 'PERSON' ELSE 'ADDRESS' END AS type, md5(substring(d.text, s + 1, e - s)) AS value, strlen(substring(d.text, 1, s))::INT AS start, strlen(substring(d.text, 1, e))::INT AS "end",
+        round(conf, 6) AS confidence, 'ner:words' AS detector FROM sp JOIN documents d USING (doc_id)"""
+)
+def detect_words(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole pipeline on word tokens, which SQL can follow: casing, windows, scores, the best window of each token, spans, values, byte offsets."""
+    docs = spread(table(spark, folder, "documents")).select("doc_id", "text").where("text <> ''")
+    enc = tokenize.word_encoding(detect.model_text(docs, WORD_SPEC), F.length("piece") * 131 + F.ascii("piece"))
+    found = detect.detect_encoded(enc, docs, WORD_SPEC, (1, 2), lambda: PlacedScorer(5), offset_unit="byte")
+    return found.select("doc_id", "type", F.md5("value").alias("value"), "start", "end", F.round("confidence", 6).alias("confidence"), "detector")
+
+
 # -- text ---------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -364,13 +401,11 @@ def repeated_ids(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     """WITH g AS (SELECT source, lang, country, sum(n) / 900.0::DOUBLE AS chunks FROM (SELECT any_value(coalesce(lower(trim(source)), 'unknown')) AS source, any_value(regexp_replace(coalesce(lower(trim(lang)), 'unknown'), '[-_].*$', '')) AS lang,
         any_value(country) AS country, coalesce(length(any_value(text)), 0) AS n FROM train GROUP BY id) GROUP BY ALL)
-    SELECT source, lang, country, round(chunks, 4) AS chunks, round(chunks / (SELECT sum(chunks) FROM g), 6) AS share FROM g"""
+    SELECT source, lang, country, round(chunks, 3) AS chunks, round(chunks / (SELECT sum(chunks) FROM g), 6) AS share FROM g"""
 )
 def chunk_report(spark: SparkSession, folder: str) -> DataFrame:
-    r = _train(spark, folder).select(clean("source").alias("source"), F.regexp_replace(clean("lang"), "[-_].*$", "").alias("lang"), "country", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
-    g = r.groupBy("source", "lang", "country").agg((F.sum("n") / F.lit(900.0)).alias("chunks"))
-    total = g.agg(F.sum("chunks").alias("all"))
-    return g.join(F.broadcast(total)).select("source", "lang", "country", F.round("chunks", 4).alias("chunks"), F.round(F.col("chunks") / F.col("all"), 6).alias("share"))
+    r = _train(spark, folder).select(clean("source").alias("source"), F.regexp_replace(clean("lang"), "[-_].*$", "").alias("lang"), "country", F.coalesce("text", F.lit("")).alias("text"), F.lit("train").alias("split"))
+    return build_report(r).select("source", "lang", "country", F.col("train").alias("chunks"), "share")
 
 
 @query("SELECT coalesce(upper(trim(s.label)), 'unknown') AS value, count(*) AS n FROM (" + SPANS_SQL + ") GROUP BY 1")

@@ -53,9 +53,16 @@ def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder: compressed, and read by column, where texts would make a checkpoint large."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the application ends; until then any table read from it may be computed again."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def once(df: DataFrame, **cols: Column) -> DataFrame:
     """Adds columns that are computed exactly once a row: a Generate is a barrier to the optimizer, which would else inline them into lambdas."""
     keep = [c for c in df.columns if c not in cols]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.identifiers import KINDS, generate
+from spanloom.operators import isolation
 from spanloom.operators.markup import template_parts
 
 SPAN = "array<struct<start:int,end:int,label:string>>"
@@ -54,6 +55,26 @@ def inventory_entries(spark: SparkSession, root: str) -> DataFrame:
     return out.union(orgs).union(flat("acronyms", F.col("acronyms"))).union(flat("streets", F.col("streets"))).where("value is not null")
 
 
+def load_inventories(spark: SparkSession, root: str, blocked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Inventory entries without the blocked ones (column ``part``, any case), and how many each country and kind of entry lost: ``(country, key, n_dropped)``.
+
+    Names, firms and streets are filtered; acronyms stay as they are.
+    """
+    entries = inventory_entries(spark, root)
+    open_ = F.col("key") == "acronyms"
+    kept = isolation.unblocked(entries.where(~open_), blocked).unionByName(entries.where(open_))
+    counts = lambda d, n: d.groupBy("country", "key").agg(F.count("*").alias(n))
+    drops = counts(entries, "_all").join(counts(kept, "_kept"), ["country", "key"], "left")
+    return kept, drops.select("country", "key", (F.col("_all") - F.coalesce("_kept", F.lit(0))).alias("n_dropped"))
+
+
+def inventory_violations(entries: DataFrame, tests: DataFrame, expected: str = "expected") -> DataFrame:
+    """``(country, key, value, name)`` of inventory entries that hold a test item's name as whole words."""
+    e = entries.withColumn("_id", F.struct("country", "key", "value").cast("string"))
+    found = isolation.names_in(e, isolation.test_names(tests, expected=expected), key="_id", text="value")
+    return found.join(e, "_id").select("country", "key", "value", "name").distinct()
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 

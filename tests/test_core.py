@@ -278,6 +278,10 @@ def test_sources(spark, tmp_path):
     (tmp_path / "i").mkdir()
     (tmp_path / "i/gb.json").write_text(json.dumps({"country": "GB", "given_names": [{"name": "Ada", "gender": "f"}], "surnames": [{"name": "Marsh"}], "org_names": {"legal": ["X"]}, "streets": ["Mill Lane"]}))
     assert {(r.key, r.value) for r in files.inventory_entries(spark, str(tmp_path / "i")).collect()} == {("given_names", "Ada"), ("surnames", "Marsh"), ("org_names.legal", "X"), ("streets", "Mill Lane")}
+    kept, drops = files.load_inventories(spark, str(tmp_path / "i"), spark.createDataFrame([("MARSH",), ("x",), (None,)], "part string"))
+    assert {r.value for r in kept.collect()} == {"Ada", "Mill Lane"} and {(r.key, r.n_dropped) for r in drops.collect()} == {("given_names", 0), ("surnames", 1), ("org_names.legal", 1), ("streets", 0)}
+    cases = spark.createDataFrame([([("PERSON", "mill lane")],), (None,)], "expected array<struct<type:string,value:string>>")
+    assert [tuple(r) for r in files.inventory_violations(kept, cases).collect()] == [("GB", "streets", "Mill Lane", "mill lane")]
     rec = spark.createDataFrame([("a", "x" * 900, "s", "en", "GB", "train", 1), ("b", "y" * 450, "s", "en", "GB", "dev", 1)], "id string, text string, source string, lang string, country string, split string, base int")
     files.write_jsonl(rec, str(tmp_path / "out"), "split")
     back = files.read_jsonl(spark, str(tmp_path / "out/split=dev"), files.RECORD).first()
