@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.windows import windows
 from spanloom.session import ship
 
 
@@ -34,6 +35,18 @@ def token_labels(tokens: DataFrame, spans: DataFrame, key: str = "doc_id", cell:
     return j.select(key, "i", "start", "end", label.alias("label")).unionByName(t.where("end <= start").select(key, "i", "start", "end", F.lit("-100").alias("label")))
 
 
+def label_windows(labels: DataFrame, max_tokens: int = 256, stride: int = 32, key: str = "doc_id") -> DataFrame:
+    """``(key, token_start, token_end, labels)``: the labels of a document's tokens in overlapping windows, as a model is trained on them.
+
+    The places of special tokens at both ends of a window have ``-100``. Labels: ``(key, i, label)``; a document without tokens has no window.
+    """
+    seq = labels.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "label"))), lambda x: x["label"]).alias("_all"))
+    w = windows(seq.withColumn("_n", F.size("_all")), max_tokens, stride, "_n", special=(0, 0))
+    ignored = F.array(F.lit("-100"))
+    inner = F.slice("_all", F.col("token_start") + 1, F.col("token_end") - F.col("token_start"))
+    return w.select(key, "token_start", "token_end", F.concat(ignored, inner, ignored).alias("labels"))
+
+
 def span_rows(records: DataFrame, key: str = "id", spans: str = "spans") -> DataFrame:
     """``(key, start, end, label)``; null arrays and null spans give nothing."""
     return records.select(key, F.explode(spans).alias("x")).where("x is not null").select(key, "x.start", "x.end", "x.label")

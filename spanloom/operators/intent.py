@@ -27,34 +27,45 @@ def lits(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
-def parse(raw: Column | str) -> Column:
-    """A valid intent as a struct, null for anything else: no JSON object, repeated or unknown keys, values outside the schema.
-
-    Parts equal to an empty list, an empty object, false or zero are dropped before the check.
-    """
-    r = F.trim(col(raw))
-    obj = F.try_parse_json(r)  # fails on repeated keys
+def checks(r: Column) -> list[tuple[str, Column]]:
+    """What JSON text must keep to, by reason, in the order in which reasons are given. Parts equal to ``[]``, ``{}``, false or zero are as good as absent."""
     keys = F.json_object_keys(r)
     part = lambda k: F.get_json_object(r, f"$.{k}")
-    empty = lambda k: part(k).isNull() | part(k).isin("[]", "{}", "false", "0", "0.0")
-    given = F.from_json(r, SCHEMA)
-    # the lists of strings and the map as they are written: from_json would turn numbers to strings
     texts = lambda k: F.from_json(part(k), "array<string>")
+    # lists of strings and the map as they are written: from_json would turn numbers to strings
     all_text = lambda k: F.coalesce(part(k).rlike(r'^\[\s*"(?:[^"\\]|\\.)*"\s*(?:,\s*"(?:[^"\\]|\\.)*"\s*)*\]$'), F.lit(False))
-    ok_list = lambda k, allowed=None: empty(k) | (
-        all_text(k) & (F.forall(texts(k), lambda x: F.array_contains(lits(allowed), x)) & (F.size(F.array_distinct(texts(k))) == F.size(texts(k))) if allowed else F.forall(texts(k), lambda x: x != ""))
-    )
-    types = given["types"]
-    ok_types = empty("types") | (
-        F.coalesce(part("types").rlike(r'^\{\s*"[^"]*"\s*:\s*"[^"]*"\s*(?:,\s*"[^"]*"\s*:\s*"[^"]*"\s*)*\}$'), F.lit(False))
-        & F.forall(F.map_keys(types), lambda k: F.array_contains(lits(["*", *TYPES]), k)) & F.forall(F.map_values(types), lambda v: F.array_contains(lits(ACTIONS), v))
-    )
-    known = F.size(F.array_except(keys, lits(["types", *LISTS, "unsupported"]))) == 0
-    no_nulls = ~F.coalesce(r.rlike(r'"(?:types|regions|verticals|dictionary|never_hide|unsupported)"\s*:\s*null'), F.lit(False))
-    valid = obj.isNotNull() & F.coalesce(keys.isNotNull() & known, F.lit(False)) & no_nulls & ok_types & ok_list("regions", REGIONS) & ok_list("verticals", VERTICALS)
-    valid = valid & ok_list("dictionary") & ok_list("never_hide") & (empty("unsupported") | (part("unsupported") == "true"))
-    kept = lambda k, c: F.when(~empty(k), c).alias(k)
-    return F.when(valid & r.startswith("{"), F.struct(kept("types", types), *[kept(k, texts(k)) for k in LISTS], kept("unsupported", F.lit(True))))
+    distinct_of = lambda k, allowed: F.forall(texts(k), lambda x: F.array_contains(lits(allowed), x)) & (F.size(F.array_distinct(texts(k))) == F.size(texts(k)))
+    types = F.from_json(r, SCHEMA)["types"]
+    ok_types = F.coalesce(part("types").rlike(r'^\{\s*"[^"]*"\s*:\s*"[^"]*"\s*(?:,\s*"[^"]*"\s*:\s*"[^"]*"\s*)*\}$'), F.lit(False)) & F.forall(F.map_keys(types), lambda k: F.array_contains(lits(["*", *TYPES]), k)) & F.forall(F.map_values(types), lambda v: F.array_contains(lits(ACTIONS), v))
+    out = [("no JSON object", r.startswith("{") & keys.isNotNull()), ("repeated key", F.try_parse_json(r).isNotNull())]
+    out.append(("unknown key", F.size(F.array_except(keys, lits(["types", *LISTS, "unsupported"]))) == 0))
+    out.append(("null part", ~F.coalesce(r.rlike(r'"(?:types|regions|verticals|dictionary|never_hide|unsupported)"\s*:\s*null'), F.lit(False))))
+    out.append(("types", is_empty(r, "types") | ok_types))
+    out += [(k, is_empty(r, k) | (all_text(k) & distinct_of(k, allowed))) for k, allowed in (("regions", REGIONS), ("verticals", VERTICALS))]
+    out += [(k, is_empty(r, k) | (all_text(k) & F.forall(texts(k), lambda x: x != ""))) for k in ("dictionary", "never_hide")]
+    return [*out, ("unsupported", is_empty(r, "unsupported") | (part("unsupported") == "true"))]
+
+
+def is_empty(r: Column, k: str) -> Column:
+    part = F.get_json_object(r, f"$.{k}")
+    return part.isNull() | part.isin("[]", "{}", "false", "0", "0.0")
+
+
+def parse_error(raw: Column | str) -> Column:
+    """Why JSON text is no valid intent; null for a valid one. Null text is no JSON object."""
+    r = F.trim(col(raw))
+    return F.coalesce(*[F.when(~F.coalesce(test, F.lit(False)), F.lit(reason)) for reason, test in checks(r)])
+
+
+def parse(raw: Column | str) -> Column:
+    """A valid intent as a struct, null for anything else (``parse_error`` tells why)."""
+    r = F.trim(col(raw))
+    valid = F.lit(True)
+    for _, test in checks(r):
+        valid = valid & F.coalesce(test, F.lit(False))
+    texts = lambda k: F.from_json(F.get_json_object(r, f"$.{k}"), "array<string>")
+    kept = lambda k, c: F.when(~is_empty(r, k), c).alias(k)
+    return F.when(valid, F.struct(kept("types", F.from_json(r, SCHEMA)["types"]), *[kept(k, texts(k)) for k in LISTS], kept("unsupported", F.lit(True))))
 
 
 def starred(types: Column) -> Column:
@@ -183,21 +194,37 @@ def chat(instruction: Column | str, intent: Column, system: str) -> Column:
     return F.array(turn("system", F.lit(system)), turn("user", col(instruction)), turn("assistant", canonical(intent)))
 
 
-def grammar() -> str:
+def enumerations(schema: dict | None = None) -> dict[str, list[str]]:
+    """Allowed values by rule: those of a JSON schema with the intent's properties, or the fixed ones."""
+    if schema is None:
+        return {"type": ["*", *TYPES], "action": ACTIONS, "region": REGIONS, "vertical": VERTICALS}
+    p = schema["properties"]
+    types = p["types"]
+    return {"type": types["propertyNames"]["enum"] if "propertyNames" in types else list(types["properties"]), "action": (types.get("additionalProperties") or next(iter(types["properties"].values())))["enum"],
+            "region": p["regions"]["items"]["enum"], "vertical": p["verticals"]["items"]["enum"]}
+
+
+def grammar_is_stale(text: str, schema: dict | None = None) -> bool:
+    """Whether a stored grammar isn't that of the schema."""
+    return text.strip() != grammar(schema).strip()
+
+
+def grammar(schema: dict | None = None) -> str:
     """A GBNF grammar of intents; lists and maps repeat, keys come in the schema's order."""
     alt = lambda values: " | ".join(json.dumps(json.dumps(v)) for v in values)
     opts = "types regions verticals dictionary never_hide unsupported".split()
+    allowed = enumerations(schema)
     rules = {
         "root": '"{" ws ( member ( ws "," ws member )* )? ws "}"',
         "member": " | ".join(k.replace("_", "-") for k in opts),
         "types": '"\\"types\\"" ws ":" ws "{" ws pair ( ws "," ws pair )* ws "}"',
         "pair": 'type ws ":" ws action',
-        "type": alt(["*", *TYPES]),
-        "action": alt(ACTIONS),
+        "type": alt(allowed["type"]),
+        "action": alt(allowed["action"]),
         "regions": '"\\"regions\\"" ws ":" ws "[" ws region ( ws "," ws region )* ws "]"',
-        "region": alt(REGIONS),
+        "region": alt(allowed["region"]),
         "verticals": '"\\"verticals\\"" ws ":" ws "[" ws vertical ( ws "," ws vertical )* ws "]"',
-        "vertical": alt(VERTICALS),
+        "vertical": alt(allowed["vertical"]),
         "dictionary": '"\\"dictionary\\"" ws ":" ws strings',
         "never-hide": '"\\"never_hide\\"" ws ":" ws strings',
         "unsupported": '"\\"unsupported\\"" ws ":" ws "true"',

@@ -13,7 +13,7 @@ from spanloom.functions import text as tx
 from spanloom.operators import align, decode, detect, generate, intent, isolation, markup, neardup, registry, sampling, scorecard, scoring, tokenize, windows
 from spanloom.session import spread, table
 from spanloom.sources.files import build_report
-from spanloom.spec import DecodeConfig, ModelSpec
+from spanloom.spec import Biases, DecodeConfig, ModelSpec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,8 +126,8 @@ def softmax_argmax(spark: SparkSession, folder: str) -> DataFrame:
 VITERBI_LABELS = ("O", "B-X", "I-X", "E-X", "S-X")
 
 
-def _sequences(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double") * 10).alias("z"))
+def _sequences(spark: SparkSession, folder: str, n: int = 5) -> DataFrame:
+    e = table(spark, folder, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, n), lambda x: x.cast("double") * 10).alias("z"))
     e = e.groupBy(F.floor(F.col("vec_id") / 10).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "z"))).alias("s"))
     return e.select("doc_id", F.transform("s", lambda x: x["z"]).alias("m"))
 
@@ -158,6 +158,29 @@ def viterbi_batched(spark: SparkSession, folder: str) -> DataFrame:
     return g.select("doc_id", F.array_join(F.transform("s", lambda x: x["k"].cast("string")), ",").alias("path"))
 
 
+BIASED_LABELS = ("O", "B-X", "I-X", "E-X", "S-X", "B-Y", "I-Y", "E-Y", "S-Y")
+BIASES = Biases(0.25, -0.5, 0.125, -0.25, 0.5, -0.125)
+
+
+def viterbi_sql(labels: tuple[str, ...], biases: Biases) -> str:
+    moves = decode.transitions(labels, biases)
+    k = len(labels)
+    ok = ", ".join(f"({i}, {j}, {moves[i, j]}::DOUBLE)" for i in range(k) for j in range(k) if moves[i, j] > -1e9)
+    begin, end = (", ".join(str(i) for i, x in enumerate(labels) if x[0] in tags) for tags in ("OBS", "OES"))
+    out = VITERBI_SQL.replace("embedding[1:5]", f"embedding[1:{k}]").replace("range(0, 5)", f"range(0, {k})").replace("j IN (0, 1, 4)", f"j IN ({begin})").replace("j IN (0, 3, 4)", f"j IN ({end})")
+    at, to = out.index("ok(i, j) AS (VALUES "), out.index("),\n    run AS")
+    return (out[:at] + "ok(i, j, b) AS (VALUES " + ok + out[to:]).replace("r.score + lp.v AS score", "r.score + ok.b + lp.v AS score").replace("ORDER BY r.score DESC, r.j", "ORDER BY r.score + ok.b DESC, r.j")
+
+
+@query(viterbi_sql(BIASED_LABELS, BIASES))
+def viterbi_biased(spark: SparkSession, folder: str) -> DataFrame:
+    """Two kinds of entity and a bias on every move."""
+    rows = decode.viterbi_labels(_sequences(spark, folder, len(BIASED_LABELS)), BIASED_LABELS, BIASES)
+    at = F.array_position(F.array(*map(F.lit, BIASED_LABELS)), F.col("label")) - 1
+    g = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", at.alias("k")))).alias("s"))
+    return g.select("doc_id", F.array_join(F.transform("s", lambda x: x["k"].cast("string")), ",").alias("path"))
+
+
 class HashScorer:
     """Scores by a hash of the token id: stands in where no weights are at hand."""
 
@@ -488,6 +511,20 @@ def token_labels(spark: SparkSession, folder: str) -> DataFrame:
     return align.token_labels(tokens, spans).groupBy("label").agg(F.count("*").alias("n"))
 
 
+@query(
+    "WITH train_docs AS (SELECT id AS doc_id, any_value(text) AS text FROM train GROUP BY id), " + TRAIN_TOKENS_SQL + r""", n AS (SELECT doc_id, count(*) AS n FROM toks GROUP BY doc_id),
+    w AS (SELECT doc_id, n, unnest(range(0, CASE WHEN n <= 254 THEN 1 ELSE ceil((n - 254) / 222.0)::INT + 1 END)) * 222 AS ws FROM n)
+    SELECT doc_id AS id, ws::INT AS token_start, least(ws + 254, n)::INT AS token_end, (least(ws + 254, n) - ws + 2)::INT AS n_places, true AS ignored FROM w"""
+)
+def label_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of training records in windows of 256 places, of which the first and last are ignored."""
+    r = _train(spark, folder)
+    tokens = tokenize.word_rows(r.where("text is not null").select(F.col("id").alias("doc_id"), "text"))
+    w = align.label_windows(align.token_labels(tokens, align.span_rows(r).withColumnRenamed("id", "doc_id")))
+    ends = (F.element_at("labels", 1) == "-100") & (F.element_at("labels", -1) == "-100") & ~F.array_contains(F.slice("labels", F.lit(2), F.size("labels") - 2), "-100")
+    return w.select(F.col("doc_id").alias("id"), "token_start", "token_end", F.size("labels").alias("n_places"), ends.alias("ignored"))
+
+
 @query(
     "WITH g AS (SELECT DISTINCT id, s.start AS a, s.\"end\" AS b, upper(trim(s.label)) AS l FROM (" + SPANS_SQL + r""") WHERE s.label IS NOT NULL),
     p AS (SELECT DISTINCT id, a, b + CASE WHEN a % 7 = 0 THEN 1 ELSE 0 END AS b, CASE WHEN a % 11 = 0 THEN 'LOC' ELSE l END AS l FROM g WHERE a % 13 <> 0),

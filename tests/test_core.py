@@ -141,6 +141,12 @@ def test_intent_parse(spark):
         assert parsed(spark, raw).c == exp, raw
     for raw in ("", "[]", "{", '{"x":1}', '{"types":{"PERSON":"drop"}}', '{"types":{"FOO":"hide"}}', '{"regions":["fr","fr"]}', '{"regions":["xx"]}', '{"dictionary":[""]}', '{"dictionary":[1]}', '{"types":{"PERSON":"hide","PERSON":"keep"}}', '{"regions":null}', '"a"', None):
         assert parsed(spark, raw).i is None, raw
+    why = {'{"x":1}': "unknown key", '{"types":{"FOO":"hide"}}': "types", '{"regions":["fr","fr"]}': "regions", '{"dictionary":[1]}': "dictionary", "[]": "no JSON object", '{"types":{"PERSON":"hide","PERSON":"keep"}}': "repeated key", "{}": None, '{"unsupported":1}': "unsupported"}
+    got = spark.createDataFrame([(r,) for r in [*why, None]], "r string").select("r", intent.parse_error("r").alias("e")).collect()
+    assert {r.r: r.e for r in got} == why | {None: "no JSON object"}
+    schema = {"properties": {"types": {"propertyNames": {"enum": ["*", "PERSON"]}, "additionalProperties": {"enum": ["hide"]}}, "regions": {"items": {"enum": ["fr"]}}, "verticals": {"items": {"enum": ["legal"]}}}}
+    assert '\\"legal\\"' in intent.grammar(schema) and "IBAN" not in intent.grammar(schema)
+    assert not intent.grammar_is_stale(intent.grammar(schema) + "\n", schema) and intent.grammar_is_stale(intent.grammar(), schema)
 
 
 def test_postprocess(spark):
