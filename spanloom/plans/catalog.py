@@ -297,7 +297,7 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def residual_names(spark: SparkSession, folder: str) -> DataFrame:
     """Names left unlabelled in announcements, and why a record would be dropped."""
     r = _train(spark, folder).where((clean("source") == "registry") & F.col("text").isNotNull())
-    free = tx.residual_names(markup.unlabelled_text("text", "spans"), r"Creditors|Les créances|Los acreedores")
+    free = tx.residual_names(markup.unlabelled_text("text", "spans"), registry.BOILERPLATE)
     return markup.assemble(r, free).select("id", F.size(free).alias("n_residual"), "reason")
 
 

@@ -271,6 +271,12 @@ def test_registers(spark):
     assert ("Ada Marsh", "PER") in spans and ("3 May 2024", "DATE") in spans and ("4 High Road, E6 3RX", "LOC") in spans
 
 
+def test_unlabelled_names_drop_a_record(spark):
+    texts = ["Ada Marsh lives here.", "In the High Court of Justice, Companies Court, Nature of Business: Rose Vale Tools", "Constitucion. Situación concursal. Ley 12 BODACC", "THE COMPANIES ACT Of Some Year\nJoint Liquidator Noel Pike", "", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", tx.residual_names("text", registry.BOILERPLATE).alias("n"))
+    assert [r.n for r in d.orderBy("i").collect()] == [["Ada Marsh"], [], [], ["Noel Pike"], [], None]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "t/en").mkdir(parents=True)
     (tmp_path / "t/en/letter-1.txt").write_text("\n" + TEMPLATE + "\n")
