@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame
 from spanloom.llm.tokens import Shared
 
 P = np.uint64(0x9E3779B97F4A7C15)
-CHUNK = 512  # texts at once
+CHUNK, CHUNK_BYTES = 512, 8 << 20  # texts at once, fewer where they are long
 LEAST_BITS, MOST_BITS = 20, 29  # of a bitmap: at most 64 MB
 BLOCK = 16  # bits of a place within a block of it
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, b.num_rows, CHUNK):
-            yield b.slice(at, CHUNK)
+        size = max(1, min(CHUNK, CHUNK_BYTES * b.num_rows // max(b.nbytes, 1)))
+        for at in range(0, b.num_rows, size):
+            yield b.slice(at, size)
 
 
 class Bitmap:

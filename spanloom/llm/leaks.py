@@ -24,17 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.bitmaps import P, chunks
 from spanloom.llm.tokens import Shared
 from spanloom.llm.wordforms import FORMS
 
-P = np.uint64(0x9E3779B97F4A7C15)
 REACH = 34  # words that a stretch is followed to either side of an exact run
 BAND = 6  # words that it may shift by
 EDITS = 12
 PAD = REACH + BAND + 4
 FAR = 60  # more edits than can be
-CHUNK = 500  # records at once
-SLAB = 20_000  # records that meet one block of items after another
+SLAB = 4_000_000  # words of records that meet one block of items after another
 
 
 def myers(pattern: list, text: list, anywhere: bool = False) -> int:
@@ -286,15 +285,19 @@ class Items:
         for a, b, c, d, e in stretches:
             if b - a >= self.least and e <= self.few(b - a) and myers(item[a:b], text[max(c, 0) : d], True) <= self.few(b - a):
                 return True
-        by_end = [s for s in stretches if self.fits(item[s[0] : s[1]], text[max(s[2], 0) : s[3]], s[4])]
-        for x in by_end:
-            for y in by_end:
-                size = x[1] - x[0] + y[1] - y[0]
-                if x[1] <= y[0] and x[3] - x[4] <= y[2] + y[4] and size >= self.least and x[4] + y[4] <= self.few(size):
-                    # they part in the record where the second begins
-                    middle = max(x[3] - x[4], min(x[3], y[2]))
-                    if myers(item[x[0] : x[1]], text[max(x[2], 0) : middle], True) + myers(item[y[0] : y[1]], text[middle : y[3]], True) <= self.few(size):
-                        return True
+        fair = [s for s in dict.fromkeys(stretches) if self.fits(item[s[0] : s[1]], text[max(s[2], 0) : s[3]], s[4])]
+        if not fair:
+            return False
+        i, j, q, r, e = np.array(fair).T
+        size, edits = (j - i)[:, None] + (j - i), e[:, None] + e
+        ok = (j[:, None] <= i) & ((r - e)[:, None] <= q + e) & (size >= self.least) & (edits <= np.floor(size / self.per_error + 0.5))
+        x, y = np.nonzero(ok)
+        best = np.argsort(edits[x, y] * self.per_error - size[x, y], kind="stable")
+        for first, second in zip(x[best].tolist(), y[best].tolist()):
+            (a, b, c, d, n), (a2, b2, c2, d2, _) = fair[first], fair[second]
+            middle = max(d - n, min(d, c2))  # they part in the record where the second begins
+            if myers(item[a:b], text[max(c, 0) : middle], True) + myers(item[a2:b2], text[middle:d2], True) <= self.few(b - a + b2 - a2):
+                return True
         return False
 
 
@@ -328,15 +331,13 @@ def leaks(records: DataFrame, items: DataFrame, key: str = "id", item_key: str =
                     if pairs:
                         yield pa.RecordBatch.from_arrays([pa.array([index.names[o] for _, o in pairs]), ids.take(pa.array([d for d, _ in pairs]))], names=[item_key, key])
 
-        for b in batches:
-            for at in range(0, b.num_rows, CHUNK):
-                part = b.slice(at, CHUNK)
-                slab.append((part.column(0), [FORMS.words(t) for t in part.column(1).to_pylist()]))
-                held += part.num_rows
-                if blocks == 1 or held >= SLAB:
-                    yield from met()
-                    slab.clear()
-                    held = 0
+        for part in chunks(batches):
+            slab.append((part.column(0), [FORMS.words(t) for t in part.column(1).to_pylist()]))
+            held += sum(map(len, slab[-1][1]))
+            if blocks == 1 or held >= SLAB:
+                yield from met()
+                slab.clear()
+                held = 0
         yield from met()
 
     kind = records.schema[key].dataType.simpleString()
