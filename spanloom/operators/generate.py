@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import identifiers
 from spanloom.functions.text import ES_MONTHS, col, slug
-from spanloom.operators.markup import slots, template_parts
+from spanloom.operators.markup import COUNTRIES, slots, template_parts
+from spanloom.session import once
 
 #: Fixed values.
 MONTHS = {
@@ -156,11 +157,15 @@ def render(templates: DataFrame, inventories: DataFrame, docs: DataFrame, seed:
     text = F.when(k == "PER", person).when(k == "ORG", org).when(k == "LOC", loc).when(k == "DATE", date_text(F.col("slot.form"), day, F.col("lang"), F.col("country"), F.col("u")))
     text = text.when(k == "AMOUNT", amount_text(F.round(5 + F.col("u") * F.when(F.col("slot.form") == "big", 250000).otherwise(3000), 2), F.col("country")))
     text = text.when(k == "EMAIL", F.concat(who, F.lit("@example.org"))).when(k == "URL", F.concat(F.lit("www."), who, F.lit(".example")))
+    # only identifiers that the templates ask for enter the plan: at most a row a country and kind of slot
+    asked = {(r["country"], r["kind"]) for r in parts.select("country", F.col("slot.kind").alias("kind")).where(F.col("country").isin(COUNTRIES) & F.col("kind").isin([*BY_COUNTRY, *ANYWHERE])).distinct().collect()}
     for slot, by in BY_COUNTRY.items():
         for country, gen in by.items():
-            text = text.when((k == slot) & (F.col("country") == country), identifiers.generate(gen, ident, seed))
+            if (country, slot) in asked:
+                text = text.when((k == slot) & (F.col("country") == country), identifiers.generate(gen, ident, seed))
     for slot, gen in ANYWHERE.items():
-        text = text.when(k == slot, identifiers.generate(gen, ident, seed))
+        if any(kind == slot for _, kind in asked):
+            text = text.when(k == slot, identifiers.generate(gen, ident, seed))
     text = text.when(k == "JOB", of("jobs", 13)).when(k == "DEPT", of("departments", 14)).when(k == "PUBLIC", F.replace(of("public_bodies", 15), F.lit("{town}"), place["town"]))
     title = of("titles", 16, "ref")
     if {"genders", "titles_by"} <= set(inventories.columns):
@@ -169,7 +174,8 @@ def render(templates: DataFrame, inventories: DataFrame, docs: DataFrame, seed:
     text = text.when(k == "TITLE", title)
     lab = F.when(k.isin("PER", "ORG", "LOC", "DATE"), k)
     two = F.array(F.struct(F.col("literal").alias("text"), F.lit(None).cast("string").alias("label")), F.struct(text.alias("text"), lab.alias("label")))
-    p = j.select("doc_id", "i", F.posexplode(two).alias("k", "x")).where("x.text is not null and x.text <> ''")
+    made = once(j, made=two)  # a barrier, so that the filter behind it doesn't make each text again
+    p = made.select("doc_id", "i", F.posexplode("made").alias("k", "x")).where("x.text is not null and x.text <> ''")
     return p.select("doc_id", (F.col("i") * 2 + F.col("k")).alias("i"), "x.text", "x.label")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import identifiers as ids
 from spanloom.functions import text as tx
 from spanloom.operators import align, decode, detect, generate, intent, isolation, markup, neardup, registry, sampling, scorecard, scoring, tokenize, windows
-from spanloom.session import spread, table
+from spanloom.session import once, spread, table
 from spanloom.sources.files import build_report
 from spanloom.spec import Biases, DecodeConfig, ModelSpec
 
@@ -704,7 +704,7 @@ def iban_checks(spark: SparkSession, folder: str) -> DataFrame:
 def generated_identifiers(spark: SparkSession, folder: str) -> DataFrame:
     """For every customer one identifier of each kind, and whether its validator takes it. A projection a kind keeps each within generated code."""
     c = table(spark, folder, "customer").select("c_custkey")
-    each = [c.select("c_custkey", F.lit(k).alias("kind"), ids.generate(k, F.col("c_custkey"), 1).alias("value")).select("c_custkey", "kind", ids.VALIDATORS[k]("value").alias("valid")) for k in ids.KINDS]
+    each = [once(c.withColumn("kind", F.lit(k)), value=ids.generate(k, F.col("c_custkey"), 1)).select("c_custkey", "kind", ids.VALIDATORS[k]("value").alias("valid")) for k in ids.KINDS]
     return functools.reduce(DataFrame.union, each)
 
 
