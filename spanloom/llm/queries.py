@@ -199,8 +199,8 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     p = p6_containers(spark, folder)
     each = p.groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
     c = each.agg(F.max("n").alias("fullest"), F.count(F.when(F.col("n") > 0, 1)).alias("used"), F.sum("n").alias("n_tokens"))
-    d = p.agg(F.countDistinct("doc_id").alias("n_docs"))
-    return c.join(F.broadcast(d)).select("n_docs", "n_tokens", (F.col("fullest") <= 2048).alias("within"), (F.col("used") == F.ceil(F.col("n_tokens") / 2048)).alias("fewest"))
+    n_docs = p.agg(F.countDistinct("doc_id")).first()[0]
+    return c.select(F.lit(n_docs).cast("bigint").alias("n_docs"), "n_tokens", (F.col("fullest") <= 2048).alias("within"), (F.col("used") == F.ceil(F.col("n_tokens") / 2048)).alias("fewest"))
 
 
 ORACLES["p6_fill"] = _DOCS + "SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_tokens, true AS within, true AS fewest FROM counted"
@@ -231,14 +231,13 @@ def p4_balance(spark: SparkSession, folder: str) -> DataFrame:
     s = cut(p4_splits(spark, folder))
     train = table(spark, folder, "train")
     label = train.where("id is not null").groupBy("id").agg(F.min(F.concat_ws("/", compared_lang(), compared("doctype"))).alias("label"))
-    apart = s.groupBy("group_id").agg(F.countDistinct("split").alias("n")).agg(F.count(F.when(F.col("n") > 1, 1)).alias("n_apart"))
+    apart = s.groupBy("group_id").agg(F.countDistinct("split").alias("n")).where("n > 1").count()
     goals = {"train": 0.8, "validation": 0.1, "test": 0.1}
     counts = s.join(label, "id").groupBy("label").pivot("split", list(goals)).count().na.fill(0)
     total = sum((F.col(k) for k in goals), F.lit(0))
     off = F.greatest(*[F.abs(F.sum(k) / F.sum(total) - v) for k, v in goals.items()])
     moved = F.sum(sum((F.abs(F.col(k) - v * total) for k, v in goals.items()), F.lit(0.0))) / F.sum(total)
-    b = counts.agg((off < 0.02).alias("sizes"), (moved < 0.5).alias("labels"))
-    return s.agg(F.count("*").alias("n_ids")).join(F.broadcast(apart)).join(F.broadcast(b)).select("n_ids", "n_apart", "sizes", "labels")
+    return counts.agg(F.lit(s.count()).cast("bigint").alias("n_ids"), F.lit(apart).cast("bigint").alias("n_apart"), (off < 0.02).alias("sizes"), (moved < 0.5).alias("labels"))
 
 
 ORACLES["p4_balance"] = "SELECT count(DISTINCT id) AS n_ids, 0::BIGINT AS n_apart, true AS sizes, true AS labels FROM train"
