@@ -73,10 +73,10 @@ def index_percentiles(df: DataFrame, value: str, shares: dict[str, tuple[int, in
     """
     c = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     c = running(c, F.col("_c"), ["_v"])
-    total = c.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_n"))
-    place = lambda a, b: F.floor(F.col("_n") * a / F.lit(b))
+    total = c.agg(F.sum("_c")).first()[0] or 0
+    place = lambda a, b: F.lit(total * a // b)
     at = lambda a, b: (F.col("_before") <= place(a, b)) & (F.col("_before") + F.col("_c") > place(a, b))
-    return c.join(F.broadcast(total)).agg(*[F.min(F.when(at(a, b), F.col("_v"))).alias(name) for name, (a, b) in shares.items()])
+    return c.agg(*[F.min(F.when(at(a, b), F.col("_v"))).alias(name) for name, (a, b) in shares.items()])
 
 
 def entity_scores(gold: DataFrame, predicted: DataFrame, key: str = "doc_id") -> DataFrame:

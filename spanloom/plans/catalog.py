@@ -669,12 +669,16 @@ def chat_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT id, lang, length(list_filter(coalesce(expect.dictionary, []), lambda t: NOT contains(coalesce(instruction, ''), t))) > 0 AS stray FROM shots"""
+    """SELECT id, concat_ws('; ', CASE WHEN n > 1 THEN 'repeated id' END, CASE WHEN lang NOT IN ('en', 'fr', 'es', 'de', 'zh') OR lang IS NULL THEN 'unknown language' END, CASE WHEN expect IS NULL THEN 'no valid intent' END,
+        CASE WHEN len(list_filter(coalesce(expect.dictionary, []), lambda t: NOT contains(coalesce(instruction, ''), t))) > 0 THEN 'dictionary: term is not in the instruction' END,
+        CASE WHEN len(list_filter(coalesce(expect.never_hide, []), lambda t: NOT contains(coalesce(instruction, ''), t))) > 0 THEN 'never_hide: term is not in the instruction' END) AS errors
+    FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM intent_cases)"""
 )
 def case_checks(spark: SparkSession, folder: str) -> DataFrame:
-    c = table(spark, folder, "shots")
-    errors = intent.case_errors("instruction", "lang", F.col("expect"), F.lit(1))
-    return c.select("id", "lang", F.array_contains(errors, "dictionary: term is not in the instruction").alias("stray"))
+    c = table(spark, folder, "intent_cases")
+    counts = c.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("n"))
+    c = c.join(counts, F.col("id").eqNullSafe(F.col("_id")))
+    return c.select("id", F.array_join(intent.case_errors("instruction", "lang", F.col("expect"), F.col("n")), "; ").alias("errors"))
 
 
 # -- identifiers ----------------------------------------------------------------------------------------------------------------------------

@@ -92,8 +92,8 @@ def build_report(records: DataFrame, chunk_chars: int = 900) -> DataFrame:
     g = records.groupBy("source", "lang", "country").pivot("split", ["train", "dev"]).agg(F.sum(F.length("text") / F.lit(float(chunk_chars))))
     g = g.na.fill(0.0, ["train", "dev"])
     both = F.col("train") + F.col("dev")
-    total = g.agg(F.sum(both).alias("_t"))
-    return g.join(F.broadcast(total)).select("source", "lang", "country", F.round("train", 3).alias("train"), F.round("dev", 3).alias("dev"), F.round(both / F.col("_t"), 6).alias("share"))
+    total = g.agg(F.sum(both)).first()[0]
+    return g.select("source", "lang", "country", F.round("train", 3).alias("train"), F.round("dev", 3).alias("dev"), F.round(both / F.lit(total), 6).alias("share"))
 
 
 def markdown(df: DataFrame, limit: int = 500) -> str:
