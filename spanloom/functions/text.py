@@ -40,12 +40,13 @@ def title_cased(text: Column | str) -> Column:
     """Alphabetic runs of four or more letters without a lower-case one become capitalised, where that keeps their byte length."""
     def cased(run: Column) -> Column:
         new = F.concat(F.substring(run, 1, 1), F.lower(F.substring(run, F.lit(2), F.length(run))))
-        fits = run.rlike(r"^\p{IsAlphabetic}{4,}$") & ~run.rlike(r"\p{Ll}") & (F.octet_length(new) == F.octet_length(run))
+        fits = (F.length(run) >= 4) & run.rlike(r"^\p{IsAlphabetic}{4,}$") & ~run.rlike(r"\p{Ll}") & (F.octet_length(new) == F.octet_length(run))
         return F.when(fits, new).otherwise(run)
 
     # split keeps linear cost: each piece is a run of letters with what follows it
-    runs = F.split(col(text), r"(?<=\p{IsAlphabetic})(?=\P{IsAlphabetic})|(?<=\P{IsAlphabetic})(?=\p{IsAlphabetic})", -1)
-    return F.array_join(F.transform(runs, cased), "")
+    t = col(text)
+    runs = F.split(t, r"(?<=\p{IsAlphabetic})(?=\P{IsAlphabetic})|(?<=\P{IsAlphabetic})(?=\p{IsAlphabetic})", -1)
+    return F.when(t.rlike(r"[\p{IsAlphabetic}&&\P{Ll}]{4}"), F.array_join(F.transform(runs, cased), "")).otherwise(t)  # most texts have no such run
 
 
 def byte_offset(text: Column | str, chars: Column | str) -> Column:

@@ -7,9 +7,11 @@ serves every window function here; an empty table gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,76 @@ def detections(spans: DataFrame, docs: DataFrame, config: DecodeConfig, key: str
     return j.select(key, "type", "value", "start", "end", "confidence", F.lit(f"ner:{config.name}").alias("detector"), F.lit("model").alias("source"), F.lit(True).alias("enabled"))
 
 
+#: Characters with the Unicode property White_Space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+class LabelTable:
+    """Of each label its name (-1: background) and whether its prefix goes on with a span, by the rules of ``bio_spans``."""
+
+    def __init__(self, labels: tuple[str, ...]):
+        parts = [("", None) if x == "O" else tuple(x.split("-", 1)) if "-" in x else ("B", x) for x in labels]
+        self.names = sorted({name for _, name in parts if name is not None})
+        self.name = np.array([-1 if name is None else self.names.index(name) for _, name in parts], dtype=np.int64)
+        self.goes_on = np.array([prefix in ("I", "E") for prefix, _ in parts], dtype=bool)
+
+
+def flat_spans(first: np.ndarray, label: np.ndarray, p: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, table: LabelTable, config: DecodeConfig) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """``bio_spans`` of the tokens of many documents in a row, ``first`` where one begins: of each span its first token, type, start, end, confidence.
+
+    ``label`` is a number, and a negative word id is none.
+    """
+    n = len(first)
+    cont = np.zeros(n, bool)
+    cont[1:] = ~first[1:] & (words[1:] >= 0) & (words[1:] == words[:-1])
+    lab = label[np.maximum.accumulate(np.where(cont, 0, np.arange(n)))] if n else label
+    name = table.name[lab]
+    on = np.zeros(n, bool)
+    on[1:] = ~first[1:] & (name[1:] == name[:-1]) & (table.goes_on[lab[1:]] | cont[1:])
+    at = np.flatnonzero(name >= 0)  # tokens of spans; those of one are neighbours
+    begin = np.flatnonzero(~on[at])
+    if not len(begin):
+        none = np.zeros(0, np.int64)
+        return none, pa.array([], pa.string()), none, none, np.zeros(0)
+    decides = ~cont[at]
+    with np.errstate(invalid="ignore"):
+        sure = np.add.reduceat(np.where(decides, p[at], 0.0), begin) / np.add.reduceat(decides.astype(np.int64), begin)  # a span's first token decides
+        kept = ~(sure < config.threshold)
+    types = pa.array([config.label_map.get(x) for x in table.names], pa.string())
+    kept &= types.is_valid().to_numpy(zero_copy_only=False)[name[at[begin]]]
+    of = types.take(pa.array(name[at[begin]][kept]))
+    return at[begin][kept], of, np.minimum.reduceat(starts[at], begin)[kept], np.maximum.reduceat(ends[at], begin)[kept], sure[kept]
+
+
+def unit_offsets(text: str, unit: str) -> np.ndarray | None:
+    """Offset in ``byte`` or ``utf16`` units at each code point and at the end; nothing where it is the number of code points."""
+    if unit == "char" or text.isascii():
+        return None
+    c = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    width = 1 + (c >= 0x10000) if unit == "utf16" else 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+    return np.concatenate(([0], np.cumsum(width)))
+
+
+def placed(docs: pa.RecordBatch, key: str, row: np.ndarray, of: pa.Array, start: np.ndarray, end: np.ndarray, sure: np.ndarray, unit: str) -> pa.RecordBatch:
+    """``detections`` of spans in rows of a batch with ``key`` and ``text``, in the rows' order: values trimmed of white space, empty ones go, offsets in a unit."""
+    used, at = np.unique(row, return_index=True)
+    texts = docs.column(docs.schema.get_field_index("text")).take(pa.array(used, pa.int64())).to_pylist()
+    each = np.diff(np.append(at, len(row))).tolist()
+    raw = pa.array([t[a:b] for t, a, b in zip(chain.from_iterable(map(repeat, texts, each)), start.tolist(), end.tolist())], pa.string())
+    size = lambda x: pc.utf8_length(x).to_numpy(zero_copy_only=False).astype(np.int64)
+    value = pc.utf8_trim(raw, WHITE)
+    start = start + size(raw) - size(pc.utf8_ltrim(raw, WHITE))
+    end = start + size(value)
+    kept = end > start
+    for text, a, n in zip(texts, at.tolist(), each):
+        if (units := unit_offsets(text, unit)) is not None:
+            ok = slice(a, a + n)
+            start[ok], end[ok] = units[np.minimum(start[ok], len(text))], units[np.minimum(end[ok], len(text))]  # an empty value may lie behind the text
+    keys = docs.column(docs.schema.get_field_index(key)).take(pa.array(row, pa.int64()))
+    parts = [keys, of, value, pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(sure, pa.float64())]
+    return pa.RecordBatch.from_arrays(parts, names=[key, "type", "value", "start", "end", "confidence"]).filter(pa.array(kept))
+
+
 def transitions(labels: tuple[str, ...], biases: Biases) -> np.ndarray:
     """Bias of each allowed transition, minus infinity for the others."""
     tags = bioes_tags(labels)
@@ -92,6 +164,20 @@ def viterbi_path(z: np.ndarray, moves: np.ndarray, starts: np.ndarray, ends: np.
     return path
 
 
+def viterbi_flat(z: np.ndarray, stops: np.ndarray, labels: tuple[str, ...], biases: Biases) -> tuple[np.ndarray, np.ndarray]:
+    """Number and probability of the best path's labels, of the scores of many documents in a row that end at ``stops``."""
+    moves = transitions(labels, biases)
+    tags = [t for t, _ in bioes_tags(labels)]
+    begins, ends = np.array([t in "OBS" for t in tags]), np.array([t in "OES" for t in tags])
+    path, at = np.zeros(len(z), np.int64), 0
+    for stop in stops.tolist():
+        if stop > at:
+            path[at:stop] = viterbi_path(z[at:stop], moves, begins, ends)
+        at = stop
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return path, e[np.arange(len(z)), path] / e.sum(axis=1)
+
+
 def viterbi_labels(sequences: DataFrame, labels: tuple[str, ...], biases: Biases | None = None, key: str = "doc_id", scores: str = "m") -> DataFrame:
     """``(key, i, label, p)`` of the best path of every sequence ``m: ARRAY<ARRAY<DOUBLE>>``, for label sets of any size; empty sequences give nothing."""
     ship(sequences.sparkSession)

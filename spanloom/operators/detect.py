@@ -2,58 +2,74 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import byte_offset, title_cased, utf16_offset
+from spanloom.functions.text import title_cased
 from spanloom.operators import decode, scoring, tokenize, windows
-from spanloom.session import spread
+from spanloom.session import ship, spread
 from spanloom.spec import ModelSpec
 
 
+#: Tokens that are scored and decoded at once, but for a longer document.
+MOST_TOKENS = 1 << 16
+
+
 def detect(docs: DataFrame, spec: ModelSpec, tokenizer_json: str, make_scorer: Callable[[], scoring.TokenScorer], key: str = "doc_id", text: str = "text", offset_unit: str = "char") -> DataFrame:
-    """Detections of every document; null and empty texts have none. Values come from the original text.
+    """Detections of every document; null and empty texts and null keys have none. Values come from the original text. Map-only."""
+    src = spread(docs.select(key, F.col(text).alias("text"))).where("text <> ''")
+    enc = tokenize.encode(model_text(src, spec, "_seen"), tokenizer_json, spec.tokenizer_kind, "_seen")
+    bad = tokenize.encoding_errors(F.col("encoding"), F.col("_seen"))
+    enc = enc.withColumn("encoding", F.when(F.size(bad) == 0, F.col("encoding")).otherwise(F.raise_error(F.concat(F.lit("encoding: "), F.get(bad, F.lit(0)))).cast(enc.schema["encoding"].dataType)))
+    return detect_encoded(enc, spec, tokenize.special_ids(tokenize.load_tokenizer(tokenizer_json)), make_scorer, key, offset_unit)
+
+
+def model_text(docs: DataFrame, spec: ModelSpec, to: str = "text") -> DataFrame:
+    """Adds the text as the model sees it; of the same length."""
+    return docs.withColumn(to, title_cased("text") if spec.title_case else F.col("text"))
+
 
-    Tokenizing and scoring are map-only; everything behind them works on one exchange by ``key``, which must be unique.
+def detect_encoded(
+    docs: DataFrame, spec: ModelSpec, special: tuple[int, int] | None, make_scorer: Callable[[], scoring.TokenScorer], key: str = "doc_id", offset_unit: str = "char", encoder: tokenize.Batches | None = None
+) -> DataFrame:
+    """Detections of rows ``(key, text)`` with an ``encoding``, or with the columns of which ``encoder`` makes one. Empty encodings give none.
+
+    ``text`` is the original one. A document's tokens, scores and labels never leave the batch it is read in, so nothing is exchanged, and only its
+    spans come out. Offsets are in ``char`` (code points), ``byte`` (UTF-8) or ``utf16``.
     """
-    src = spread(docs.select(key, F.col(text).alias("text")))
-    enc = tokenize.encode(model_text(src, spec).where("text is not null and text <> ''"), tokenizer_json, spec.tokenizer_kind)
-    bad = tokenize.encoding_errors(F.col("encoding"), F.col("text"))
-    enc = enc.withColumn("encoding", F.when(F.size(bad) == 0, F.col("encoding")).otherwise(F.raise_error(F.concat(F.lit("encoding: "), F.get(bad, F.lit(0)))).cast(enc.schema["encoding"].dataType)))
-    return detect_encoded(enc, src, spec, tokenize.special_ids(tokenize.load_tokenizer(tokenizer_json)), make_scorer, key, offset_unit)
-
-
-def model_text(docs: DataFrame, spec: ModelSpec) -> DataFrame:
-    """The text as the model sees it; of the same length."""
-    return docs.withColumn("text", title_cased("text")) if spec.title_case else docs
-
-
-def detect_encoded(enc: DataFrame, src: DataFrame, spec: ModelSpec, special: tuple[int, int] | None, make_scorer: Callable[[], scoring.TokenScorer], key: str = "doc_id", offset_unit: str = "char") -> DataFrame:
-    """Detections from encodings ``(key, encoding)``, whatever made them, with values from ``src`` ``(key, text)``. Empty encodings give none."""
-    enc = enc.where(F.size("encoding.ids") > 0)
-    w = windows.window_inputs(enc.select(key, F.col("encoding.ids").alias("ids")), spec.max_tokens, spec.stride, "ids", special)
-    scored = scoring.score_windows(w.drop("ids"), make_scorer, len(spec.labels), spec.name)
-    tokens = tokenize.token_rows(enc, key).withColumnRenamed("i", "tok")
-    names = F.array(*map(F.lit, spec.labels))
-    if spec.decoder == "bio":
-        merged = windows.merge_predictions(scored, tokens, key=key)
-        labelled = merged.select(key, F.col("tok").alias("i"), "start", "end", "word_id", F.get(names, F.col("label")).alias("label"), F.col("probability").alias("p"))
-    else:
-        rows = windows.merge_logits(scored, tokens, key=key)
-        seq = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("tok", "z"))), lambda x: x["z"]).alias("m"))
-        path = decode.viterbi_labels(seq, spec.labels, spec.biases, key)
-        spots = tokens.select(key, F.col("tok").alias("i"), "start", "end")
-        labelled = spots.join(path, [key, "i"]).withColumn("word_id", F.lit(None).cast("int"))  # every token decides
-    found = decode.detections(decode.bio_spans(labelled, spec.decode_config(), key), src, spec.decode_config(), key)
-    return in_unit(found, src, offset_unit, key)
-
-
-def in_unit(found: DataFrame, docs: DataFrame, unit: str, key: str = "doc_id") -> DataFrame:
-    """Offsets as ``char`` (code points), ``byte`` (UTF-8) or ``utf16``."""
-    if unit == "char":
-        return found
-    f = {"byte": byte_offset, "utf16": utf16_offset}[unit]
-    j = found.join(docs.select(key, F.col("text").alias("_text")), key)
-    return j.withColumn("start", f("_text", "start")).withColumn("end", f("_text", "end")).drop("_text")
+    ship(docs.sparkSession)
+    config, labels = spec.decode_config(), decode.LabelTable(spec.labels)
+    kind = docs.schema[key].dataType.simpleString()
+    if offset_unit not in ("char", "byte", "utf16"):
+        raise ValueError(f"unknown unit {offset_unit}")
+
+    def found(b: pa.RecordBatch, scorer: scoring.TokenScorer) -> pa.RecordBatch:
+        n, ids, starts, ends, words = tokenize.flat(b.column(b.schema.get_field_index("encoding")))
+        stops = np.cumsum(n)
+        z = np.empty((len(ids), len(spec.labels)))
+        for at, stop in zip((stops - n).tolist(), stops.tolist()):
+            if stop > at:
+                z[at:stop] = windows.best_scores(ids[at:stop], lambda part: scoring.checked(scorer, part, len(spec.labels)), spec.max_tokens, spec.stride, special)
+        first = np.zeros(len(ids), bool)
+        first[(stops - n)[n > 0]] = True
+        if spec.decoder == "bio":
+            label, p = scoring.predictions(z)
+        else:
+            label, p = decode.viterbi_flat(z, stops, spec.labels, spec.biases)
+            words = np.full(len(ids), tokenize.NO_WORD)  # every token decides
+        begin, of, start, stop, sure = decode.flat_spans(first, label, p, starts, ends, words, labels, config)
+        row = np.searchsorted(stops, begin, "right")
+        return decode.placed(b, key, row, of, start, stop, sure, offset_unit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = scoring.scorer_of(spec.name, make_scorer)
+        for b in encoder(batches) if encoder else batches:
+            for part in tokenize.slices(b, tokenize.counts(b.column(b.schema.get_field_index("encoding"))), MOST_TOKENS):
+                yield found(part, scorer)
+
+    spans = docs.where(F.col(key).isNotNull()).mapInArrow(run, f"`{key}` {kind}, type string, value string, `start` int, `end` int, confidence double")
+    return spans.select("*", F.lit(f"ner:{config.name}").alias("detector"), F.lit("model").alias("source"), F.lit(True).alias("enabled"))

@@ -54,6 +54,32 @@ class OnnxScorer:
 _SCORERS: dict[str, TokenScorer] = {}
 
 
+def scorer_of(name: str, make: Callable[[], TokenScorer]) -> TokenScorer:
+    """The worker's scorer of that name."""
+    if name not in _SCORERS:
+        _SCORERS[name] = make()
+    return _SCORERS[name]
+
+
+def checked(scorer: TokenScorer, ids: np.ndarray, n_labels: int) -> np.ndarray:
+    """The scores of an unpadded window; any other shape than a row of ``n_labels`` a position is an error."""
+    z = np.asarray(scorer.score(ids, np.ones(len(ids), dtype=np.int64)), dtype=np.float64)
+    if z.shape != (len(ids), n_labels):
+        raise ValueError(f"scores of shape {z.shape} for {len(ids)} positions and {n_labels} labels")
+    return z
+
+
+def predictions(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``prediction`` of many rows: the first maximum and its softmax."""
+    with np.errstate(invalid="ignore"):
+        label = z.argmax(axis=1)
+        top = z[np.arange(len(z)), label]
+        total = np.zeros(len(z))
+        for j in range(z.shape[1]):
+            total += np.exp(z[:, j] - top)
+    return label, 1.0 / total
+
+
 def score_windows(w: DataFrame, make: Callable[[], TokenScorer], n_labels: int, name: str = "scorer") -> DataFrame:
     """``w`` (with ``input_ids``, ``attention_mask``) and a column ``logits``; the scorer is made once a worker and name."""
     ship(w.sparkSession)
@@ -61,9 +87,7 @@ def score_windows(w: DataFrame, make: Callable[[], TokenScorer], n_labels: int,
     at = (w.columns.index("input_ids"), w.columns.index("attention_mask"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _SCORERS:
-            _SCORERS[name] = make()
-        scorer = _SCORERS[name]
+        scorer = scorer_of(name, make)
         for b in batches:
             rows = []
             for ids, mask in zip(b.column(at[0]).to_pylist(), b.column(at[1]).to_pylist()):

@@ -5,9 +5,11 @@ Offsets are code points; ``functions.text`` turns them into UTF-8 bytes or UTF-1
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,39 @@ from spanloom.session import ship
 from spanloom.spec import tokenizer_kind
 
 ENCODING = "ids array<bigint>, starts array<int>, ends array<int>, word_ids array<int>"
+ENCODED = pa.struct([("ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("word_ids", pa.list_(pa.int32()))])
+NO_WORD = -1
 _TOKENIZERS: dict[int, object] = {}
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def slices(b: pa.RecordBatch, amounts: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most that amount each, or of one row."""
+    upto, at = np.cumsum(amounts), 0
+    while at < b.num_rows:
+        stop = max(int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")), at + 1)
+        yield b.slice(at, stop - at)
+        at = stop
+
+
+def counts(encoding: pa.StructArray) -> np.ndarray:
+    """Tokens of each row of encodings; none of a null."""
+    ids = encoding.flatten()[0]
+    return pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def flat(encoding: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each row, and ids, starts, ends and word ids of all of them in a row, ``NO_WORD`` for a null."""
+    ids, starts, ends, words = (x.flatten() for x in encoding.flatten())
+    if not len(ids) == len(starts) == len(ends) == len(words):
+        raise ValueError("encoding: unequal lengths")
+    return (counts(encoding), *(x.to_numpy(zero_copy_only=False) for x in (ids, starts, ends, words.fill_null(NO_WORD))))
+
+
+def nested(n: np.ndarray, *parts: pa.Array) -> pa.StructArray:
+    """Encodings of ``n`` tokens each, out of ids, starts, ends and word ids in a row."""
+    offsets = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, x.cast(f.type.value_type)) for x, f in zip(parts, ENCODED)], fields=list(ENCODED))
 
 
 def special_ids(tokenizer) -> tuple[int, int] | None:
@@ -123,8 +157,7 @@ def encode(docs: DataFrame, tokenizer_json: str, kind: str, text: str = "text")
                     starts, ends = realign(x, e.tokens)
                     words = piece_word_ids(x, starts, ends)
                 rows.append({"ids": e.ids, "starts": starts, "ends": ends, "word_ids": words})
-            kinds = pa.struct([("ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("word_ids", pa.list_(pa.int32()))])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, kinds)], names=[*b.schema.names, "encoding"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, ENCODED)], names=[*b.schema.names, "encoding"])
 
     return docs.mapInArrow(run, f"{fields}, encoding struct<{ENCODING.replace(' array', ':array')}>")
 
@@ -149,8 +182,7 @@ def word_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     The text is split before each run, so pieces add up to it and offsets are running sums of lengths over the exchange that decoding uses anyway.
     """
-    cut = r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])|(?<=[^\p{L}\p{N}])(?=[\p{L}\p{N}])"
-    p = docs.select(key, F.posexplode(F.split(F.col(text), cut, -1)).alias("pos", "run"))
+    p = docs.select(key, F.posexplode(word_runs(text)).alias("pos", "run"))
     upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     p = p.withColumn("stop", F.sum(F.length("run")).over(upto))
     p = p.withColumn("piece", F.regexp_replace("run", r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")).where("piece <> ''")
@@ -159,12 +191,34 @@ def word_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return p.withColumn("i", (F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1).cast("int")).select(key, "i", "start", "end", "piece")
 
 
-def word_encoding(docs: DataFrame, token_id: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, encoding)`` of word tokens: ``token_id`` is an expression of ``piece``; each token is a word."""
-    t = word_rows(docs, key, text).select(key, F.struct("i", token_id.cast("bigint").alias("id"), "start", "end").alias("t"))
-    g = t.groupBy(key).agg(F.array_sort(F.collect_list("t")).alias("t"))
-    part = lambda c: F.transform("t", lambda x: x[c])
-    return g.select(key, F.struct(part("id").alias("ids"), part("start").alias("starts"), part("end").alias("ends"), part("i").alias("word_ids")).alias("encoding"))
+def word_runs(text: Column | str) -> Column:
+    """The text split before each run of letters and digits and each run of others; the parts add up to it."""
+    return F.split(F.col(text) if isinstance(text, str) else text, r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])|(?<=[^\p{L}\p{N}])(?=[\p{L}\p{N}])", -1)
+
+
+def word_encoder(token_id: Callable[[pa.Array], pa.Array], runs: str = "runs") -> Batches:
+    """Encodings of the words of ``word_rows`` out of a column of ``word_runs``: ``token_id`` gives the ids of an array of pieces; each token is a word."""
+    from spanloom.operators.decode import WHITE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            at = whole.schema.get_field_index(runs)
+            for b in slices(whole, pc.list_value_length(whole.column(at)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), 1 << 17):
+                n = pc.list_value_length(b.column(at)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                text = b.column(at).flatten()
+                size = lambda x: pc.utf8_length(x).to_numpy(zero_copy_only=False).astype(np.int64)
+                long, cut, piece = size(text), pc.utf8_ltrim(text, WHITE), pc.utf8_trim(text, WHITE)
+                before = np.concatenate(([0], np.cumsum(long)))
+                start = before[:-1] - np.repeat(before[np.cumsum(n) - n], n) + long - size(cut)
+                token = size(piece) > 0
+                kept = np.add.reduceat(np.append(token, False), np.cumsum(n) - n, dtype=np.int64) * (n > 0) if len(n) else n
+                piece, start = piece.filter(pa.array(token)), start[token]
+                word = np.arange(len(start)) - np.repeat(np.cumsum(kept) - kept, kept)
+                enc = nested(kept, token_id(piece), pa.array(start), pa.array(start + size(piece)), pa.array(word))
+                rest = [k for k in range(b.num_columns) if k != at]
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), enc], names=[*(b.schema.names[k] for k in rest), "encoding"])
+
+    return run
 
 
 def word_ids_native(pieces: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -6,6 +6,9 @@ so they share that one exchange.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,3 +67,25 @@ def merge_predictions(scored: DataFrame, tokens: DataFrame, logits: str = "logit
     best = best_window(position_rows(scored, logits, key), "z", key)
     p = prediction(F.col("z"))
     return tokens.join(best.select(key, "tok", p["label"].alias("label"), p["probability"].alias("probability")), [key, "tok"], "left")
+
+
+def best_scores(ids: np.ndarray, score: Callable[[np.ndarray], np.ndarray], max_tokens: int, stride: int, special: tuple[int, int] | None = None) -> np.ndarray:
+    """Windows, scores and ``best_window`` of one document: a row of scores a token; only one window's scores are held beside them."""
+    n, width = len(ids), max_tokens - 2 if special else max_tokens
+    step = max(width - stride, 1)
+    out, far = None, np.full(n, -1)
+    for at in range(0, max(n - width + step, 1), step):
+        stop = min(at + width, n)
+        if special:
+            z = score(np.concatenate(([special[0]], ids[at:stop], [special[1]])))[1:-1]
+        else:
+            z = score(ids[at:stop].copy())
+        if stop - at == n:
+            return z
+        if out is None:
+            out = np.empty((n, z.shape[1]))
+        place = np.arange(stop - at)
+        distance = np.minimum(place, place[::-1])
+        nearer = distance > far[at:stop]
+        out[at:stop][nearer], far[at:stop][nearer] = z[nearer], distance[nearer]
+    return out

@@ -214,6 +214,17 @@ class PlacedScorer(HashScorer):
         return (ids_[:, None] * 2654435761 + np.arange(self.n)[None, :] * 40503 + np.arange(len(ids_))[:, None] * 7919) % 1009 / 100.0
 
 
+def word_token_id(pieces):
+    """The id of a word: its length and its first character."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    first = pc.utf8_slice_codeunits(pieces, 0, 1).dictionary_encode()
+    points = np.array([ord(x) for x in first.dictionary.to_pylist()], dtype=np.int64)
+    return pa.array(pc.utf8_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64) * 131 + points[first.indices.to_numpy(zero_copy_only=False)], pa.int64())
+
+
 WORD_SPEC = ModelSpec("words", "none", "bytelevel", "none", ("O", "B-PER", "I-PER", "B-LOC", "I-LOC"), {"PER": "PERSON", "LOC": "ADDRESS"}, 256, 32, 0.5, True)
 TITLED_SQL = r"""train_docs AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '\p{L}+|[^\p{L}]+'),
     lambda x: CASE WHEN regexp_matches(x, '^\p{L}{4,}$') AND NOT regexp_matches(x, '\p{Ll}') AND strlen(x[1] || lower(x[2:])) = strlen(x) THEN x[1] || lower(x[2:]) ELSE x END), '') AS text FROM documents WHERE text <> '')"""
@@ -236,8 +247,8 @@ TITLED_SQL = r"""train_docs AS (SELECT doc_id, array_to_string(list_transform(re
 def detect_words(spark: SparkSession, folder: str) -> DataFrame:
     """The whole pipeline on word tokens, which SQL can follow: casing, windows, scores, the best window of each token, spans, values, byte offsets."""
     docs = spread(table(spark, folder, "documents")).select("doc_id", "text").where("text <> ''")
-    enc = tokenize.word_encoding(detect.model_text(docs, WORD_SPEC), F.length("piece") * 131 + F.ascii("piece"))
-    found = detect.detect_encoded(enc, docs, WORD_SPEC, (1, 2), lambda: PlacedScorer(5), offset_unit="byte")
+    docs = detect.model_text(docs, WORD_SPEC, "seen").select("doc_id", "text", tokenize.word_runs("seen").alias("runs"))
+    found = detect.detect_encoded(docs, WORD_SPEC, (1, 2), lambda: PlacedScorer(5), offset_unit="byte", encoder=tokenize.word_encoder(word_token_id))
     return found.select("doc_id", "type", F.md5("value").alias("value"), "start", "end", F.round("confidence", 6).alias("confidence"), "detector")
 
 
