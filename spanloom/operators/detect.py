@@ -21,11 +21,15 @@ MOST_TOKENS = 1 << 16
 
 def detect(docs: DataFrame, spec: ModelSpec, tokenizer_json: str, make_scorer: Callable[[], scoring.TokenScorer], key: str = "doc_id", text: str = "text", offset_unit: str = "char") -> DataFrame:
     """Detections of every document; null and empty texts and null keys have none. Values come from the original text. Map-only."""
-    src = spread(docs.select(key, F.col(text).alias("text"))).where("text <> ''")
-    enc = tokenize.encode(model_text(src, spec, "_seen"), tokenizer_json, spec.tokenizer_kind, "_seen")
-    bad = tokenize.encoding_errors(F.col("encoding"), F.col("_seen"))
-    enc = enc.withColumn("encoding", F.when(F.size(bad) == 0, F.col("encoding")).otherwise(F.raise_error(F.concat(F.lit("encoding: "), F.get(bad, F.lit(0)))).cast(enc.schema["encoding"].dataType)))
-    return detect_encoded(enc, spec, tokenize.special_ids(tokenize.load_tokenizer(tokenizer_json)), make_scorer, key, offset_unit)
+    src = model_text(spread(docs.select(key, F.col(text).alias("text"))).where("text <> ''"), spec, "_seen")
+    encode = tokenize.subword_encoder(src.sparkSession, tokenizer_json, spec.tokenizer_kind, "_seen")
+
+    def encoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in encode(batches):
+            tokenize.refuse_errors(b, "_seen")
+            yield b
+
+    return detect_encoded(src, spec, tokenize.special_ids(tokenize.load_tokenizer(tokenizer_json)), make_scorer, key, offset_unit, encoder)
 
 
 def model_text(docs: DataFrame, spec: ModelSpec, to: str = "text") -> DataFrame:

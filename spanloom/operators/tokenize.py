@@ -6,11 +6,12 @@ Offsets are code points; ``functions.text`` turns them into UTF-8 bytes or UTF-1
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.session import ship
@@ -19,6 +20,8 @@ from spanloom.spec import tokenizer_kind
 ENCODING = "ids array<bigint>, starts array<int>, ends array<int>, word_ids array<int>"
 ENCODED = pa.struct([("ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("word_ids", pa.list_(pa.int32()))])
 NO_WORD = -1
+#: Bytes of text that are encoded at once, but for a longer one; what the tokenizer makes of them is many times as large.
+MOST_BYTES = 1 << 17
 _TOKENIZERS: dict[int, object] = {}
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -128,38 +131,57 @@ def piece_word_ids(text: str, starts: list[int], ends: list[int]) -> list[int]:
     return out
 
 
-def encode(docs: DataFrame, tokenizer_json: str, kind: str, text: str = "text") -> DataFrame:
-    """``docs`` and a struct ``encoding`` of parallel arrays, without special tokens; null text has a null encoding. Map-only."""
+def subword_encoder(spark: SparkSession, tokenizer_json: str, kind: str, text: str = "text") -> Batches:
+    """Adds a struct ``encoding`` of parallel arrays, without special tokens; null text has a null encoding. Texts are encoded ``MOST_BYTES`` at once."""
     tokenizer_kind(kind)
-    spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(tokenizer_json)
     name = shared._jbroadcast.id()
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _TOKENIZERS:
             _TOKENIZERS.clear()
             _TOKENIZERS[name] = load_tokenizer(shared.value)
-        tokenizer = _TOKENIZERS[name]
-        for b in batches:
-            texts = b.column(at).to_pylist()
-            known = iter(tokenizer.encode_batch([x for x in texts if x is not None], add_special_tokens=False))
-            rows = []
-            for x in texts:
-                if x is None:
-                    rows.append(None)
-                    continue
-                e = next(known)
-                starts, ends, words = [o[0] for o in e.offsets], [o[1] for o in e.offsets], e.word_ids
-                if kind == "sentencepiece":
-                    starts, ends = realign(x, e.tokens)
-                    words = piece_word_ids(x, starts, ends)
-                rows.append({"ids": e.ids, "starts": starts, "ends": ends, "word_ids": words})
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, ENCODED)], names=[*b.schema.names, "encoding"])
-
-    return docs.mapInArrow(run, f"{fields}, encoding struct<{ENCODING.replace(' array', ':array')}>")
+        for whole in batches:
+            at = whole.schema.get_field_index(text)
+            for b in slices(whole, pc.binary_length(whole.column(at)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), MOST_BYTES):
+                yield pa.RecordBatch.from_arrays([*b.columns, encodings(_TOKENIZERS[name], b.column(at).to_pylist(), kind)], names=[*b.schema.names, "encoding"])
+
+    return run
+
+
+def encodings(tokenizer, texts: list[str | None], kind: str) -> pa.StructArray:
+    known = [x for x in texts if x is not None]
+    made = tokenizer.encode_batch(known, add_special_tokens=False)
+    n = np.array([len(e) for e in made], dtype=np.int64)
+    ids = pa.array(np.fromiter(chain.from_iterable(e.ids for e in made), np.int64, int(n.sum())))
+    if kind == "sentencepiece":
+        places = [realign(x, e.tokens) for x, e in zip(known, made)]
+        starts, ends = (pa.array(list(chain.from_iterable(p[k] for p in places)), pa.int32()) for k in (0, 1))
+        words = pa.array(list(chain.from_iterable(piece_word_ids(x, *p) for x, p in zip(known, places))), pa.int32())
+    else:
+        places = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in made)), np.int32, 2 * int(n.sum()))
+        starts, ends = pa.array(places[::2].copy()), pa.array(places[1::2].copy())
+        words = pa.array(list(chain.from_iterable(e.word_ids for e in made)), pa.int32())
+    out = nested(n, ids, starts, ends, words)
+    if len(known) == len(texts):
+        return out
+    row = iter(range(len(known)))
+    return out.take(pa.array([None if x is None else next(row) for x in texts], pa.int64()))
+
+
+def encode(docs: DataFrame, tokenizer_json: str, kind: str, text: str = "text") -> DataFrame:
+    """``docs`` with what ``subword_encoder`` adds. Map-only."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(subword_encoder(docs.sparkSession, tokenizer_json, kind, text), f"{fields}, encoding struct<{ENCODING.replace(' array', ':array')}>")
+
+
+def refuse_errors(b: pa.RecordBatch, text: str) -> None:
+    """``encoding_errors`` of a batch: offsets that are not ordered within the text are an error."""
+    n, _, starts, ends, _ = flat(b.column(b.schema.get_field_index("encoding")))
+    size = pc.utf8_length(b.column(b.schema.get_field_index(text))).fill_null(0).to_numpy(zero_copy_only=False)
+    if not ((starts >= 0) & (starts <= ends) & (ends <= np.repeat(size, n))).all():
+        raise ValueError("encoding: offsets out of order")
 
 
 def encoding_errors(encoding: Column, text: Column) -> Column:

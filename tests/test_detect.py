@@ -78,3 +78,35 @@ def test_slices_keep_every_row():
     b = pa.RecordBatch.from_arrays([pa.array(range(7))], names=["k"])
     parts = [p.column(0).to_pylist() for p in tokenize.slices(b, np.array([3, 0, 9, 1, 1, 0, 2]), 4)]
     assert parts == [[0, 1], [2], [3, 4, 5, 6]]
+
+
+def test_detect_pipeline_is_map_only(spark, data):
+    df = catalog.detect_pipeline(spark, data)
+    tokens_stay_in_their_batch(df)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_encodings_in_parts(spark):
+    source = open("/opt/tokenizers/byte_bpe_50k.json", encoding="utf8").read()
+    t = tokenize.load_tokenizer(source)
+    texts = ["张三 😀 met Élodie", None, "", "word " * 40_000, "a", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    for r in tokenize.encode(rows, source, "bytelevel").collect():
+        if r.text is None:
+            assert r.encoding is None
+            continue
+        e = t.encode(r.text, add_special_tokens=False)
+        assert (r.encoding.ids, list(zip(r.encoding.starts, r.encoding.ends)), r.encoding.word_ids) == (e.ids, e.offsets, e.word_ids)
+
+
+def test_bad_encodings_are_refused():
+    import pyarrow as pa
+
+    def batch(text, starts, ends):
+        enc = pa.array([{"ids": [1] * len(starts), "starts": starts, "ends": ends, "word_ids": [0] * len(starts)}], tokenize.ENCODED)
+        return pa.RecordBatch.from_arrays([pa.array([text]), enc], names=["text", "encoding"])
+
+    tokenize.refuse_errors(batch("é😀", [0, 1], [1, 2]), "text")
+    for starts, ends in (([0, -1], [1, 2]), ([0, 2], [1, 1]), ([0, 1], [1, 3])):
+        with pytest.raises(ValueError, match="out of order"):
+            tokenize.refuse_errors(batch("é😀", starts, ends), "text")
